@@ -6,27 +6,39 @@ from pyspark.sql import Column, functions as F
 
 
 def _fixed(c: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", c.cast("double"))
+    """Fixed-point text of the exact binary value, ties to even.
+
+    ``scaled`` is the rounded product and ``rest`` its exact error (the factor
+    is split so that both partial products are exact), which settles ties that
+    exist only in the decimal notation.
+    """
+    x = c.cast("double")
+    scale = float(10**digits)
+    scaled = x * F.lit(scale)
+    carrier = x * F.lit(134217729.0)
+    high = carrier - (carrier - x)
+    rest = (high * F.lit(scale) - scaled) + (x - high) * F.lit(scale)
+    down = F.floor(scaled).cast("double")
+    part = scaled - down
+    up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (F.pmod(down, F.lit(2.0)) == 1))))
+    return F.format_string(f"%.{digits}f", F.when(up, down + 1).otherwise(down) / F.lit(scale))
 
 
 def pct_text(share: Column) -> Column:
     """``97%`` for 0.97 and ``-`` for null."""
-    return F.coalesce(
-        F.when(share.isNotNull(), F.concat(_fixed(F.bround(share * 100), 0), F.lit("%"))),
-        F.lit("-"),
-    )
+    return F.when(share.isNull(), F.lit("-")).otherwise(F.concat(_fixed(share * 100, 0), F.lit("%")))
 
 
 def ms_text(ms: Column) -> Column:
     """``23ms`` below one second, ``1.3s`` from there on."""
     return F.when(ms >= 1000, F.concat(_fixed(ms / 1000, 1), F.lit("s"))).otherwise(
-        F.concat(_fixed(F.bround(ms), 0), F.lit("ms"))
+        F.concat(_fixed(ms, 0), F.lit("ms"))
     )
 
 
 def ratio_text(ratio: Column) -> Column:
     """``45×``, with one decimal below ten."""
-    digits = F.when(ratio >= 10, _fixed(F.bround(ratio), 0)).otherwise(_fixed(ratio, 1))
+    digits = F.when(ratio >= 10, _fixed(ratio, 0)).otherwise(_fixed(ratio, 1))
     return F.concat(digits, F.lit("\u00d7"))
 
 

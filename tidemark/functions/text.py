@@ -41,26 +41,33 @@ def _escape_class() -> str:
 
 
 @functools.lru_cache(maxsize=1)
-def nfkc_sensitive_class() -> str:
-    """Character class of everything NFKC may rewrite or compose.
-
-    Built from the rule, not from a list: a code point is sensitive when NFKC
-    maps it to something else, when it is a combining mark or a conjoining
-    Jamo, or when it lies outside the basic plane.
+def nfkc_suspect() -> tuple[str, str]:
+    """Two character tests, quick and wide: a character outside the spans NFKC surely leaves alone.
+
+    Built from the rule, not from a list: a basic-plane code point is stable
+    when NFKC maps it to itself and it can not compose with its neighbour (no
+    mark, no conjoining Jamo).  The class is kept small, because the regex
+    engine tries its ranges in turn: Latin-1 as single characters (one lookup),
+    then the long spans of the common scripts.  Any other character merely
+    takes the slower way.
     """
-    spans: list[list[int]] = []
-    for cp in range(0x80, 0x10000):
+
+    def stable(cp: int) -> bool:
         ch = chr(cp)
-        if 0xD800 <= cp <= 0xDFFF or unicodedata.category(ch).startswith("M"):
-            continue
-        if unicodedata.normalize("NFKC", ch) == ch and not 0x1100 <= cp <= 0x11FF:
-            continue
+        if 0xD800 <= cp <= 0xDFFF or 0x1100 <= cp <= 0x11FF or unicodedata.category(ch)[0] == "M":
+            return False
+        return unicodedata.normalize("NFKC", ch) == ch
+
+    spans: list[list[int]] = []
+    for cp in filter(stable, range(0x100, 0x10000)):
         if spans and spans[-1][1] == cp - 1:
             spans[-1][1] = cp
         else:
             spans.append([cp, cp])
-    body = "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in spans)
-    return f"[\\p{{M}}\\x{{10000}}-\\x{{10ffff}}{body}]"
+    common = [(lo, hi) for lo, hi in spans if hi - lo >= (40 if lo < 0x600 else 4000) or 0x3040 <= hi <= 0x30FF]
+    latin = "".join(f"\\x{cp:02x}" for cp in range(0x100) if stable(cp))
+    ranges = "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in common)
+    return f"[^{latin}]", f"[^{latin}{ranges}]"
 
 
 @F.pandas_udf(T.StringType())
@@ -78,14 +85,19 @@ def _nfkc_array_udf(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
+def _suspect(c: Column) -> Column:
+    quick, wide = nfkc_suspect()
+    return F.rlike(c, F.lit(quick)) & F.rlike(c, F.lit(wide))
+
+
 def nfkc(c: Column) -> Column:
-    sensitive = F.when(F.rlike(c, F.lit(nfkc_sensitive_class())), c)
+    sensitive = F.when(_suspect(c), c)
     return F.coalesce(_nfkc_udf(sensitive), c)
 
 
 def nfkc_array(c: Column) -> Column:
     sensitive = F.when(
-        F.exists(c, lambda x: F.rlike(x, F.lit(nfkc_sensitive_class()))), c
+        F.exists(c, _suspect), c
     )
     return F.coalesce(_nfkc_array_udf(sensitive), c)
 

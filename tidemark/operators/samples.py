@@ -115,7 +115,7 @@ def outcome_share(df: DataFrame, keys: list[str], failed: Column) -> DataFrame:
 
 def kind_grid(df: DataFrame, row: str, kind: str, kinds: list[str]) -> DataFrame:
     """Counts per (row, kind), zero where nothing was seen."""
-    return df.groupBy(row).pivot(kind, kinds).agg(F.count("*")).fillna(0, kinds)
+    return df.groupBy(row).pivot(kind, kinds).agg(F.count(F.lit(1))).fillna(0, kinds)
 
 
 def format_sizes(files: DataFrame) -> DataFrame:

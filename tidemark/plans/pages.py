@@ -49,7 +49,7 @@ def _markdown_sql(c):
 
 def _plain_sql(c):
     c = _re(_visible_sql(c), "<(br|/?(html|body|nav|ul|li|div|article|footer|p|h1)[^>]*)>", " ")
-    return f"trim({_re(_decode_sql(_re(c, '<[^>]*>')), '[ ]+', ' ')})"
+    return f"trim({_re(_decode_sql(_re(c, '<[^>]*>')), '[ \t\r\n\f]+', ' ')})"
 
 
 def _text_sql(c):
@@ -160,8 +160,9 @@ def _rules_sql():
         "g06": "NOT contains(flat, '&amp;')",
         "g07": "NOT contains(flat, '&middot;')",
         "g08": r"regexp_matches(norm, '\n- \[')",
-        "p01": f"list_has_any([trim({content_sql('x')}) LIKE '%' || esc_title || '%' ESCAPE '~' FOR x IN "
-               r"regexp_extract_all(norm, '(?m)^# +(.*)$', 1)], [true])",
+        "p01": r"want_title <> '' AND regexp_matches(regexp_replace("
+               r"regexp_replace(norm, '(?m) *#* *$', '', 'g'), '[`*_]', '', 'g'), "
+               r"'(?m)^# [^\n]*' || regexp_escape(want_title))",
         "p02": f"contains(prose, {prose_sql('title')})",
         "p03": f"instr(content, {content_sql('title')}) > 0 AND instr(content, '©') > instr(content, {content_sql('title')})",
         "p04": rf"regexp_matches(content, '\[' || regexp_escape({content_sql('label')}) || '{target}' || regexp_escape(href))",
@@ -176,12 +177,12 @@ def _rules_sql():
         + (f" WHERE kind = '{a}'" if a != "all" else "")
         for i, f, w, a, v in specs
     )
-    escaped = f"regexp_replace(regexp_replace({content_sql('title')}, '[`*_]', '', 'g'), '([%_~])', '~\\1', 'g')"
+    wanted = f"regexp_replace({content_sql('title')}, '[`*_]', '', 'g')"
     from tidemark.plans.text import norm_sql
 
     return f"""
 titles AS (SELECT page_id, {title} AS title, {label} AS label, {href} AS href FROM pages),
-docs AS (SELECT o.*, title, label, href, {escaped} AS esc_title, {norm_sql('md')} AS norm, {flat_sql('md')} AS flat,
+docs AS (SELECT o.*, title, label, href, {wanted} AS want_title, {norm_sql('md')} AS norm, {flat_sql('md')} AS flat,
                 {content_sql('md')} AS content, {prose_sql('md')} AS prose
          FROM outputs o JOIN titles USING (page_id)),
 results AS ({branches})

@@ -62,12 +62,12 @@ def usage(t):
 
 @query(f"""
 WITH {RATED_SQL}
-SELECT customer, provider, round(usd, 6) AS usd,
+SELECT customer, provider, round(usd, 8) AS usd,
        CASE WHEN provider = 'Wasabi' AND egress_gb > stored_gb THEN 'over egress rule' END AS policy
 FROM rated
 """)
 def rate_usage(t):
-    return op.rate_usage(usage(t)).select("customer", "provider", F.round("usd", 6).alias("usd"), "policy")
+    return op.rate_usage(usage(t)).select("customer", "provider", F.round("usd", 8).alias("usd"), "policy")
 
 
 @query(f"""
@@ -88,7 +88,7 @@ def tiered_charge(t):
 @query(f"""
 WITH {RATED_SQL}
 SELECT provider, """ + ", ".join(
-    f"round(sum(CAST(round(usd, 4) AS DECIMAL(18, 4))) FILTER (c_mktsegment = '{s}'), 4)::DOUBLE AS \"{s}\"" for s in SEGMENTS
+    f"sum(CAST(round(usd, 8) AS DECIMAL(28, 8))) FILTER (c_mktsegment = '{s}')::DOUBLE AS \"{s}\"" for s in SEGMENTS
 ) + """
 FROM rated JOIN customer ON customer = c_custkey GROUP BY provider
 """)
@@ -96,15 +96,15 @@ def cost_matrix(t):
     priced = op.rate_usage(usage(t)).join(
         t.customer.select(F.col("c_custkey").alias("customer"), "c_mktsegment"), "customer"
     )
-    money = F.round("usd", 4).cast("decimal(18,4)")
+    money = F.round("usd", 8).cast("decimal(28,8)")
     return priced.groupBy("provider").pivot("c_mktsegment", SEGMENTS).agg(F.sum(money).cast("double"))
 
 
 @query(f"""
 WITH {RATED_SQL}
-SELECT customer, arg_min(provider, {{'u': round(usd, 6), 'p': provider}}) AS provider, min(round(usd, 6)) AS usd
+SELECT customer, arg_min(provider, {{'u': round(usd, 8), 'p': provider}}) AS provider, min(round(usd, 8)) AS usd
 FROM rated GROUP BY customer
 """)
 def cheapest_provider(t):
-    rated = op.rate_usage(usage(t)).withColumn("usd", F.round("usd", 6))
+    rated = op.rate_usage(usage(t)).withColumn("usd", F.round("usd", 8))
     return op.cheapest_provider(rated, "customer")

@@ -108,7 +108,8 @@ def event_kind_grid(t):
 
 @query("""
 SELECT event_id,
-       CASE WHEN value * 100 >= 1000 THEN printf('%.1fs', value * 100 / 1000) ELSE 'short' END AS took,
+       CASE WHEN value * 100 >= 1000 THEN printf('%.1fs', value * 100 / 1000)
+            ELSE printf('%.0fms', value * 100) END AS took,
        '$' || printf('%.2f', value) AS usd
 FROM events
 """)
@@ -116,6 +117,6 @@ def text_labels(t):
     ms = F.col("value") * 100
     return t.events.select(
         "event_id",
-        F.when(ms >= 1000, labels.ms_text(ms)).otherwise("short").alias("took"),
+        labels.ms_text(ms).alias("took"),
         labels.usd_text(F.col("value")).alias("usd"),
     )

@@ -116,7 +116,7 @@ SELECT o_orderpriority,
 FROM orders GROUP BY o_orderpriority
 """)
 def result_grid(t):
-    return op.pivot_grid(t.orders, "o_orderpriority", "o_orderstatus", F.count("*"), ["F", "O", "X"], empty="-")
+    return op.pivot_grid(t.orders, "o_orderpriority", "o_orderstatus", F.count(F.lit(1)), ["F", "O", "X"], empty="-")
 
 
 @query("SELECT DISTINCT source FROM documents ORDER BY source NULLS LAST")
@@ -237,8 +237,8 @@ def nested_json(t):
 
 
 @query("""
-SELECT n_nationkey, n_name, list_sum(list_transform(string_split(n_name, ''), x -> unicode(x)))::BIGINT AS code_sum,
-       (list_sum(list_transform(string_split(n_name, ''), x -> unicode(x))) % 3)::INTEGER AS bucket
+SELECT n_nationkey, n_name, list_sum(list_transform(string_split(n_name, ''), lambda x: unicode(x)))::BIGINT AS code_sum,
+       (list_sum(list_transform(string_split(n_name, ''), lambda x: unicode(x))) % 3)::INTEGER AS bucket
 FROM nation
 """)
 def codepoint_bucket(t):
