@@ -129,13 +129,14 @@ def label_requests(requests: DataFrame, fills: DataFrame, ttl_us: int) -> DataFr
     """Adds ``status`` (MISS or HIT) and ``owner`` to every request."""
     block = floor_div(F.col("us"), ttl_us)
     fill = F.struct("us", "id", "client")
+    none = F.lit(None).cast(T.StructType([fills.schema[c] for c in ("us", "id", "client")]))
     # A fill serves requests of its own block and of the next one.
     spread = fills.select(
         "cache_key",
         F.explode(
             F.array(
-                F.struct(block.alias("block"), fill.alias("here"), F.lit(None).cast(_FILL).alias("before")),
-                F.struct((block + 1).alias("block"), F.lit(None).cast(_FILL).alias("here"), fill.alias("before")),
+                F.struct(block.alias("block"), fill.alias("here"), none.alias("before")),
+                F.struct((block + 1).alias("block"), none.alias("here"), fill.alias("before")),
             )
         ).alias("s"),
     ).select("cache_key", "s.*")
@@ -153,15 +154,6 @@ def label_requests(requests: DataFrame, fills: DataFrame, ttl_us: int) -> DataFr
     )
 
 
-_FILL = T.StructType(
-    [
-        T.StructField("us", T.LongType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("client", T.LongType()),
-    ]
-)
-
-
 def ttl_replay(requests: DataFrame, ttl_us: int, cells_per_ttl: int = 256) -> DataFrame:
     """Every request labelled.  Private responses are never stored: always MISS."""
     shared = requests.filter(~F.col("private"))

@@ -8,10 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
-
-_STATE = StructType([StructField("expiry", LongType()), StructField("owner", LongType())])
-LABELLED = "cache_key string, us bigint, id bigint, client bigint, status string, owner bigint"
+from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
 
 class TtlEntry(StatefulProcessor):
@@ -23,13 +20,14 @@ class TtlEntry(StatefulProcessor):
     admission limit (files or bytes per trigger) bounds the memory.
     """
 
-    def __init__(self, ttl_us: int, idle_ms: int | None = None):
+    def __init__(self, ttl_us: int, client: DataType, idle_ms: int | None = None):
         self.ttl_us = ttl_us
+        self.state = StructType([StructField("expiry", LongType()), StructField("owner", client)])
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # An idle entry is dropped by the state store itself.
-        self.entry = handle.getValueState("entry", _STATE, self.idle_ms)
+        self.entry = handle.getValueState("entry", self.state, self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         chunks = [(b["us"].to_numpy(), b["id"].to_numpy(), b["client"].to_numpy()) for b in rows]
@@ -37,18 +35,18 @@ class TtlEntry(StatefulProcessor):
         order = np.lexsort((ids, us))
         us, ids, clients = us[order], ids[order], clients[order]
         expiry, owner = self.entry.get() if self.entry.exists() else (None, None)
-        owners = np.empty(len(us), dtype=np.int64)
+        owners = np.empty(len(us), dtype=object)
         missed = np.zeros(len(us), dtype=bool)
         at = 0
         while at < len(us):
             stop = at if expiry is None else at + int(np.searchsorted(us[at:], expiry))
-            owners[at:stop] = -1 if owner is None else owner
+            owners[at:stop] = owner
             if stop == len(us):
                 break
             missed[stop], owners[stop] = True, clients[stop]
-            expiry, owner = int(us[stop]) + self.ttl_us, int(clients[stop])
+            expiry, owner = int(us[stop]) + self.ttl_us, clients[stop]
             at = stop + 1
-        self.entry.update((int(expiry), int(owner)))
+        self.entry.update((expiry, owner.item() if isinstance(owner, np.generic) else owner))
         yield pd.DataFrame(
             {
                 "cache_key": key[0],
@@ -66,9 +64,12 @@ class TtlEntry(StatefulProcessor):
 
 def ttl_replay_stream(requests: DataFrame, ttl_us: int, idle_ms: int | None = None) -> DataFrame:
     """Streaming counterpart of the batch replay; same columns, append mode."""
-    return requests.select("cache_key", "us", "id", "client").groupBy("cache_key").transformWithStateInPandas(
-        statefulProcessor=TtlEntry(ttl_us, idle_ms),
-        outputStructType=LABELLED,
+    slim = requests.select("cache_key", "us", "id", "client")
+    client = slim.schema["client"].dataType
+    labelled = StructType([*slim.schema.fields, StructField("status", StringType()), StructField("owner", client)])
+    return slim.groupBy("cache_key").transformWithStateInPandas(
+        statefulProcessor=TtlEntry(ttl_us, client, idle_ms),
+        outputStructType=labelled,
         outputMode="Append",
         timeMode="None" if idle_ms is None else "ProcessingTime",
     )
