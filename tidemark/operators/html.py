@@ -70,9 +70,10 @@ def html_tokens(pages: DataFrame) -> DataFrame:
     annotation), ``comment`` (also doctype) or ``text`` (text before any tag).
     """
     clean = F.translate(F.col("html"), MARKS, "")
+    # The outer form keeps empty pages: they get one empty text token.
     cut = pages.select(
-        "page_id", F.posexplode(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(1))).alias("pos", "_t")
-    ).withColumn("_h", F.regexp_extract("_t", HEAD, 1))
+        "page_id", F.posexplode_outer(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(1))).alias("pos", "_t")
+    ).withColumns({"pos": F.coalesce("pos", F.lit(0)), "_t": F.coalesce("_t", F.lit(""))}).withColumn("_h", F.regexp_extract("_t", HEAD, 1))
     name = F.lower(F.regexp_extract("_h", r"^</?([a-zA-Z][a-zA-Z0-9:-]*)", 1))
     kind = (
         F.when(F.col("_h") == "", F.lit("text"))
@@ -413,21 +414,16 @@ def region_text(pages: DataFrame, regions: dict[str, list[str]]) -> DataFrame:
     """
     tokens = html_tokens(pages).withColumn("text", tx.decode_entities(F.col("text")))
     tokens = annotate(tokens, regions)
-    inside = tokens.filter(_any([F.col(f"in_{n}") for n in regions]))
     body = F.col("text")
     fields = [F.col("pos")]
     for name in regions:
         lead = F.when(F.col(f"at_{name}"), F.lit(" ")).otherwise("")
         fields.append(F.when(F.col(f"in_{name}"), F.concat(lead, body)).alias(f"r_{name}"))
-    rows = inside.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
-    found = rows.select(
-        "page_id",
-        *[
-            F.array_join(F.transform("rows", _field(f"r_{n}")), "").alias(f"text_{n}")
-            for n in regions
-        ],
+    inside = _any([F.col(f"in_{n}") for n in regions])
+    rows = tokens.groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.when(inside, F.struct(*fields)))).alias("rows")
     )
-    everything = pages.select("page_id").join(found, "page_id", "left")
-    return everything.select(
-        "page_id", *[F.coalesce(f"text_{n}", F.lit("")).alias(f"text_{n}") for n in regions]
+    return rows.select(
+        "page_id",
+        *[F.array_join(F.transform("rows", _field(f"r_{n}")), "").alias(f"text_{n}") for n in regions],
     )
