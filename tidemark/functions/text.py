@@ -33,7 +33,10 @@ MARKDOWN_STRIP = [
 WORD = r"([\p{L}\p{N}_']+)"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 # Python's \s, spelled out: Java's \s is ASCII only.
-SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+_SPACES = r"\s\x1c-\x1f\x85\p{Z}"
+# Runs of white space that are not yet a single plain space.  Leaving single
+# spaces alone keeps the number of replacements small.
+UNEVEN_SPACE = rf"[{_SPACES}]{{2,}}|[{_SPACES}&&[^ ]]"
 
 
 def _escape_class() -> str:
@@ -104,8 +107,8 @@ def nfkc_array(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Runs of spaces and tabs become one space; U+00A0 and U+200B handled."""
-    plain = F.translate(c, "\u00a0\u200b", " ")
-    return F.regexp_replace(plain, r"[ \t]+", " ")
+    plain = F.replace(F.replace(c, F.lit("\u00a0"), F.lit(" ")), F.lit("\u200b"), F.lit(""))
+    return F.regexp_replace(plain, r"[ \t]{2,}|\t", " ")
 
 
 def normalize(c: Column, compat: bool = True) -> Column:
@@ -113,7 +116,7 @@ def normalize(c: Column, compat: bool = True) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, SPACE + "+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(c, UNEVEN_SPACE, " "))
 
 
 def unescape(c: Column) -> Column:

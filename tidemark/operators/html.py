@@ -69,7 +69,7 @@ def html_tokens(pages: DataFrame) -> DataFrame:
     ``kind`` is ``tag``, ``raw`` (script, style, template, noscript,
     annotation), ``comment`` (also doctype) or ``text`` (text before any tag).
     """
-    clean = F.translate(F.col("html"), MARKS, "")
+    clean = F.regexp_replace("html", f"[{MARKS}]", "")
     # The outer form keeps empty pages: they get one empty text token.
     cut = pages.select(
         "page_id", F.posexplode_outer(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(1))).alias("pos", "_t")

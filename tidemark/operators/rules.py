@@ -4,7 +4,8 @@ Rules are rows (see ``sources.readers.RULE``) with an optional ``page_id``; a
 null page means the rule holds for every page.  A document meets its rules by
 an equi-join on the page, as one array per page, so a document crosses the
 network at most once whatever the number of rules.  Shared forms of the text
-are computed once per document, before the rules are unfolded.
+are computed once per document, and the rules are judged inside the row: only
+the small verdicts are unfolded, never the texts.
 """
 
 from __future__ import annotations
@@ -26,114 +27,114 @@ FEATURES = [
 _TEXT_ARGS = ["text", "body", "alt", "first", "second", "parent", "child"]
 
 
-def _arg(name: str) -> Column:
-    return F.col(f"rule.args.{name}")
+def _arg(rule: Column, name: str) -> Column:
+    return rule["args"][name]
 
 
-def _wanted(name: str) -> Column:
+def _wanted(rule: Column, name: str) -> Column:
     """An argument in its ``content`` form, prepared per rule."""
-    return F.col(f"rule.want.{name}")
+    return rule["want"][name]
 
 
-def _contains() -> Column:
-    return F.contains(F.col("content"), _wanted("text"))
+def _contains(rule: Column) -> Column:
+    return F.contains(F.col("content"), _wanted(rule, "text"))
 
 
-def _prose() -> Column:
-    return F.contains(F.col("prose"), F.col("rule.want_prose"))
+def _prose(rule: Column) -> Column:
+    return F.contains(F.col("prose"), rule["want_prose"])
 
 
-def _absent() -> Column:
-    return ~F.contains(F.col("flat"), F.col("rule.want_flat"))
+def _absent(rule: Column) -> Column:
+    return ~F.contains(F.col("flat"), rule["want_flat"])
 
 
-def _regex() -> Column:
-    return F.rlike(F.col("norm"), F.concat(F.lit("(?msdU)"), _arg("pattern")))
+def _regex(rule: Column) -> Column:
+    return F.rlike(F.col("norm"), F.concat(F.lit("(?msdU)"), _arg(rule, "pattern")))
 
 
-def _escape() -> Column:
-    return F.rlike(F.col("norm"), F.concat(F.lit("(?dU)"), _arg("pattern")))
+def _escape(rule: Column) -> Column:
+    return F.rlike(F.col("norm"), F.concat(F.lit("(?dU)"), _arg(rule, "pattern")))
 
 
-def _heading() -> Column:
-    want = F.regexp_replace(_wanted("text"), "[`*_]", "")
+def _heading(rule: Column) -> Column:
+    want = F.regexp_replace(_wanted(rule, "text"), "[`*_]", "")
     return (want != "") & F.exists(
         blocks.headings(F.col("norm")),
-        lambda h: (h["level"] == _arg("level")) & F.contains(h["text"], want),
+        lambda h: (h["level"] == _arg(rule, "level")) & F.contains(h["text"], want),
     )
 
 
-def _table() -> Column:
-    want = F.coalesce(F.col("rule.want_cells"), F.array().cast("array<string>"))
+def _table(rule: Column) -> Column:
+    want = F.coalesce(rule["want_cells"], F.array().cast("array<string>"))
 
     def fits(table: Column) -> Column:
         cells = F.transform(F.flatten(table), lambda c: tx.content(c, compat=False))
-        return (F.size(table) >= F.coalesce(_arg("min_rows"), F.lit(1))) & F.forall(
+        return (F.size(table) >= F.coalesce(_arg(rule, "min_rows"), F.lit(1))) & F.forall(
             want, lambda w: F.exists(cells, lambda c: (w == c) | ((w != "") & F.contains(c, w)))
         )
 
     return F.exists(blocks.tables(F.col("text")), fits)
 
 
-def _holds(body: Column) -> Column:
-    return F.contains(tx.content(body, compat=False), _wanted("body"))
+def _holds(rule: Column, body: Column) -> Column:
+    return F.contains(tx.content(body, compat=False), _wanted(rule, "body"))
 
 
-def _fence() -> Column:
-    lang = F.lower(_arg("lang"))
+def _fence(rule: Column) -> Column:
+    lang = F.lower(_arg(rule, "lang"))
     return F.exists(
         blocks.fences(F.col("text")),
-        lambda b: _holds(b["body"])
+        lambda b: _holds(rule, b["body"])
         & (F.coalesce(lang, F.lit("")).eqNullSafe("") | F.lower(b["lang"]).eqNullSafe(lang)),
     )
 
 
-def _code_block() -> Column:
-    return F.exists(blocks.fences(F.col("text")), lambda b: _holds(b["body"])) | F.exists(
-        blocks.indented(F.col("text")), _holds
+def _code_block(rule: Column) -> Column:
+    return F.exists(blocks.fences(F.col("text")), lambda b: _holds(rule, b["body"])) | F.exists(
+        blocks.indented(F.col("text")), lambda b: _holds(rule, b)
     )
 
 
-def _or_any(name: str, wanted: Column, anything: str) -> Column:
-    given = F.coalesce(_arg(name), F.lit("")) != ""
+def _or_any(given: Column, wanted: Column, anything: str) -> Column:
+    given = F.coalesce(given, F.lit("")) != ""
     return F.when(given, tx.quote_literal(wanted)).otherwise(F.lit(anything))
 
 
-def _link() -> Column:
-    href = tx.quote_literal(_arg("href"))
+def _link(rule: Column) -> Column:
+    href = tx.quote_literal(_arg(rule, "href"))
     inline = F.concat(
-        F.lit(r"\["), _or_any("text", _wanted("text"), r"[^\]]*"), F.lit(r"\]\(\s*<?[^)\s]*"), href
+        F.lit(r"\["), _or_any(_arg(rule, "text"), _wanted(rule, "text"), r"[^\]]*"), F.lit(r"\]\(\s*<?[^)\s]*"), href
     )
     reference = F.concat(F.lit(r"\]:\s*<?"), href)
     return F.rlike(F.col("content"), inline) | (
-        F.coalesce(_arg("allow_reference"), F.lit(False)) & F.rlike(F.col("text"), reference)
+        F.coalesce(_arg(rule, "allow_reference"), F.lit(False)) & F.rlike(F.col("text"), reference)
     )
 
 
-def _image() -> Column:
+def _image(rule: Column) -> Column:
     pattern = F.concat(
-        F.lit(r"!\["), _or_any("alt", _wanted("alt"), r"[^\]]*"), F.lit(r"\]\(\s*<?[^)\s]*"),
-        _or_any("src", _arg("src"), ""),
+        F.lit(r"!\["), _or_any(_arg(rule, "alt"), _wanted(rule, "alt"), r"[^\]]*"), F.lit(r"\]\(\s*<?[^)\s]*"),
+        _or_any(_arg(rule, "src"), _arg(rule, "src"), ""),
     )
     return F.rlike(F.col("content"), pattern)
 
 
-def _order() -> Column:
-    first = F.position(_wanted("first"), F.col("content"))
-    second = F.position(_wanted("second"), F.col("content"))
+def _order(rule: Column) -> Column:
+    first = F.position(_wanted(rule, "first"), F.col("content"))
+    second = F.position(_wanted(rule, "second"), F.col("content"))
     return (first > 0) & (second > 0) & (first < second)
 
 
-def _list_nesting() -> Column:
-    return blocks.nested(blocks.items(F.col("norm")), _wanted("parent"), _wanted("child"))
+def _list_nesting(rule: Column) -> Column:
+    return blocks.nested(blocks.items(F.col("norm")), _wanted(rule, "parent"), _wanted(rule, "child"))
 
 
-RULE_TYPES: dict[str, Callable[[], Column]] = {
+RULE_TYPES: dict[str, Callable[[Column], Column]] = {
     "contains": _contains,
     "prose": _prose,
     "absent": _absent,
     "regex": _regex,
-    "not_regex": lambda: ~_regex(),
+    "not_regex": lambda rule: ~_regex(rule),
     "heading": _heading,
     "table": _table,
     "fence": _fence,
@@ -191,7 +192,7 @@ def evaluate(outputs: DataFrame, rules: DataFrame, types: list[str] | None = Non
         prepared.filter("page_id IS NOT NULL")
         .groupBy("page_id").agg(F.collect_list("rule").alias("own"))
     )
-    docs = outputs.withColumn("text", tx.nfkc(F.col("md")))
+    docs = outputs.withColumn("text", tx.nfkc(F.coalesce("md", F.lit(""))))
     docs = docs.withColumn("norm", tx.squeeze(F.col("text"))).join(own, "page_id", "left")
     docs = docs.withColumns(
         {
@@ -204,23 +205,28 @@ def evaluate(outputs: DataFrame, rules: DataFrame, types: list[str] | None = Non
             ),
         }
     )
-    pairs = docs.select(
-        "page_id", "tool", "kind", "text", "norm", "flat", "content", "prose",
-        F.explode("_rules").alias("rule"),
-    ).filter(F.col("rule.applies_to").isin("all") | (F.col("rule.applies_to") == F.col("kind")))
-    ok = F.raise_error(F.concat(F.lit("unknown rule type: "), F.coalesce("rule.type", F.lit("null")))).cast("boolean")
-    for name in reversed(types):
-        ok = F.when(F.col("rule.type") == name, RULE_TYPES[name]()).otherwise(ok)
-    inverted = F.col("rule.invert_for").eqNullSafe(F.col("kind"))
-    return pairs.select(
-        "page_id", "tool", "kind",
-        F.col("rule.id").alias("rule_id"),
-        F.col("rule.feature").alias("feature"),
-        F.col("rule.type").alias("type"),
-        F.col("rule.weight").alias("weight"),
-        (F.coalesce(ok, F.lit(False)) != inverted).alias("ok"),
+    in_scope = F.filter(
+        "_rules", lambda r: (r["applies_to"] == "all") | (r["applies_to"] == F.col("kind"))
     )
 
+    def judged(r: Column) -> Column:
+        ok = F.raise_error(F.concat(F.lit("unknown rule type: "), F.coalesce(r["type"], F.lit("null")))).cast("boolean")
+        for name in reversed(types):
+            ok = F.when(r["type"] == name, RULE_TYPES[name](r)).otherwise(ok)
+        inverted = r["invert_for"].eqNullSafe(F.col("kind"))
+        return F.struct(
+            r["id"].alias("rule_id"), r["feature"].alias("feature"), r["type"].alias("type"),
+            r["weight"].alias("weight"), (F.coalesce(ok, F.lit(False)) != inverted).alias("ok"),
+        )
+
+    # The null test names every shared form a second time: a column used once
+    # would be folded into the lambda and computed again for each rule.
+    forms = ["text", "norm", "content"]
+    forms += [form for form, kind in (("flat", "absent"), ("prose", "prose")) if kind in types]
+    shared = F.coalesce(*[F.length(c) for c in forms])
+    verdicts = F.when(shared.isNotNull(), F.transform(in_scope, judged))
+    return docs.select("page_id", "tool", "kind", F.inline(verdicts))
+
 
 def scores(results: DataFrame, keys: list[str]) -> DataFrame:
     """Passed, total and weighted rate; the rate is null when the weights sum to 0."""

@@ -21,6 +21,8 @@ RUNTIME_CONF = {
     # Work here is regex-heavy: small partitions still deserve their own task.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Windows leave rows sorted by their keys; grouping can then stream.
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
 }
@@ -33,6 +35,8 @@ def build_session(app: str = "tidemark", cpus: int | None = None, **conf: str) -
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        # Call-site capture doubles the time it takes to build wide expressions.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cpus))
     )
