@@ -185,7 +185,7 @@ def test_published_league_order(spark):
         quality.tool_summary(scores, times.filter("tool <> 'htmd'")).collect()
 
 
-def test_nfkc_prefilter_misses_nothing(spark):
+def test_nfkc_follows_python(spark):
     """Every basic-plane character alone and after a letter, compared with the standard library."""
     import unicodedata
 

@@ -1,17 +1,11 @@
 """Text normalisation as Column expressions.
 
-Everything runs inside the JVM except Unicode NFKC, which Spark has no built-in
-for; that one step is an Arrow UDF that receives only the strings NFKC could
-change (all others travel as null).
+Everything runs inside the JVM, Unicode NFKC included.
 """
 
 from __future__ import annotations
 
-import functools
-import unicodedata
-
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 # Characters a backslash may escape in Markdown.
 ESCAPABLE = "\\`*_{}[]()#+-.!|<>~=\"'"
@@ -43,66 +37,21 @@ def _escape_class() -> str:
     return "".join("\\" + ch for ch in ESCAPABLE)
 
 
-@functools.lru_cache(maxsize=1)
-def nfkc_suspect() -> tuple[str, str]:
-    """Two character tests, quick and wide: a character outside the spans NFKC surely leaves alone.
+def nfkc(c: Column) -> Column:
+    """Unicode NFKC, through the ICU library that ships with Spark.
 
-    Built from the rule, not from a list: a basic-plane code point is stable
-    when NFKC maps it to itself and it can not compose with its neighbour (no
-    mark, no conjoining Jamo).  The class is kept small, because the regex
-    engine tries its ranges in turn: Latin-1 as single characters (one lookup),
-    then the long spans of the common scripts.  Any other character merely
-    takes the slower way.
+    Staying in the JVM keeps the row's partitioning: a Python UDF here would
+    cost one more exchange of whole documents.
     """
-
-    def stable(cp: int) -> bool:
-        ch = chr(cp)
-        if 0xD800 <= cp <= 0xDFFF or 0x1100 <= cp <= 0x11FF or unicodedata.category(ch)[0] == "M":
-            return False
-        return unicodedata.normalize("NFKC", ch) == ch
-
-    spans: list[list[int]] = []
-    for cp in filter(stable, range(0x100, 0x10000)):
-        if spans and spans[-1][1] == cp - 1:
-            spans[-1][1] = cp
-        else:
-            spans.append([cp, cp])
-    common = [(lo, hi) for lo, hi in spans if hi - lo >= (40 if lo < 0x600 else 4000) or 0x3040 <= hi <= 0x30FF]
-    latin = "".join(f"\\x{cp:02x}" for cp in range(0x100) if stable(cp))
-    ranges = "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in common)
-    return f"[^{latin}]", f"[^{latin}{ranges}]"
-
-
-@F.pandas_udf(T.StringType())
-def _nfkc_udf(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _nfkc_array_udf(values: pd.Series) -> pd.Series:
-    def one(items):
-        if items is None:
-            return None
-        return [None if v is None else unicodedata.normalize("NFKC", v) for v in items]
-
-    return values.map(one)
-
-
-def _suspect(c: Column) -> Column:
-    quick, wide = nfkc_suspect()
-    return F.rlike(c, F.lit(quick)) & F.rlike(c, F.lit(wide))
-
-
-def nfkc(c: Column) -> Column:
-    sensitive = F.when(_suspect(c), c)
-    return F.coalesce(_nfkc_udf(sensitive), c)
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(c.isNotNull(), composed)
 
 
 def nfkc_array(c: Column) -> Column:
-    sensitive = F.when(
-        F.exists(c, _suspect), c
-    )
-    return F.coalesce(_nfkc_array_udf(sensitive), c)
+    """NFKC of every element; control marks keep elements and nulls apart."""
+    parts = F.split(nfkc(F.array_join(c, "\u0001", "\u0002")), "\u0001")
+    done = F.transform(parts, lambda x: F.nullif(x, F.lit("\u0002")))
+    return F.when(F.size(c) > 0, done).otherwise(c)
 
 
 def squeeze(c: Column) -> Column:
