@@ -345,9 +345,10 @@ def tidy(joined: Column) -> Column:
     """Break marks to newlines, one blank line at most between blocks."""
     c = F.regexp_replace(joined, f"{GLUE}[ {PARA}{LINE}{GLUE}{BREAK}]*", "")
     c = F.regexp_replace(c, f" *{CELL} *", " | ")
-    c = F.regexp_replace(c, f"[ {LINE}{BREAK}]*{PARA}[ {PARA}{LINE}{BREAK}]*", "\n\n")
-    c = F.regexp_replace(c, f"[ {LINE}]*{LINE}[ {LINE}]*", "\n")
-    c = F.regexp_replace(c, f" *{BREAK} *", "\n")
+    c = F.regexp_replace(c, f" +(?=[{PARA}{LINE}{BREAK}])", "")
+    c = F.regexp_replace(c, f"[{LINE}{BREAK}]*{PARA}[ {PARA}{LINE}{BREAK}]*", "\n\n")
+    c = F.regexp_replace(c, f"{LINE}[ {LINE}]*", "\n")
+    c = F.regexp_replace(c, f"{BREAK} *", "\n")
     c = F.regexp_replace(c, f"\n?{CLOSE}", "\n")
     c = F.replace(c, F.lit(INDENT), F.lit("  "))
     return F.regexp_replace(c, r"\A\s+|\s+\z", "")
