@@ -187,12 +187,16 @@ def event_clock(t):
 
 @query("""
 SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n,
-       round(avg(value), 4) AS avg_value
+       CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / (count(value) * 100) AS avg_value
 FROM events GROUP BY 1
 """)
 def json_props_agg(t):
+    """Cents keep the average of the small groups independent of the order of addition."""
     parsed = t.events.withColumn("k", F.from_json("props", "k int")["k"])
-    return op.group_agg(parsed, ["k"], {"avg_value": "value"})
+    cents = F.sum(F.round(F.col("value") * 100).cast("bigint")).cast("double")
+    return parsed.groupBy("k").agg(
+        F.count("*").alias("n"), (cents / (F.count("value") * 100)).alias("avg_value")
+    )
 
 
 @query("""
