@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types as pytypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.session import scratch_path
 
@@ -35,16 +36,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(*frames) -> None:
-    """Lets Spark's cleaner remove shuffle files of finished jobs (it waits for a JVM collection)."""
-    import gc
+def discard(df: DataFrame | None) -> None:
+    """Deletes the files of a table of ``written`` that nothing reads any more."""
+    if df is None:
+        return
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir")
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        assert root.removeprefix("file://").rstrip("/") in name
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    from pyspark.sql import SparkSession
 
+def free_shuffles() -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished jobs: it acts when the driver collects garbage."""
     gc.collect()
     spark = SparkSession.getActiveSession()
     if spark is not None:
-        spark.sparkContext._jvm.System.gc()
+        spark._jvm.System.gc()
 
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, packing, secrets, toxicity
+from tidemark.llm import bpe, packing, secrets, substrings, suffixes, toxicity
 from tidemark.session import apply_runtime_conf
 
 
@@ -17,6 +17,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffixes(spark: SparkSession, root: str) -> DataFrame:
+    return suffixes.dedup(_table(spark, root, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, root: str) -> DataFrame:
     docs = _table(spark, root, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, root, "labels")))
@@ -26,6 +30,10 @@ def op7_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_digest(_table(spark, root, "documents"), vocabulary())
 
 
+def op8_substrings(spark: SparkSession, root: str) -> DataFrame:
+    return substrings.remove(_table(spark, root, "documents"))
+
+
 def op9_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(_table(spark, root, "documents"), vocabulary())
 
@@ -34,5 +42,5 @@ def op10_secrets(spark: SparkSession, root: str) -> DataFrame:
     return secrets.find(_table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op7_bpe, op9_packing, op10_secrets)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_suffixes, op4_toxicity, op7_bpe, op8_substrings, op9_packing, op10_secrets)}
+ORACLES = {"op1_suffixes": suffixes.ORACLE, "op8_substrings": substrings.ORACLE}
