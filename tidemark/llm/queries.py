@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, packing, secrets, substrings, suffixes, toxicity
+from tidemark.llm import bpe, packing, quality, secrets, substrings, suffixes, toxicity, vectors, warc
 from tidemark.session import apply_runtime_conf
 
 
@@ -21,11 +21,24 @@ def op1_suffixes(spark: SparkSession, root: str) -> DataFrame:
     return suffixes.dedup(_table(spark, root, "documents"))
 
 
+def op3_warc(spark: SparkSession, root: str) -> DataFrame:
+    return warc.round_trip(_table(spark, root, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, root: str) -> DataFrame:
     docs = _table(spark, root, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, root, "labels")))
 
 
+def op5_quality(spark: SparkSession, root: str) -> DataFrame:
+    docs = _table(spark, root, "documents")
+    return quality.judge(docs, quality.learn(docs, _table(spark, root, "labels")))
+
+
+def op6_vectors(spark: SparkSession, root: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, root, "embeddings"))
+
+
 def op7_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_digest(_table(spark, root, "documents"), vocabulary())
 
@@ -42,5 +55,5 @@ def op10_secrets(spark: SparkSession, root: str) -> DataFrame:
     return secrets.find(_table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffixes, op4_toxicity, op7_bpe, op8_substrings, op9_packing, op10_secrets)}
-ORACLES = {"op1_suffixes": suffixes.ORACLE, "op8_substrings": substrings.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_suffixes, op3_warc, op4_toxicity, op5_quality, op6_vectors, op7_bpe, op8_substrings, op9_packing, op10_secrets)}
+ORACLES = {"op1_suffixes": suffixes.ORACLE, "op3_warc": warc.ORACLE, "op8_substrings": substrings.ORACLE}
