@@ -19,14 +19,14 @@ from tidemark.llm.common import pieces, raw_bytes, text_or_empty
 
 SCHEMA = "bucket int, chunk long, own boolean, payload binary"
 #: Bytes of text in a chunk.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 LAST = (1 << 63) - 1
 
 
 def bucket_bits(spark: SparkSession) -> int:
-    """Bits of a key that name its bucket: at least eight buckets for each shuffle partition."""
+    """Bits of a key that name its bucket: two to four buckets for each shuffle partition."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(20, max(6, (8 * parts - 1).bit_length()))
+    return min(20, max(6, (2 * parts - 1).bit_length()))
 
 
 def doc_key() -> Column:
@@ -64,13 +64,17 @@ def rows(buckets: list[int], chunks: list[int], own: list[bool], payloads: list[
     )
 
 
-def to_buckets(chunk: int, key: np.ndarray, bits: int, **columns: np.ndarray) -> Iterator[tuple[int, int, bool, bytes]]:
-    """One packed row for each bucket that has entries; order within a bucket is kept."""
-    bucket = (key >> np.uint64(64 - bits)).astype(np.uint32)
+def to_buckets(chunk: int, by: np.ndarray, bits: int, **columns: np.ndarray | None) -> Iterator[tuple[int, int, bool, bytes]]:
+    """One packed row for each bucket that has entries; order within a bucket is kept.
+
+    The number that names the bucket goes along as ``key``, unless ``key`` is given as None.
+    """
+    columns = {n: c for n, c in ({"key": by} | columns).items() if c is not None}
+    bucket = (by >> np.uint64(64 - bits)).astype(np.uint32)
     order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
     cut = np.flatnonzero(np.diff(bucket[order])) + 1
     for part in np.split(order, cut) if len(order) else []:
-        yield int(bucket[part[0]]), chunk, False, pack(["key", *columns], [key[part], *(c[part] for c in columns.values())])
+        yield int(bucket[part[0]]), chunk, False, pack(list(columns), [c[part] for c in columns.values()])
 
 
 def own_row(chunk: int, bits: int, **columns: np.ndarray) -> tuple[int, int, bool, bytes]:
@@ -142,14 +146,34 @@ def build_rows(out: list[tuple[int, int, bool, bytes]]) -> pa.RecordBatch:
     return rows([r[0] for r in out], [r[1] for r in out], [r[2] for r in out], [r[3] for r in out])
 
 
-def first_of_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """order (stable by key), group starts in it, group sizes."""
-    order = np.argsort(key, kind="stable")
+def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by key, the start of each key's group in it, and the sizes of the groups."""
+    order = np.argsort(key)
     k = key[order]
     start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     return order, start, np.diff(np.append(start, len(k)))
 
 
+def crowded(key: np.ndarray, most: int = 16) -> np.ndarray:
+    """Which entries of a chunk may belong to a key that has more than ``most`` of them: only those need grouping."""
+    slot = (key & np.uint64((1 << 20) - 1)).astype(np.int32)
+    return np.bincount(slot, minlength=1 << 20)[slot] > most
+
+
+def shared_names(name: np.ndarray) -> np.ndarray:
+    """Which of the names, numbers below 2^40, occur more than once."""
+    out = np.zeros(len(name), bool)
+    if len(name) < 1 << 24:  # name and place fit one number, and numbers sort fastest
+        packed = np.sort(name << np.uint64(24) | np.arange(len(name), dtype=np.uint64))
+        twin = (packed[1:] >> np.uint64(24)) == (packed[:-1] >> np.uint64(24))
+        place = (packed & np.uint64((1 << 24) - 1)).astype(np.int64)
+        out[place[1:][twin]] = out[place[:-1][twin]] = True
+    else:
+        order, _, size = groups(name)
+        out[order] = np.repeat(size > 1, size)
+    return out
+
+
 SPANS = "_key long, _print long, marks binary"
 
 

@@ -27,9 +27,13 @@ def _letters(lane: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD[lane]))
 
 
+#: Bytes that share one run of powers; longer rows get a longer run.
+_SEGMENT = 1 << 18
+
+
 def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, 0 to n - 1; kept per process and grown when needed."""
-    size = 1 << max(21, int(n).bit_length())
+    """Powers of an odd base and of its inverse, 0 to n - 1 at least; kept per process."""
+    size = 1 << max(19, int(n).bit_length())
 
     def build():
         base = _ODD[lane]
@@ -41,15 +45,26 @@ def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RunHashes:
-    """Hashes of byte runs of one block; ``lane`` picks one of two independent functions."""
-
-    def __init__(self, body: np.ndarray, lane: int = 0):
-        up, self.down = _powers(lane, len(body) + 1)
+    """Hashes of byte runs that stay within a row of a block; ``lane`` picks one of two independent functions."""
+
+    def __init__(self, body: np.ndarray, at: np.ndarray, lane: int = 0):
+        # Powers start anew at some row starts, so tables and temporary arrays stay small.
+        starts = [0]
+        for k in np.searchsorted(at, np.arange(_SEGMENT, len(body), _SEGMENT), "right") - 1:
+            if at[k] > starts[-1]:
+                starts.append(int(at[k]))
+        self.starts = np.array(starts)
+        ends = np.append(self.starts[1:], len(body))
+        up, self.down = _powers(lane, int((ends - self.starts).max()) + 1)
+        letters = _letters(lane)
         self.sums = np.zeros(len(body) + 1, np.uint64)
-        np.cumsum(_letters(lane)[body] * up[: len(body)], out=self.sums[1:])
+        for a, b in zip(self.starts, ends):
+            np.multiply(letters[body[a:b]], up[: b - a], out=self.sums[a + 1 : b + 1])
+        np.cumsum(self.sums, out=self.sums)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        within = start if len(self.starts) == 1 else start - self.starts[np.searchsorted(self.starts, start, "right") - 1]
+        return mix((self.sums[end] - self.sums[start]) * self.down[within] + (end - start).astype(np.uint64))
 
 
 # The white space of the word rule, \x20 and \x09 to \x0D.

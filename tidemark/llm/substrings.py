@@ -42,22 +42,25 @@ def _windows(word: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 
 def _repeated(chunk: int, bits: int, keys, prints, first, position, name):
-    """Rows of a level: first occurrences go to the buckets, the others are known to repeat already."""
-    order, start, size = X.first_of_key(name)
-    lone = order[start]
-    local = order[np.repeat(size > 1, size)]
+    """Rows of a level: names go to the buckets; of a name that crowds the chunk one entry goes, all are known to repeat."""
+    many = np.flatnonzero(X.crowded(name))
+    order, start, size = X.groups(name[many])
+    lone, local = many[order[start]], many[order[np.repeat(size > 1, size)]]
     yield X.own_row(chunk, bits, keys=keys, prints=prints, first=first, position=position[local].astype(np.int32), name=name[local])
-    known = (size > 1)[np.argsort(lone, kind="stable")]
-    lone = np.sort(lone)
-    yield from X.to_buckets(chunk, name[lone], bits, position=position[lone].astype(np.int32), known=known.astype(np.uint8))
+    goes, known = np.ones(len(name), bool), np.zeros(len(name), np.uint8)
+    goes[many] = False
+    goes[lone] = True
+    known[lone[size > 1]] = 1
+    go = np.flatnonzero(goes)
+    yield from X.to_buckets(chunk, name[go], bits, position=position[go].astype(np.int32), known=known[go])
 
 
 def _answer_repeated(chunks, entries):
-    """Positions whose name occurs in another chunk too, and which their chunk does not know of."""
+    """Positions whose name has other entries, and of which their chunk does not know that."""
     key = np.concatenate([e["key"] for e in entries])
-    order, start, size = X.first_of_key(key)
+    order, _, size = X.groups(key)
     hit = np.zeros(len(key), bool)
-    hit[order[np.repeat(size > 1, size)]] = True
+    hit[order] = np.repeat(size > 1, size)
     at = 0
     for chunk, e in zip(chunks, entries):
         n = len(e["key"])
@@ -97,7 +100,7 @@ def marks(docs: DataFrame, window: int = WINDOW, start: int = START, text: str =
     def read(batches):
         for chunk, keys, prints, body, at in X.read_chunks(batches):
             begin, end, first = runs(~WHITE[body], at)
-            word = RunHashes(body).of(begin, end)
+            word = RunHashes(body, at).of(begin, end)
             row = np.repeat(np.arange(len(at) - 1), np.diff(first))
             yield X.build_rows(list(_repeated(chunk, bits, keys, prints, first.astype(np.int32), *_windows(word, row, start))))
 
@@ -136,33 +139,39 @@ def marks(docs: DataFrame, window: int = WINDOW, start: int = START, text: str =
     return out
 
 
+def _later(key, left, doc, word):
+    """Which entries come after the first (document, start) of their key; ``left`` tells equal keys apart."""
+    order, start, size = X.groups(key)
+    if len(order) and (np.minimum.reduceat(left[order], start) != np.maximum.reduceat(left[order], start)).any():
+        order = np.lexsort((left, key))
+        k, l = key[order], left[order]
+        start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (l[1:] != l[:-1])]))
+        size = np.diff(np.append(start, len(k)))
+    out = np.zeros(len(order), bool)
+    if len(order):
+        d, w = doc[order], word[order]
+        least = np.repeat(np.minimum.reduceat(d, start), size)
+        begin = np.repeat(np.minimum.reduceat(np.where(d == least, w, np.iinfo(w.dtype).max), start), size)
+        out[order] = (d > least) | (w > begin)
+    return out
+
+
 def _ordered(chunk, bits, keys, prints, first, position, left, right):
-    """The last level: of equal windows in a chunk the first by (document, start) goes on, the others are marked."""
+    """The last level: of windows that crowd a chunk the first by (document, start) goes on, the others are marked."""
     doc = np.searchsorted(first, position, "right") - 1
     key, word = keys[doc], (position - first[doc]).astype(np.int32)
-    order = np.lexsort((position, word, key, right, left))
-    l, r = left[order], right[order]
-    head = np.concatenate([[True], (l[1:] != l[:-1]) | (r[1:] != r[:-1])]) if len(l) else np.zeros(0, bool)
-    group = np.cumsum(head) - 1
-    lead = order[head]
-    # Later ones are marked unless they tie with the first in document and start (a repeated row).
-    tie = (key[order] == key[lead][group]) & (word[order] == word[lead][group]) if len(l) else head
-    later = order[~tie]
-    go = order[tie]
-    yield X.own_row(chunk, bits, keys=keys, prints=prints, first=first, position=position[later].astype(np.int32))
-    whole = mix(left[go] ^ mix(right[go]))
-    yield from X.to_buckets(chunk, whole, bits, left=left[go], right=right[go], doc=key[go], word=word[go], position=position[go].astype(np.int32))
+    whole = mix(left ^ mix(right))
+    marked = np.zeros(len(position), bool)
+    many = np.flatnonzero(X.crowded(whole))
+    marked[many] = _later(whole[many], left[many], key[many], word[many])
+    yield X.own_row(chunk, bits, keys=keys, prints=prints, first=first, position=position[marked].astype(np.int32))
+    go = np.flatnonzero(~marked)
+    yield from X.to_buckets(chunk, whole[go], bits, left=left[go], doc=key[go], word=word[go], position=position[go].astype(np.int32))
 
 
 def _answer_ordered(chunks, entries):
     """Positions of entries that are not the first of their window."""
-    col = {c: np.concatenate([e[c] for e in entries]) for c in ("left", "right", "doc", "word")}
-    order = np.lexsort((col["word"], col["doc"], col["right"], col["left"]))
-    l, r = col["left"][order], col["right"][order]
-    head = np.concatenate([[True], (l[1:] != l[:-1]) | (r[1:] != r[:-1])])
-    lead = order[head][np.cumsum(head) - 1]
-    later = np.zeros(len(order), bool)
-    later[order] = (col["doc"][order] != col["doc"][lead]) | (col["word"][order] != col["word"][lead])
+    later = _later(*(np.concatenate([e[c] for e in entries]) for c in ("key", "left", "doc", "word")))
     at = 0
     for chunk, e in zip(chunks, entries):
         n = len(e["key"])

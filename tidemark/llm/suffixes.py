@@ -35,8 +35,6 @@ WIDTH = 50
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 #: Shares of the buckets that are worked on one after the other: sample, suffixes.
 ROUNDS = (2, 4)
-CHUNK = 4 << 20
-
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -92,39 +90,33 @@ def _union(marks: list[bytes] | None, n: int) -> np.ndarray:
 
 
 def _sample_rows(chunk, bits, keys, prints, body, at, depth, rounds, number):
-    """Names of the sample suffixes of a chunk; what two documents of the chunk share goes on once."""
+    """Names of the sample suffixes of a chunk; of a name that crowds the chunk one entry goes, all are known as shared."""
     row, place = _documents(at)
     position = np.flatnonzero(_IN_COVER[place % PERIOD] & (place + depth <= np.diff(at).astype(np.int32)[row]))
-    name = RunHashes(body).of(position, position + depth)
+    del row, place
+    name = RunHashes(body, at).of(position, position + depth)
     mine = _round_of(name, rounds, number)
     position, name = position[mine], name[mine]
-    order, start, size = X.first_of_key(name)
-    lead, tail = order[start], order[start + size - 1]
-    shared = row[position[lead]] != row[position[tail]]
-    local = order[np.repeat(shared, size)]
-    go = np.sort(np.concatenate([order[np.repeat(~shared, size)], lead[shared]]))
-    known = np.zeros(len(name), np.uint8)
-    known[lead[shared]] = 1
+    many = np.flatnonzero(X.crowded(name))
+    order, start, size = X.groups(name[many])
+    lone, local = many[order[start]], many[order[np.repeat(size > 1, size)]]
     yield X.own_row(chunk, bits, keys=keys, prints=prints, first=at.astype(np.int32), position=np.sort(position[local]).astype(np.int32))
+    goes, known = np.ones(len(name), bool), np.zeros(len(name), np.uint8)
+    goes[many] = False
+    goes[lone] = True
+    known[lone[size > 1]] = 1
+    go = np.flatnonzero(goes)
     rest = name[go] << np.uint64(bits)  # the bucket names the leading bits
-    for bucket, c, own, payload in X.to_buckets(chunk, name[go], bits, top=(rest >> np.uint64(32)).astype(np.uint32), more=(rest >> np.uint64(24)).astype(np.uint8), known=known[go], **_small(position[go])):
-        columns = X.thaw(payload)
-        del columns["key"]
-        yield bucket, c, own, X.pack(list(columns), list(columns.values()))
+    yield from X.to_buckets(chunk, name[go], bits, key=None, top=(rest >> np.uint64(32)).astype(np.uint32), more=(rest >> np.uint64(24)).astype(np.uint8), known=known[go], **_small(position[go]))
 
 
 def _answer_sample(chunks, entries):
-    """Positions whose name another chunk has too, and which their chunk does not know of."""
-    sizes = [len(e["top"]) for e in entries]
-    name = np.concatenate([e["top"] for e in entries]).astype(np.uint64) << np.uint64(8) | np.concatenate([e["more"] for e in entries])
-    source = np.repeat(np.arange(len(sizes)), sizes)
-    order, start, size = X.first_of_key(name)
-    shared = source[order[start]] != source[order[start + size - 1]]
-    hit = np.zeros(len(name), bool)
-    hit[order[np.repeat(shared, size)]] = True
+    """Positions whose name has other entries, and of which their chunk does not know that."""
+    shared = X.shared_names(np.concatenate([e["top"] for e in entries]).astype(np.uint64) << np.uint64(8) | np.concatenate([e["more"] for e in entries]))
     at = 0
-    for chunk, e, n in zip(chunks, entries, sizes):
-        wanted = hit[at : at + n] & (e["known"] == 0)
+    for chunk, e in zip(chunks, entries):
+        n = len(e["top"])
+        wanted = shared[at : at + n] & (e["known"] == 0)
         at += n
         if wanted.any():
             yield chunk, X.pack(["low", "high"], [e["low"][wanted], e["high"][wanted]])
@@ -133,34 +125,40 @@ def _answer_sample(chunks, entries):
 # -- suffixes ------------------------------------------------------------------------------------------------------
 
 
-def _suffix_rows(chunk, bits, keys, prints, body, at, candidate, width, rounds, number):
-    """Possible long ties of a chunk: the first document of each goes on, later ones are marked."""
-    place = np.flatnonzero(candidate)
-    lead = RunHashes(body, 0).of(place, place + PERIOD)
-    rest = RunHashes(body, 1).of(place + PERIOD, place + width)
+def _after_first(key, rest, doc):
+    """Which suffixes tie over the whole width with one of an earlier document."""
+    order, start, size = X.groups(key)
+    if len(order) and (np.minimum.reduceat(rest[order], start) != np.maximum.reduceat(rest[order], start)).any():
+        order = np.lexsort((rest, key))
+        k, r = key[order], rest[order]
+        start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]))
+        size = np.diff(np.append(start, len(k)))
+    out = np.zeros(len(order), bool)
+    if len(order):
+        d = doc[order]
+        out[order] = d > np.repeat(np.minimum.reduceat(d, start), size)
+    return out
+
+
+def _suffix_rows(chunk, bits, keys, prints, body, at, place, width, rounds, number):
+    """Possible long ties of a chunk; of suffixes that crowd the chunk the first document goes on, later ones are marked."""
+    lead = RunHashes(body, at, 0).of(place, place + PERIOD)
+    rest = RunHashes(body, at, 1).of(place + PERIOD, place + width)
     whole = mix(lead ^ mix(rest))
     mine = _round_of(whole, rounds, number)
-    place, lead, rest, whole = place[mine], lead[mine], rest[mine], whole[mine]
+    place, whole, rest = place[mine], whole[mine], (rest[mine] >> np.uint64(32)).astype(np.uint32)
+    del lead
     key = keys[np.searchsorted(at, place, "right") - 1]
-    order, start, size = X.first_of_key(whole)
-    smallest = np.minimum.reduceat(key[order], start) if len(start) else key[:0]
-    lowest = np.empty(len(order), np.int64)
-    lowest[order] = np.repeat(smallest, size)
-    later = np.flatnonzero(key > lowest)
-    go = np.flatnonzero(key == lowest)
-    yield X.own_row(chunk, bits, keys=keys, prints=prints, first=at.astype(np.int32), position=place[later].astype(np.int32))
-    yield from X.to_buckets(chunk, whole[go], bits, rest=(rest[go] >> np.uint64(32)).astype(np.uint32), doc=key[go], **_small(place[go]))
+    marked = np.zeros(len(place), bool)
+    many = np.flatnonzero(X.crowded(whole))
+    marked[many] = _after_first(whole[many], rest[many], key[many])
+    yield X.own_row(chunk, bits, keys=keys, prints=prints, first=at.astype(np.int32), position=place[marked].astype(np.int32))
+    go = np.flatnonzero(~marked)
+    yield from X.to_buckets(chunk, whole[go], bits, rest=rest[go], doc=key[go], **_small(place[go]))
 
 
 def _answer_suffix(chunks, entries):
-    """Positions of suffixes that tie over the whole width with one of an earlier document."""
-    col = {c: np.concatenate([e[c] for e in entries]) for c in ("key", "rest", "doc")}
-    order = np.lexsort((col["doc"], col["rest"], col["key"]))
-    k, r = col["key"][order], col["rest"][order]
-    head = np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
-    doc = col["doc"][order]
-    later = np.zeros(len(order), bool)
-    later[order] = doc > doc[head][np.cumsum(head) - 1]
+    later = _after_first(*(np.concatenate([e[c] for e in entries]) for c in ("key", "rest", "doc")))
     at = 0
     for chunk, e in zip(chunks, entries):
         n = len(e["key"])
@@ -199,7 +197,7 @@ def marks(docs: DataFrame, width: int = WIDTH, rounds: tuple[int, int] = ROUNDS,
 
     def sample(number):
         def run(batches):
-            for chunk, keys, prints, body, at in X.read_chunks(batches, CHUNK):
+            for chunk, keys, prints, body, at in X.read_chunks(batches):
                 yield X.build_rows(list(_sample_rows(chunk, bits, keys, prints, body, at, depth, rounds[0], number)))
 
         return rows.mapInArrow(run, X.SCHEMA)
@@ -216,14 +214,9 @@ def marks(docs: DataFrame, width: int = WIDTH, rounds: tuple[int, int] = ROUNDS,
     def suffixes(number):
         def run(batches):
             for chunk, keys, prints, body, at, marked in _marked_chunks(batches):
-                n = np.diff(at)
-                candidate = np.concatenate([_union(m, max(0, int(k) - width + 1)) if k >= width else np.zeros(0, bool) for m, k in zip(marked, n)] or [np.zeros(0, bool)])
-                where = np.flatnonzero(candidate)
-                starts = np.maximum(n - width + 1, 0)
-                shift = at[:-1] - np.concatenate([[0], np.cumsum(starts)[:-1]])
-                full = np.zeros(len(body), bool)
-                full[where + np.repeat(shift, starts)[where]] = True
-                yield X.build_rows(list(_suffix_rows(chunk, bits, keys, prints, body, at, full, width, rounds[1], number)))
+                place = [a + np.flatnonzero(_union(m, n - width + 1)) for a, n, m in zip(at[:-1].tolist(), np.diff(at).tolist(), marked) if n >= width]
+                place = np.concatenate([np.zeros(0, np.int64), *place])
+                yield X.build_rows(list(_suffix_rows(chunk, bits, keys, prints, body, at, place, width, rounds[1], number)))
 
         return candidates.mapInArrow(run, X.SCHEMA)
 
@@ -241,11 +234,11 @@ def _marked_chunks(batches):
 
     def remember():
         for batch in batches:
-            for part in pieces(batch, "_text", CHUNK // 4):
+            for part in pieces(batch, "_text", X.CHUNK // 4):
                 held.extend(part.column("_marks").to_pylist())
                 yield part
 
-    for chunk, keys, prints, body, at in X.read_chunks(remember(), CHUNK):
+    for chunk, keys, prints, body, at in X.read_chunks(remember()):
         mine, held[:] = held[: len(keys)], held[len(keys) :]
         yield chunk, keys, prints, body, at, mine
 

@@ -29,7 +29,7 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 def features(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, place) of every n-gram and skip-gram of a block, repeats included."""
     start, end, first = runs(_WORD[body], at)
-    word = RunHashes(lower_ascii(body)).of(start, end)
+    word = RunHashes(lower_ascii(body), at).of(start, end)
     row = np.repeat(np.arange(len(at) - 1), np.diff(first))
     shift = np.uint64(64 - BITS)
     rows, places = [row], [mix(word) >> shift]
