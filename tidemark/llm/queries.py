@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, packing, quality, secrets, substrings, suffixes, toxicity, vectors, warc
+from tidemark.llm import bpe, jaccard, packing, quality, secrets, substrings, suffixes, toxicity, vectors, warc
 from tidemark.session import apply_runtime_conf
 
 
@@ -21,6 +21,10 @@ def op1_suffixes(spark: SparkSession, root: str) -> DataFrame:
     return suffixes.dedup(_table(spark, root, "documents"))
 
 
+def op2_jaccard(spark: SparkSession, root: str) -> DataFrame:
+    return jaccard.join(_table(spark, root, "documents"))
+
+
 def op3_warc(spark: SparkSession, root: str) -> DataFrame:
     return warc.round_trip(_table(spark, root, "pages"))
 
@@ -55,5 +59,5 @@ def op10_secrets(spark: SparkSession, root: str) -> DataFrame:
     return secrets.find(_table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffixes, op3_warc, op4_toxicity, op5_quality, op6_vectors, op7_bpe, op8_substrings, op9_packing, op10_secrets)}
-ORACLES = {"op1_suffixes": suffixes.ORACLE, "op3_warc": warc.ORACLE, "op8_substrings": substrings.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_jaccard, op3_warc, op4_toxicity, op5_quality, op6_vectors, op7_bpe, op8_substrings, op9_packing, op10_secrets)}
+ORACLES = {"op1_suffixes": suffixes.ORACLE, "op2_jaccard": jaccard.ORACLE, "op3_warc": warc.ORACLE, "op8_substrings": substrings.ORACLE}
