@@ -1,16 +1,65 @@
-"""A corpus from raw documents in stages."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Every stage takes what its predecessor kept, whole, and returns the columns of ``documents``; the last returns packed
+pieces.  ``run`` writes each stage's result to the shared folder, so a lost executor repeats one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidemark.llm import jaccard, packing, quality, secrets, suffixes
+from tidemark.llm.common import written
+from tidemark.llm.queries import vocabulary
+from tidemark.session import apply_runtime_conf
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is one, follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned decision list reject go."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return quality.keep_good(docs, quality.learn(docs, labels))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents the one with the smallest doc_id stays; a document without an id links with nothing."""
+    more = jaccard.join(docs).where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(more, "doc_id", "left_anti").select(*docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that an earlier document has go from the text; an emptied document stays, empty."""
+    return _counted(suffixes.strip(docs))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the text are masked."""
+    return _counted(secrets.redact(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens and the sequence of each."""
+    return packing.pack(docs, vocabulary())
 
-from tidemark.llm import packing, queries, secrets
 
 STAGES = [
-    ("secret scans", lambda spark, docs, sf_dir: secrets.redact(docs)),
-    ("best-fit packing", lambda spark, docs, sf_dir: packing.pack(docs, queries.vocabulary())),
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", jaccard_join),
+    ("suffix-array dedup", suffix_dedup),
+    ("secret scans", secret_scan),
+    ("best-fit packing", best_fit_packing),
 ]
+
+#: The learned rules and the tokens of the last stage have no SQL counterpart; tests hold ``run`` against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = apply_runtime_conf(spark).read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage{number}")
     return docs

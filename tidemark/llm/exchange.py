@@ -34,10 +34,10 @@ def doc_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
 
 
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """_key, _print (a fingerprint that tells rows of equal doc_id apart) and _text."""
+def keyed(docs: DataFrame, text: str = "text", **carried: Column) -> DataFrame:
+    """_key, _print (a fingerprint that tells rows of equal doc_id apart), _text, and other columns under own names."""
     t = text_or_empty(text)
-    return docs.select(doc_key().alias("_key"), F.xxhash64(t).alias("_print"), t.alias("_text"))
+    return docs.select(doc_key().alias("_key"), F.xxhash64(t).alias("_print"), t.alias("_text"), *(c.alias(n) for n, c in carried.items()))
 
 
 def pack(names: list[str], arrays: list[np.ndarray]) -> bytes:
@@ -64,17 +64,46 @@ def rows(buckets: list[int], chunks: list[int], own: list[bool], payloads: list[
     )
 
 
-def to_buckets(chunk: int, by: np.ndarray, bits: int, **columns: np.ndarray | None) -> Iterator[tuple[int, int, bool, bytes]]:
+def planes(name: str, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Differences of neighbouring numbers, one array for each of their bytes: ascending numbers leave mostly zeros."""
+    d = np.diff(x.astype(np.int64), prepend=np.int64(0)).view(np.uint64)
+    size = (int(d.max()).bit_length() + 7) // 8 if len(d) else 0
+    raw = d.view(np.uint8).reshape(-1, 8)
+    return {f"{name}.{k}": raw[:, k] for k in range(max(1, size))}
+
+
+def from_planes(entry: dict[str, np.ndarray], name: str) -> np.ndarray:
+    raw = np.zeros((len(entry[f"{name}.0"]), 8), np.uint8)
+    k = 0
+    while f"{name}.{k}" in entry:
+        raw[:, k] = entry[f"{name}.{k}"]
+        k += 1
+    return np.cumsum(raw.view(np.uint64).ravel()).view(np.int64)
+
+
+def to_buckets(chunk: int, by: np.ndarray, bits: int, rising: dict[str, np.ndarray], **columns: np.ndarray) -> Iterator[tuple[int, int, bool, bytes]]:
     """One packed row for each bucket that has entries; order within a bucket is kept.
 
-    The number that names the bucket goes along as ``key``, unless ``key`` is given as None.
+    ``rising`` holds columns that mostly ascend; they are packed as planes.
     """
-    columns = {n: c for n, c in ({"key": by} | columns).items() if c is not None}
     bucket = (by >> np.uint64(64 - bits)).astype(np.uint32)
     order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
     cut = np.flatnonzero(np.diff(bucket[order])) + 1
     for part in np.split(order, cut) if len(order) else []:
-        yield int(bucket[part[0]]), chunk, False, pack(list(columns), [c[part] for c in columns.values()])
+        arrays = {n: c[part] for n, c in columns.items()}
+        for n, c in rising.items():
+            arrays |= planes(n, c[part])
+        yield int(bucket[part[0]]), chunk, False, pack(list(arrays), list(arrays.values()))
+
+
+def short_names(name: np.ndarray, bits: int) -> dict[str, np.ndarray]:
+    """The 40 bits of a name behind those that name its bucket, in five bytes."""
+    rest = name << np.uint64(bits)
+    return {"top": (rest >> np.uint64(32)).astype(np.uint32), "more": (rest >> np.uint64(24)).astype(np.uint8)}
+
+
+def from_short(entries: list[dict[str, np.ndarray]]) -> np.ndarray:
+    return np.concatenate([e["top"] for e in entries]).astype(np.uint64) << np.uint64(8) | np.concatenate([e["more"] for e in entries])
 
 
 def own_row(chunk: int, bits: int, **columns: np.ndarray) -> tuple[int, int, bool, bytes]:
@@ -114,14 +143,14 @@ def read_chunks(batches, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray, n
         yield chunk()
 
 
-def through_buckets(exchanged: DataFrame, answer: Callable[[list[int], list[dict]], list[tuple[int, bytes]]]) -> DataFrame:
-    """Each bucket's entries at once: ``answer(chunks, entries)`` gives (chunk, payload) rows; own rows pass."""
+def through_buckets(exchanged: DataFrame, answer: Callable[[int, list[int], list[dict]], Iterator[tuple[int, bytes]]]) -> DataFrame:
+    """Each bucket's entries at once: ``answer(bucket, chunks, entries)`` gives (chunk, payload) rows; own rows pass."""
 
     def run(table: pa.Table) -> pa.Table:
         chunks, own, payloads = table.column("chunk").to_pylist(), table.column("own").to_pylist(), table.column("payload")
         entries = [(c, thaw(payloads[i].as_py())) for i, (c, o) in enumerate(zip(chunks, own)) if not o]
         kept = [(c, True, payloads[i].as_py()) for i, (c, o) in enumerate(zip(chunks, own)) if o]
-        out = kept + [(c, False, p) for c, p in (answer([c for c, _ in entries], [e for _, e in entries]) if entries else [])]
+        out = kept + [(c, False, p) for c, p in (answer(table.column("bucket")[0].as_py(), [c for c, _ in entries], [e for _, e in entries]) if entries else [])]
         return pa.Table.from_batches([rows([0] * len(out), [c for c, _, _ in out], [o for _, o, _ in out], [p for _, _, p in out])])
 
     return exchanged.groupBy("bucket").applyInArrow(run, SCHEMA)
@@ -193,13 +222,6 @@ def per_document(keys: np.ndarray, prints: np.ndarray, first: np.ndarray, positi
         yield int(keys[d]), int(prints[d]), own.astype(np.int32).tobytes()
 
 
-def with_marks(docs: DataFrame, marks: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with each row's marks (null: none).  Rows alike in id and text have equal marks."""
-    one = marks.groupBy("_key", "_print").agg(F.first("marks").alias("_marks"))
-    rowed = docs.withColumn("_key", doc_key()).withColumn("_print", F.xxhash64(text_or_empty(text)))
-    return rowed.join(one, ["_key", "_print"], "left")
-
-
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n places a window of the given width covers, from its starts."""
     edge = np.zeros(n + 1, np.int32)

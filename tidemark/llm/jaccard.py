@@ -1,8 +1,8 @@
 """N-gram Jaccard join: size-aware heavy-light join of word-shingle sets.
 
 A document is the set of its distinct 5-word shingles (64-bit names).  Sets up to a boundary are *light*: for every size
-a partner may have, they enumerate their subsets of the overlap that such a pair needs, and two light sets link exactly
-if a subset meets.  Larger sets are *heavy*: their rarest names are looked up in inverted lists.  If two sets have the
+a partner may have, they enumerate their subsets of the overlap that such a pair needs, and light sets that link meet
+in a subset.  Larger sets are *heavy*: their rarest names are looked up in inverted lists.  If two sets have the
 similarity, the first size - ceil(3/4 size) + 1 names of both, in one common order, share one.  The boundary is the
 size up to which subsets cost less than lists, from the measured list length.
 
@@ -128,7 +128,7 @@ def frequent_names(docs: DataFrame, bits: int) -> tuple[np.ndarray, float]:
         for chunk, keys, prints, body, at in X.read_chunks(batches):
             heads = [s[: prefix(len(s))] for s in shingle_sets(body, at) if len(s)]
             names, counts = np.unique(np.concatenate(heads), return_counts=True) if heads else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield X.build_rows(list(X.to_buckets(chunk, names, bits, count=counts.astype(np.uint32))))
+            yield X.build_rows(list(X.to_buckets(chunk, names, bits, {}, key=names, count=counts.astype(np.uint32))))
 
     def total(table: pa.Table) -> pa.Table:
         entries = [X.thaw(p.as_py()) for p in table.column("payload")]
@@ -180,8 +180,8 @@ def lists(docs: DataFrame, frequent: np.ndarray, most: int, bits: int) -> DataFr
             spot[spot == top.shape[1]] = 0
             often = top[0][spot] == names[fine] if top.shape[1] else np.zeros(len(fine), bool)
             hot, rare = fine[often], fine[~often]
-            yield X.build_rows(list(X.to_buckets(chunk, names[rare], bits, place=place[rare], size=size[rare], doc=owner[rare])))
-            yield X.build_rows(list(X.to_buckets(chunk, mix(owner[hot].astype(np.uint64)), bits, key=None, name=names[hot], place=place[hot], size=size[hot], doc=owner[hot])))
+            yield X.build_rows(list(X.to_buckets(chunk, names[rare], bits, {"doc": owner[rare]}, key=names[rare], place=place[rare], size=size[rare])))
+            yield X.build_rows(list(X.to_buckets(chunk, mix(owner[hot].astype(np.uint64)), bits, {"doc": owner[hot]}, name=names[hot], place=place[hot], size=size[hot])))
 
     def join(table: pa.Table) -> pa.Table:
         out, entries = [], []
@@ -190,14 +190,15 @@ def lists(docs: DataFrame, frequent: np.ndarray, most: int, bits: int) -> DataFr
             if "key" in e:
                 entries.append(e)
             elif "name" in e:
-                out.append((e["name"], e["place"], e["size"].astype(np.int64), e["doc"]))
+                out.append((e["name"], e["place"], e["size"].astype(np.int64), X.from_planes(e, "doc")))
             else:
                 out.append((None, np.full(len(e["doc"]), -1, np.int32), e["n"], e["doc"]))
         if entries:
             key = np.concatenate([e["key"] for e in entries])
             order, _, size = X.groups(key)
             multi = np.sort(order[np.repeat(size > 1, size)])
-            out.append((key[multi], *(np.concatenate([e[c] for e in entries])[multi].astype(t) for c, t in (("place", np.int32), ("size", np.int64), ("doc", np.int64)))))
+            place, size = (np.concatenate([e[c] for e in entries])[multi] for c in ("place", "size"))
+            out.append((key[multi], place, size.astype(np.int64), np.concatenate([X.from_planes(e, "doc") for e in entries])[multi]))
         names = [pa.nulls(len(o[3]), pa.int64()) if o[0] is None else pa.array(o[0].astype(np.int64)) for o in out]
         return pa.table({"name": pa.chunked_array(names, pa.int64()), "place": np.concatenate([o[1] for o in out]), "n": np.concatenate([o[2] for o in out]), "doc": np.concatenate([o[3] for o in out])})
 

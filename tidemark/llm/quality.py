@@ -128,6 +128,9 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
 
 def _best(rows: DataFrame, grid: dict[str, list[float]]) -> tuple[Condition, float, float] | None:
     """The condition of the highest gain over the rows, from counts per feature and bin."""
+    if not any(grid.values()):
+        return None
+
     def bin_of(f: str) -> Column:
         value = F.col(f).cast("double")
         return F.size(F.filter(F.array(*map(F.lit, grid[f])), lambda t: t <= value))

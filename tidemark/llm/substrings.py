@@ -5,8 +5,8 @@ of 2n words is the pair of the names of its halves, and only where both halves r
 the wanted length; what still repeats there is ordered by (document, start), and all but the first go.
 
 Only the first level reads text.  Later levels work on the survivors, in the chunk that found them, and the exchange
-carries a key once for each chunk.  A name is a 64-bit hash of its window; at the last level the names of both halves
-are compared, 128 bits.
+carries a key once for each chunk.  Names are hashes of some 48 bits, more with more buckets; at the last level those
+of both halves are compared, 96 bits.
 
 Cases: a null or empty text has no words; a text shorter than the window keeps all; rows of equal doc_id are ordered by
 start alone, so exact repeats of a row don't remove each other; a null doc_id comes after all others; extra columns are
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import exchange as X
-from tidemark.llm.common import discard, free_shuffles, pieces, raw_bytes, text_or_empty, written
+from tidemark.llm.common import discard, free_shuffles, pieces, raw_bytes, written
 from tidemark.llm.hashing import WHITE, RunHashes, combine, mix, runs
 
 WINDOW = 20
@@ -45,35 +45,36 @@ def _repeated(chunk: int, bits: int, keys, prints, first, position, name):
     """Rows of a level: names go to the buckets; of a name that crowds the chunk one entry goes, all are known to repeat."""
     many = np.flatnonzero(X.crowded(name))
     order, start, size = X.groups(name[many])
-    lone, local = many[order[start]], many[order[np.repeat(size > 1, size)]]
-    yield X.own_row(chunk, bits, keys=keys, prints=prints, first=first, position=position[local].astype(np.int32), name=name[local])
+    lone, local = many[order[start]], np.sort(many[order[np.repeat(size > 1, size)]])
+    full = name >> np.uint64(24 - bits)  # what a bucket knows of a name: its own number and 40 bits
+    yield X.own_row(chunk, bits, keys=keys, prints=prints, first=first, name=full[local], **X.planes("position", position[local]))
     goes, known = np.ones(len(name), bool), np.zeros(len(name), np.uint8)
     goes[many] = False
     goes[lone] = True
     known[lone[size > 1]] = 1
     go = np.flatnonzero(goes)
-    yield from X.to_buckets(chunk, name[go], bits, position=position[go].astype(np.int32), known=known[go])
+    yield from X.to_buckets(chunk, name[go], bits, {"position": position[go]}, known=known[go], **X.short_names(name[go], bits))
 
 
-def _answer_repeated(chunks, entries):
+def _answer_repeated(bucket, chunks, entries):
     """Positions whose name has other entries, and of which their chunk does not know that."""
-    key = np.concatenate([e["key"] for e in entries])
-    order, _, size = X.groups(key)
-    hit = np.zeros(len(key), bool)
-    hit[order] = np.repeat(size > 1, size)
+    name = X.from_short(entries)
+    shared = X.shared_names(name)
+    name |= np.uint64(bucket << 40)
     at = 0
     for chunk, e in zip(chunks, entries):
-        n = len(e["key"])
-        wanted = hit[at : at + n] & (e["known"] == 0)
+        n = len(e["top"])
+        wanted = np.flatnonzero(shared[at : at + n] & (e["known"] == 0))
+        if len(wanted):
+            arrays = {"name": name[at + wanted]} | X.planes("position", X.from_planes(e, "position")[wanted])
+            yield chunk, X.pack(list(arrays), list(arrays.values()))
         at += n
-        if wanted.any():
-            yield chunk, X.pack(["position", "name"], [e["position"][wanted], e["key"][wanted]])
 
 
 def _survivors(own, answers):
-    position = np.concatenate([own["position"], *(a["position"] for a in answers)]).astype(np.int64)
-    name = np.concatenate([own["name"], *(a["name"] for a in answers)])
-    order = np.argsort(position, kind="stable")
+    position = np.concatenate([X.from_planes(a, "position") for a in (own, *answers)])
+    name = np.concatenate([a["name"] for a in (own, *answers)])
+    order = np.argsort(position)
     return position[order], name[order]
 
 
@@ -130,7 +131,7 @@ def marks(docs: DataFrame, window: int = WINDOW, start: int = START, text: str =
     free_shuffles()
 
     def final(chunk, own, answers):
-        position = np.sort(np.concatenate([own["position"], *(a["position"] for a in answers)]).astype(np.int64))
+        position = np.sort(np.concatenate([X.from_planes(a, "position") for a in (own, *answers)]))
         yield from X.per_document(own["keys"], own["prints"], own["first"].astype(np.int64), position)
 
     out = written(X.at_chunks(last, final, X.SPANS, X.span_rows), "marks")
@@ -164,26 +165,30 @@ def _ordered(chunk, bits, keys, prints, first, position, left, right):
     marked = np.zeros(len(position), bool)
     many = np.flatnonzero(X.crowded(whole))
     marked[many] = _later(whole[many], left[many], key[many], word[many])
-    yield X.own_row(chunk, bits, keys=keys, prints=prints, first=first, position=position[marked].astype(np.int32))
+    yield X.own_row(chunk, bits, keys=keys, prints=prints, first=first, **X.planes("position", position[marked]))
     go = np.flatnonzero(~marked)
-    yield from X.to_buckets(chunk, whole[go], bits, left=left[go], doc=key[go], word=word[go], position=position[go].astype(np.int32))
+    yield from X.to_buckets(chunk, whole[go], bits, {"position": position[go], "doc": key[go]}, key=whole[go], left=left[go].astype(np.uint32), word=word[go])
 
 
-def _answer_ordered(chunks, entries):
+def _answer_ordered(bucket, chunks, entries):
     """Positions of entries that are not the first of their window."""
-    later = _later(*(np.concatenate([e[c] for e in entries]) for c in ("key", "left", "doc", "word")))
+    key, left, word = (np.concatenate([e[c] for e in entries]) for c in ("key", "left", "word"))
+    later = _later(key, left, np.concatenate([X.from_planes(e, "doc") for e in entries]), word)
     at = 0
     for chunk, e in zip(chunks, entries):
         n = len(e["key"])
         own = later[at : at + n]
         at += n
         if own.any():
-            yield chunk, X.pack(["position"], [e["position"][own]])
+            arrays = X.planes("position", X.from_planes(e, "position")[own])
+            yield chunk, X.pack(list(arrays), list(arrays.values()))
 
 
 def remove(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (kept words joined by one space)."""
-    found = X.with_marks(docs.select("doc_id", "text"), marks(docs, window, start))
+    # Rows alike in id and text have equal marks.
+    found = marks(docs, window, start).groupBy("_key", "_print").agg(F.first("marks").alias("_marks"))
+    joined = X.keyed(docs, "text", doc_id=F.col("doc_id").cast("long")).join(found, ["_key", "_print"], "left")
     sha = hashlib.sha256
 
     def run(batches):
@@ -206,8 +211,7 @@ def remove(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFra
                     ["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 
-    rows = found.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"), "_marks")
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.select("doc_id", "_text", "_marks").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE = r"""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import exchange as X
-from tidemark.llm.common import discard, free_shuffles, pieces, raw_bytes, text_or_empty, written
+from tidemark.llm.common import discard, free_shuffles, pieces, raw_bytes, written
 from tidemark.llm.hashing import RunHashes, mix
 
 WIDTH = 50
@@ -43,15 +43,6 @@ def _round_of(key: np.ndarray, rounds: int, number: int) -> np.ndarray:
     return np.flatnonzero((mix(key ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) % np.uint64(rounds) == np.uint64(number))
 
 
-def _small(position: np.ndarray) -> dict[str, np.ndarray]:
-    """Positions below 2^24 in three bytes."""
-    return {"low": position.astype(np.uint16), "high": (position >> 16).astype(np.uint16 if len(position) and position.max() >> 24 else np.uint8)}
-
-
-def _large(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.int64) | high.astype(np.int64) << 16
-
-
 def _documents(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every byte its row and its place in it."""
     row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
@@ -100,26 +91,30 @@ def _sample_rows(chunk, bits, keys, prints, body, at, depth, rounds, number):
     many = np.flatnonzero(X.crowded(name))
     order, start, size = X.groups(name[many])
     lone, local = many[order[start]], many[order[np.repeat(size > 1, size)]]
-    yield X.own_row(chunk, bits, keys=keys, prints=prints, first=at.astype(np.int32), position=np.sort(position[local]).astype(np.int32))
+    yield X.own_row(chunk, bits, keys=keys, prints=prints, first=at.astype(np.int32), **X.planes("position", np.sort(position[local])))
     goes, known = np.ones(len(name), bool), np.zeros(len(name), np.uint8)
     goes[many] = False
     goes[lone] = True
     known[lone[size > 1]] = 1
     go = np.flatnonzero(goes)
-    rest = name[go] << np.uint64(bits)  # the bucket names the leading bits
-    yield from X.to_buckets(chunk, name[go], bits, key=None, top=(rest >> np.uint64(32)).astype(np.uint32), more=(rest >> np.uint64(24)).astype(np.uint8), known=known[go], **_small(position[go]))
+    yield from X.to_buckets(chunk, name[go], bits, {"position": position[go]}, known=known[go], **X.short_names(name[go], bits))
 
 
-def _answer_sample(chunks, entries):
-    """Positions whose name has other entries, and of which their chunk does not know that."""
-    shared = X.shared_names(np.concatenate([e["top"] for e in entries]).astype(np.uint64) << np.uint64(8) | np.concatenate([e["more"] for e in entries]))
+def _answer(entries, chunks, wanted):
+    """Positions of the wanted entries, back to their chunks."""
     at = 0
     for chunk, e in zip(chunks, entries):
-        n = len(e["top"])
-        wanted = shared[at : at + n] & (e["known"] == 0)
-        at += n
-        if wanted.any():
-            yield chunk, X.pack(["low", "high"], [e["low"][wanted], e["high"][wanted]])
+        position = X.from_planes(e, "position")
+        own = position[wanted[at : at + len(position)]]
+        at += len(position)
+        if len(own):
+            arrays = X.planes("position", own)
+            yield chunk, X.pack(list(arrays), list(arrays.values()))
+
+
+def _answer_sample(bucket, chunks, entries):
+    """Positions whose name has other entries, and of which their chunk does not know that."""
+    yield from _answer(entries, chunks, X.shared_names(X.from_short(entries)) & (np.concatenate([e["known"] for e in entries]) == 0))
 
 
 # -- suffixes ------------------------------------------------------------------------------------------------------
@@ -152,20 +147,14 @@ def _suffix_rows(chunk, bits, keys, prints, body, at, place, width, rounds, numb
     marked = np.zeros(len(place), bool)
     many = np.flatnonzero(X.crowded(whole))
     marked[many] = _after_first(whole[many], rest[many], key[many])
-    yield X.own_row(chunk, bits, keys=keys, prints=prints, first=at.astype(np.int32), position=place[marked].astype(np.int32))
+    yield X.own_row(chunk, bits, keys=keys, prints=prints, first=at.astype(np.int32), **X.planes("position", place[marked]))
     go = np.flatnonzero(~marked)
-    yield from X.to_buckets(chunk, whole[go], bits, rest=rest[go], doc=key[go], **_small(place[go]))
+    yield from X.to_buckets(chunk, whole[go], bits, {"position": place[go], "doc": key[go]}, key=whole[go], rest=rest[go])
 
 
-def _answer_suffix(chunks, entries):
-    later = _after_first(*(np.concatenate([e[c] for e in entries]) for c in ("key", "rest", "doc")))
-    at = 0
-    for chunk, e in zip(chunks, entries):
-        n = len(e["key"])
-        own = later[at : at + n]
-        at += n
-        if own.any():
-            yield chunk, X.pack(["low", "high"], [e["low"][own], e["high"][own]])
+def _answer_suffix(bucket, chunks, entries):
+    key, rest = (np.concatenate([e[c] for e in entries]) for c in ("key", "rest"))
+    yield from _answer(entries, chunks, _after_first(key, rest, np.concatenate([X.from_planes(e, "doc") for e in entries])))
 
 
 # -- both ----------------------------------------------------------------------------------------------------------
@@ -173,7 +162,7 @@ def _answer_suffix(chunks, entries):
 
 def _intervals(answered: DataFrame, before: int) -> DataFrame:
     def step(chunk, own, answers):
-        position = np.sort(np.concatenate([own["position"].astype(np.int64), *(_large(a["low"], a["high"]) for a in answers)]))
+        position = np.sort(np.concatenate([X.from_planes(a, "position") for a in (own, *answers)]))
         yield from _interval_rows(own, position, before)
 
     return X.at_chunks(answered, step, X.SPANS, X.span_rows)
@@ -253,14 +242,9 @@ def removed(marked: list[bytes] | None, width: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _joined(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    rowed = docs.withColumn("_key", X.doc_key()).withColumn("_print", F.xxhash64(text_or_empty(text)))
-    return rowed.join(found, ["_key", "_print"], "left")
-
-
 def dedup(docs: DataFrame, width: int = WIDTH, rounds: tuple[int, int] = ROUNDS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    joined = _joined(docs.select("doc_id", "text"), marks(docs, width, rounds), "text")
+    joined = X.keyed(docs, "text", doc_id=F.col("doc_id").cast("long")).join(marks(docs, width, rounds), ["_key", "_print"], "left")
     sha = hashlib.sha256
 
     def run(batches):
@@ -284,8 +268,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, rounds: tuple[int, int] = ROUNDS)
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
                 )
 
-    out = joined.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"), "_marks")
-    return out.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "_text", "_marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, width: int = WIDTH, rounds: tuple[int, int] = ROUNDS, text: str = "text") -> DataFrame:
@@ -293,10 +276,10 @@ def strip(docs: DataFrame, width: int = WIDTH, rounds: tuple[int, int] = ROUNDS,
 
     A null text stays null.
     """
-    joined = _joined(docs, marks(docs, width, rounds, text), text)
-    names = docs.columns
-    inner = joined.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)), text_or_empty(text).alias("_text"), "_marks")
-    kept = [f"k{i}" for i, c in enumerate(names) if c != text]
+    names = {c: f"k{i}" for i, c in enumerate(docs.columns)}
+    kept = [k for c, k in names.items() if c != text] + ["_null"]
+    carried = {k: F.col(f"`{c}`") for c, k in names.items() if c != text} | {"_null": F.col(f"`{text}`").isNull()}
+    inner = X.keyed(docs, text, **carried).join(marks(docs, width, rounds, text), ["_key", "_print"], "left").select(*kept, "_text", "_marks")
 
     def run(batches):
         for batch in batches:
@@ -312,11 +295,8 @@ def strip(docs: DataFrame, width: int = WIDTH, rounds: tuple[int, int] = ROUNDS,
                     texts.append(own.tobytes().decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(texts, pa.string())], [*kept, "_stripped"])
 
-    old = f"k{names.index(text)}"
-    flagged = inner.withColumn("_null", F.col(old).isNull()).drop(old)
-    kept.append("_null")
-    done = flagged.mapInArrow(run, flagged.select(*kept).schema.add("_stripped", "string"))
-    return done.select(*((F.col(f"k{i}") if c != text else F.when(~F.col("_null"), F.col("_stripped"))).alias(c) for i, c in enumerate(names)))
+    done = inner.mapInArrow(run, inner.select(*kept).schema.add("_stripped", "string"))
+    return done.select(*((F.col(k) if c != text else F.when(~F.col("_null"), F.col("_stripped"))).alias(c) for c, k in names.items()))
 
 
 ORACLE = r"""
