@@ -111,35 +111,39 @@ def own_row(chunk: int, bits: int, **columns: np.ndarray) -> tuple[int, int, boo
     return int(chunk * 0x9E3779B1 >> 8) & ((1 << bits) - 1), chunk, True, pack(list(columns), list(columns.values()))
 
 
-def read_chunks(batches, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(chunk number, document keys, fingerprints, bytes, offsets) of what a task reads.
+def read_chunks(batches, size: int = CHUNK, *more: str) -> Iterator[tuple]:
+    """(chunk number, document keys, fingerprints, bytes, offsets, further columns) of what a task reads.
 
     Numbers follow from the partition and the order in it, so a repeated task gives the same ones.
     """
-    base, count = TaskContext.get().partitionId() << 32, 0
-    keys, prints, bodies, sizes, held = [], [], [], [], 0
+    base, count, held = TaskContext.get().partitionId() << 32, 0, 0
+    bodies: list[np.ndarray] = []
+    sizes: list[np.ndarray] = [np.zeros(1, np.int64)]
+    columns: dict[str, list[np.ndarray]] = {c: [] for c in ("_key", "_print", *more)}
 
     def chunk():
-        nonlocal count
-        at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        out = base + count, np.concatenate(keys), np.concatenate(prints), np.concatenate(bodies), at
+        nonlocal count, held
+        number, held = base + count, 0
         count += 1
-        for x in (keys, prints, bodies, sizes):
-            x.clear()
+        keys, prints, *rest = (np.concatenate(c) for c in columns.values())
+        out = number, keys, prints, np.concatenate(bodies), np.cumsum(np.concatenate(sizes)), *rest
+        bodies.clear()
+        del sizes[1:]
+        for c in columns.values():
+            c.clear()
         return out
 
     for batch in batches:
         for part in pieces(batch, "_text", size // 4):
             body, at = raw_bytes(part.column("_text"))
-            keys.append(part.column("_key").to_numpy())
-            prints.append(part.column("_print").to_numpy())
             bodies.append(body)
             sizes.append(np.diff(at))
+            for name, c in columns.items():
+                c.append(part.column(name).to_numpy())
             held += len(body)
             if held >= size:
                 yield chunk()
-                held = 0
-    if keys:
+    if bodies:
         yield chunk()
 
 
@@ -185,7 +189,7 @@ def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def crowded(key: np.ndarray, most: int = 16) -> np.ndarray:
     """Which entries of a chunk may belong to a key that has more than ``most`` of them: only those need grouping."""
-    slot = (key & np.uint64((1 << 20) - 1)).astype(np.int32)
+    slot = (key >> np.uint64(8) & np.uint64((1 << 20) - 1)).astype(np.int32)
     return np.bincount(slot, minlength=1 << 20)[slot] > most
 
 

@@ -63,7 +63,11 @@ class RunHashes:
         np.cumsum(self.sums, out=self.sums)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        within = start if len(self.starts) == 1 else start - self.starts[np.searchsorted(self.starts, start, "right") - 1]
+        """Hashes of runs in ascending order of their starts."""
+        within = start
+        if len(self.starts) > 1:
+            cut = np.append(np.searchsorted(start, self.starts), len(start))
+            within = start - np.repeat(self.starts, np.diff(cut))
         return mix((self.sums[end] - self.sums[start]) * self.down[within] + (end - start).astype(np.uint64))
 
 

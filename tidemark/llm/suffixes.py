@@ -33,30 +33,38 @@ from tidemark.llm.hashing import RunHashes, mix
 WIDTH = 50
 # The perfect difference set modulo 21; every shift is a difference of two of its members.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
-#: Shares of the buckets that are worked on one after the other: sample, suffixes.
+#: Shares of the buckets, powers of two, that are worked on one after the other: sample, suffixes.
 ROUNDS = (2, 4)
-_IN_COVER = np.isin(np.arange(PERIOD), COVER)
+#: Bytes of segments worked on at once: all their positions count, not a sample.
+SEGMENTS = 2 << 20
 
 
-def _round_of(key: np.ndarray, rounds: int, number: int) -> np.ndarray:
-    """Entries of a round; rounds cut across buckets, so every round deals evenly."""
-    return np.flatnonzero((mix(key ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) % np.uint64(rounds) == np.uint64(number))
+def _mine(name: np.ndarray, rounds: int, number: int) -> np.ndarray:
+    """Entries of a round: it follows from the last bits of a name, its bucket from the first."""
+    return np.flatnonzero((name & np.uint64(rounds - 1)) == np.uint64(number))
 
 
-def _documents(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte its row and its place in it."""
-    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
-    return row, np.arange(at[-1], dtype=np.int32) - at[:-1].astype(np.int32)[row]
+def _cover_positions(at: np.ndarray, depth: int) -> np.ndarray:
+    """Positions of a chunk that are in the sample and have ``depth`` bytes of their row behind them."""
+    starts = np.maximum(np.diff(at) - depth + 1, 0)
+    sampled = np.zeros(int(at[-1]), bool)
+    for c in COVER:
+        count = (starts - c + PERIOD - 1).clip(0) // PERIOD
+        before = np.cumsum(count) - count
+        sampled[np.repeat(at[:-1] + c - PERIOD * before, count) + PERIOD * np.arange(count.sum())] = True
+    return np.flatnonzero(sampled)
 
 
 def _interval_rows(own: dict, position: np.ndarray, before: int):
     """(key, fingerprint, packed 32-bit pairs): the merged intervals [p - before, p] of sorted positions, by document."""
+    if not len(position):
+        return
     first = own["first"].astype(np.int64)
     doc = np.searchsorted(first, position, "right") - 1
     start = np.maximum(position - before, first[doc]) - first[doc]
     end = position - first[doc] + 1
-    if not len(position):
-        return
+    if "offset" in own:
+        start, end = start + own["offset"][doc], end + own["offset"][doc]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])])
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(position)) - 1
@@ -67,26 +75,14 @@ def _interval_rows(own: dict, position: np.ndarray, before: int):
         yield int(own["keys"][owner[a]]), int(own["prints"][owner[a]]), pairs[a:b].tobytes()
 
 
-def _union(marks: list[bytes] | None, n: int) -> np.ndarray:
-    """Which of n places any of the packed intervals covers."""
-    edge = np.zeros(n + 1, np.int32)
-    for m in marks or ():
-        pairs = np.frombuffer(m, np.int32).reshape(-1, 2)
-        np.add.at(edge, np.minimum(pairs[:, 0], n), 1)
-        np.add.at(edge, np.minimum(pairs[:, 1], n), -1)
-    return np.cumsum(edge[:n]) > 0
-
-
 # -- cover sample --------------------------------------------------------------------------------------------------
 
 
 def _sample_rows(chunk, bits, keys, prints, body, at, depth, rounds, number):
     """Names of the sample suffixes of a chunk; of a name that crowds the chunk one entry goes, all are known as shared."""
-    row, place = _documents(at)
-    position = np.flatnonzero(_IN_COVER[place % PERIOD] & (place + depth <= np.diff(at).astype(np.int32)[row]))
-    del row, place
+    position = _cover_positions(at, depth)
     name = RunHashes(body, at).of(position, position + depth)
-    mine = _round_of(name, rounds, number)
+    mine = _mine(name, rounds, number)
     position, name = position[mine], name[mine]
     many = np.flatnonzero(X.crowded(name))
     order, start, size = X.groups(name[many])
@@ -135,19 +131,37 @@ def _after_first(key, rest, doc):
     return out
 
 
-def _suffix_rows(chunk, bits, keys, prints, body, at, place, width, rounds, number):
+def _segments(marks: list[bytes], n: int, width: int) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a text that hold all strings starting in any of the packed intervals."""
+    last = n - width
+    pairs = np.concatenate([np.frombuffer(m, np.int32).reshape(-1, 2) for m in marks])
+    out: list[tuple[int, int]] = []
+    for a, b in pairs[np.argsort(pairs[:, 0])].tolist():
+        b = min(b, last + 1)
+        if a >= b:
+            continue
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return [(a, b + width - 1) for a, b in out]
+
+
+def _suffix_rows(chunk, bits, keys, prints, offset, body, at, width, rounds, number):
     """Possible long ties of a chunk; of suffixes that crowd the chunk the first document goes on, later ones are marked."""
+    starts = np.diff(at) - width + 1  # of each segment
+    place = np.repeat(at[:-1] - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())
     lead = RunHashes(body, at, 0).of(place, place + PERIOD)
     rest = RunHashes(body, at, 1).of(place + PERIOD, place + width)
     whole = mix(lead ^ mix(rest))
-    mine = _round_of(whole, rounds, number)
+    mine = _mine(whole, rounds, number)
     place, whole, rest = place[mine], whole[mine], (rest[mine] >> np.uint64(32)).astype(np.uint32)
     del lead
     key = keys[np.searchsorted(at, place, "right") - 1]
     marked = np.zeros(len(place), bool)
     many = np.flatnonzero(X.crowded(whole))
     marked[many] = _after_first(whole[many], rest[many], key[many])
-    yield X.own_row(chunk, bits, keys=keys, prints=prints, first=at.astype(np.int32), **X.planes("position", place[marked]))
+    yield X.own_row(chunk, bits, keys=keys, prints=prints, offset=offset, first=at.astype(np.int32), **X.planes("position", place[marked]))
     go = np.flatnonzero(~marked)
     yield from X.to_buckets(chunk, whole[go], bits, {"position": place[go], "doc": key[go]}, key=whole[go], rest=rest[go])
 
@@ -195,43 +209,39 @@ def marks(docs: DataFrame, width: int = WIDTH, rounds: tuple[int, int] = ROUNDS,
     for number in range(rounds[0]):
         ranks.append(written(_intervals(X.through_buckets(sample(number), _answer_sample), PERIOD - 1), "sample"))
         free_shuffles()
-    candidates = written(rows.join(_all(ranks), ["_key", "_print"]), "candidates")
+
+    def cut_out(batches):
+        for batch in batches:
+            for part in pieces(batch, "_text"):
+                body, at = raw_bytes(part.column("_text"))
+                keys, prints = part.column("_key").to_pylist(), part.column("_print").to_pylist()
+                found = []
+                for d, m in enumerate(part.column("_marks").to_pylist()):
+                    own = body[at[d] : at[d + 1]]
+                    found += [(keys[d], prints[d], a, own[a:b].tobytes()) for a, b in _segments(m, len(own), width)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["_key", "_print", "_offset", "_text"])
+
+    # Only the parts of texts around kept samples go on.
+    segments = written(rows.join(_all(ranks), ["_key", "_print"]).mapInArrow(cut_out, "_key long, _print long, _offset int, _text binary"), "segments")
     free_shuffles()
     for r in ranks:
         discard(r)
 
     def suffixes(number):
         def run(batches):
-            for chunk, keys, prints, body, at, marked in _marked_chunks(batches):
-                place = [a + np.flatnonzero(_union(m, n - width + 1)) for a, n, m in zip(at[:-1].tolist(), np.diff(at).tolist(), marked) if n >= width]
-                place = np.concatenate([np.zeros(0, np.int64), *place])
-                yield X.build_rows(list(_suffix_rows(chunk, bits, keys, prints, body, at, place, width, rounds[1], number)))
+            for chunk, keys, prints, body, at, offset in X.read_chunks(batches, SEGMENTS, "_offset"):
+                yield X.build_rows(list(_suffix_rows(chunk, bits, keys, prints, offset, body, at, width, rounds[1], number)))
 
-        return candidates.mapInArrow(run, X.SCHEMA)
+        return segments.mapInArrow(run, X.SCHEMA)
 
     found = []
     for number in range(rounds[1]):
         found.append(written(_intervals(X.through_buckets(suffixes(number), _answer_suffix), 0), "suffixes"))
         free_shuffles()
-    discard(candidates)
+    discard(segments)
     return _all(found)
 
 
-def _marked_chunks(batches):
-    """Chunks of rows that carry intervals: as ``read_chunks``, with the intervals of each row."""
-    held: list = []
-
-    def remember():
-        for batch in batches:
-            for part in pieces(batch, "_text", X.CHUNK // 4):
-                held.extend(part.column("_marks").to_pylist())
-                yield part
-
-    for chunk, keys, prints, body, at in X.read_chunks(remember()):
-        mine, held[:] = held[: len(keys)], held[len(keys) :]
-        yield chunk, keys, prints, body, at, mine
-
-
 def removed(marked: list[bytes] | None, width: int, n: int) -> np.ndarray:
     """Which of n bytes a marked string covers."""
     edge = np.zeros(n + 1, np.int32)
