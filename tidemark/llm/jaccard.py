@@ -9,9 +9,11 @@ size up to which subsets cost less than lists, from the measured list length.
 The order puts frequent names last, so lists of common passages are not scanned.  Frequent names are counted over all
 documents; at most 2^18 are told apart, the rest are ordered by hash: the bound costs time, never a link.
 
-Lists are not unfolded into pairs.  Each list links its members to its smallest document, these pairs are verified, and
-verified links are united.  Lists that then lie in one component are done.  In the others, members of different
-components are compared in full, so no link between components is lost; only links within a component stay unlisted.
+Lists are not unfolded into pairs.  Each list links its members to its most central document (most of its names are
+shared), these pairs are verified, and links are united.  Lists that then lie in one component are done.  In the others,
+members of different components are compared in full, so no link between components is lost; only links within a
+component stay unlisted.  Two things make that few: 1 - similarity is a metric, so members whose distances to the centre
+differ by more than 1/4 can't link; and a pair that shares its previous name too was met in that list.
 
 Cases: a null text or one without words has an empty set and links with nothing; with fewer than five words the whole
 sequence is one shingle; rows of equal doc_id are one document whose rows are joined; a null doc_id links with
@@ -25,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import exchange as X
 from tidemark.llm.common import discard, free_shuffles, pieces, raw_bytes, text_or_empty, written
@@ -149,6 +151,10 @@ def frequent_names(docs: DataFrame, bits: int) -> tuple[np.ndarray, float]:
     return np.stack([names[order], place[order]]), (sizes[0] or 0) / max(1, sizes[1] or 1)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32)
+
+
 def lists(docs: DataFrame, frequent: np.ndarray, most: int, bits: int) -> DataFrame:
     """(name, place, n, doc) of every list with two members or more, and one row without name for each document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -180,27 +186,27 @@ def lists(docs: DataFrame, frequent: np.ndarray, most: int, bits: int) -> DataFr
             spot[spot == top.shape[1]] = 0
             often = top[0][spot] == names[fine] if top.shape[1] else np.zeros(len(fine), bool)
             hot, rare = fine[often], fine[~often]
-            yield X.build_rows(list(X.to_buckets(chunk, names[rare], bits, {"doc": owner[rare]}, key=names[rare], place=place[rare], size=size[rare])))
-            yield X.build_rows(list(X.to_buckets(chunk, mix(owner[hot].astype(np.uint64)), bits, {"doc": owner[hot]}, name=names[hot], place=place[hot], size=size[hot])))
+            yield X.build_rows(list(X.to_buckets(chunk, names[rare], bits, {"doc": owner[rare]}, place=_narrow(place[rare] + 1), size=_narrow(size[rare]), **X.short_names(names[rare], bits))))
+            yield X.build_rows(list(X.to_buckets(chunk, mix(owner[hot].astype(np.uint64)), bits, {"doc": owner[hot]}, name=names[hot], place=_narrow(place[hot] + 1), size=_narrow(size[hot]))))
 
     def join(table: pa.Table) -> pa.Table:
         out, entries = [], []
         for p in table.column("payload"):
             e = X.thaw(p.as_py())
-            if "key" in e:
+            if "top" in e:
                 entries.append(e)
             elif "name" in e:
-                out.append((e["name"], e["place"], e["size"].astype(np.int64), X.from_planes(e, "doc")))
+                out.append((e["name"], e["place"], e["size"], X.from_planes(e, "doc")))
             else:
-                out.append((None, np.full(len(e["doc"]), -1, np.int32), e["n"], e["doc"]))
+                out.append((None, np.zeros(len(e["doc"]), np.uint16), e["n"], e["doc"]))
         if entries:
-            key = np.concatenate([e["key"] for e in entries])
-            order, _, size = X.groups(key)
-            multi = np.sort(order[np.repeat(size > 1, size)])
+            name = X.from_short(entries)
+            multi = np.flatnonzero(X.shared_names(name))
             place, size = (np.concatenate([e[c] for e in entries])[multi] for c in ("place", "size"))
-            out.append((key[multi], place, size.astype(np.int64), np.concatenate([X.from_planes(e, "doc") for e in entries])[multi]))
+            out.append((name[multi] | np.uint64(table.column("bucket")[0].as_py() << 40), place, size, np.concatenate([X.from_planes(e, "doc") for e in entries])[multi]))
         names = [pa.nulls(len(o[3]), pa.int64()) if o[0] is None else pa.array(o[0].astype(np.int64)) for o in out]
-        return pa.table({"name": pa.chunked_array(names, pa.int64()), "place": np.concatenate([o[1] for o in out]), "n": np.concatenate([o[2] for o in out]), "doc": np.concatenate([o[3] for o in out])})
+        place, size, doc = (np.concatenate([o[k].astype(np.int64) for o in out]) for k in (1, 2, 3))
+        return pa.table({"name": pa.chunked_array(names, pa.int64()), "place": (place - 1).astype(np.int32), "n": size, "doc": doc})
 
     return X.keyed(docs).mapInArrow(read, X.SCHEMA).groupBy("bucket").applyInArrow(join, "name long, place int, n long, doc long")
 
@@ -213,8 +219,8 @@ def _bound(place_a, n_a, place_b, n_b):
     return fits & ((place_a < 0) | enough)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity, computed in full."""
+def measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their distance, 1 - similarity, and whether they link; sets are compared in full."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
 
     def sets_of(batches):
@@ -234,19 +240,22 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def compare(batches):
         centre, own, last, merged = None, None, None, None
 
-        def verdict():
-            if last is None:
-                return None
-            both = len(np.intersect1d(own, merged, True))
-            return last if DEN * both >= NUM * (len(own) + len(merged) - both) and both else None
+        def measure(out):
+            if last is not None:
+                both = len(np.intersect1d(own, merged, True))
+                union = len(own) + len(merged) - both
+                out.append((centre[0], last, 1 - both / max(1, union), bool(both) and DEN * both >= NUM * union))
+
+        def table(out):
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["a", "b", "distance", "linked"])
 
+        out: list[tuple] = []
         for batch in batches:
-            out = []
             for a, part, b, names in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "names"))):
                 x = np.frombuffer(names, np.uint64)
                 if last is not None and (a, part, b) != (*centre, last):
-                    if verdict() is not None:
-                        out.append((centre[0], last))
+                    measure(out)
                     last = None
                 if (a, part) != centre:
                     centre, own = (a, part), x
@@ -256,12 +265,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     merged = np.union1d(merged, x)
                 else:
                     last, merged = b, x
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
-        if verdict() is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([centre[0]], pa.int64()), pa.array([last], pa.int64())], ["a", "b"])
+            yield table(out)
+            out = []
+        measure(out)
+        yield table(out)
 
     ordered = members.unionByName(centres).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    out = written(ordered.mapInArrow(compare, "a long, b long"), "verified")
+    out = written(ordered.mapInArrow(compare, "a long, b long, distance double, linked boolean"), "measured")
     discard(sets)
     free_shuffles()
     return out
@@ -278,25 +288,39 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     free_shuffles()
     listed = found.where(F.col("name").isNotNull())
 
-    # First every member of a list with the list's smallest document.
-    heads = listed.groupBy("name").agg(F.min(F.struct("doc", "place", "n")).alias("head"))
-    star = listed.join(heads, "name").where((F.col("head.doc") < F.col("doc")) & _bound(F.col("head.place"), F.col("head.n"), F.col("place"), F.col("n")))
-    star = written(star.select(F.col("head.doc").alias("a"), F.col("doc").alias("b")).distinct(), "star")
+    # First every member of a list with the document of which most names are shared.
+    shared = listed.groupBy("doc").agg((F.count("*") / F.greatest(F.first("n"), F.lit(1))).alias("shared"))
+    ranked = listed.join(shared, "doc")
+    centre = F.max(F.struct("shared", -F.col("doc"), "doc", "place", "n")).alias("centre")
+    members = ranked.drop("shared").join(ranked.groupBy("name").agg(centre), "name")
+    c = lambda x: F.col("centre").getField(x)
+    members = members.select("name", "doc", "place", "n", c("doc").alias("c_doc"), c("place").alias("c_place"), c("n").alias("c_n"))
+    members = written(members, "members")
     free_shuffles()
-    links = verified(star, rows)
+    low, high = F.least("c_doc", "doc").alias("a"), F.greatest("c_doc", "doc").alias("b")
+    star = members.where((F.col("c_doc") != F.col("doc")) & _bound(F.col("c_place"), F.col("c_n"), F.col("place"), F.col("n"))).select(low, high).distinct()
+    star = measured(written(star, "star"), rows)
+    links = star.where("linked").select("a", "b")
     comps = written(components(links), "components")
 
     # Then, in lists that still lie in several components, members of different ones.
-    owned = listed.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    owned = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     split = owned.groupBy("name").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("name")
-    rest = written(owned.join(split, "name"), "rest")
-    left, right = (rest.select("name", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "place", "n", "component"))) for s in "ab")
-    across = left.join(right, "name").where((F.col("component_a") < F.col("component_b")) & _bound(F.col("place_a"), F.col("n_a"), F.col("place_b"), F.col("n_b")))
+    rest = owned.join(split, "name").withColumn("a", low).withColumn("b", high).join(star.select("a", "b", "distance"), ["a", "b"], "left")
+    distance = F.when(F.col("c_doc") == F.col("doc"), F.lit(0.0)).otherwise(F.col("distance"))
+    before = F.when(F.col("place") >= 0, F.lag("name").over(Window.partitionBy("doc").orderBy("place", "name")))
+    rest = written(rest.select("name", "doc", "place", "n", "component", distance.alias("distance"), before.alias("before")), "rest")
+    free_shuffles()
+    left, right = (rest.select("name", *(F.col(x).alias(f"{x}_{s}") for x in rest.columns if x != "name")) for s in "ab")
+    apart = F.coalesce(F.abs(F.col("distance_a") - F.col("distance_b")) > (DEN - NUM) / DEN + 1e-9, F.lit(False))
+    met = F.coalesce(F.col("before_a") == F.col("before_b"), F.lit(False))
+    across = left.join(right, (left["name"] == right["name"]) & (F.col("component_a") < F.col("component_b")) & ~apart & ~met & _bound(F.col("place_a"), F.col("n_a"), F.col("place_b"), F.col("n_b")))
     across = across.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
     across = written(across.join(star, ["a", "b"], "left_anti"), "across")
     free_shuffles()
-    more = verified(across, rows)
-    discard(rest)
+    more = measured(across, rows).where("linked").select("a", "b")
+    for table in (members, rest):
+        discard(table)
     comps = written(components(links.unionAll(more)), "components")
 
     documents = found.where(F.col("name").isNull()).select(F.nullif("doc", F.lit(X.LAST)).alias("doc_id"), F.col("n").alias("n_shingles"))
