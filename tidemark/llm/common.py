@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import sys
+import time
 import types as pytypes
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ from tidemark.session import scratch_path
 
 #: Bytes of text that a task works on at once; temporary arrays are a small multiple of it.
 CHUNK_BYTES = 1 << 20
+#: Seconds that Spark's cleaner gets after each collection.
+CLEANER_S = 0.5
 
 
 def per_process(name: str, build):
@@ -49,11 +52,16 @@ def discard(df: DataFrame | None) -> None:
 
 
 def free_shuffles() -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished jobs: it acts when the driver collects garbage."""
-    gc.collect()
+    """Lets Spark's cleaner remove the shuffle files of finished jobs: it acts when the driver collects garbage.
+
+    What a first collection lets go of holds more; the cleaner works in a thread of its own, so it gets a moment.
+    """
     spark = SparkSession.getActiveSession()
-    if spark is not None:
-        spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        if spark is not None:
+            spark._jvm.System.gc()
+        time.sleep(CLEANER_S)
 
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
