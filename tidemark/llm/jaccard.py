@@ -138,7 +138,7 @@ def frequent_names(docs: DataFrame, bits: int) -> tuple[np.ndarray, float]:
         order, start, _ = X.groups(key)
         sums = np.add.reduceat(count[order], start)
         often = sums >= OFTEN
-        return pa.table({"name": pa.array(np.append(key[order][start][often], 0).astype(np.int64)), "n": pa.array(np.append(sums[often], -len(start))), "all": pa.array(np.append(sums[often] * 0, sums.sum()))})
+        return pa.table({"name": pa.array(np.append(key[order][start][often], np.uint64(0)).astype(np.int64)), "n": pa.array(np.append(sums[often], -len(start))), "all": pa.array(np.append(sums[often] * 0, sums.sum()))})
 
     counted = X.keyed(docs).mapInArrow(read, X.SCHEMA).groupBy("bucket").applyInArrow(total, "name long, n long, all long")
     counted = written(counted, "frequent")
