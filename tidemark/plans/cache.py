@@ -152,14 +152,11 @@ def leak_by_policy(t):
     )
 
 
-def _stream(t):
-    return runs.file_stream(t.spark, t.root, "events.parquet", t.events.schema)
-
-
 @query(LOG_SQL + "SELECT k AS cache_key, us, id, c AS client, status, owner FROM log")
 def ttl_replay_stream(t):
-    labelled = ttl.ttl_replay_stream(op.as_requests(_stream(t), F.col("event_type")), TTL_US)
-    return runs.run_append(labelled, "ttl-replay")
+    requests = op.as_requests(t.events, F.col("event_type"))
+    stream = runs.file_stream(t.spark, runs.in_time_order(requests, "us", "requests"), requests.schema, 2)
+    return runs.run_append(ttl.ttl_replay_stream(stream, TTL_US), "ttl-replay")
 
 
 @query("""
@@ -170,7 +167,7 @@ FROM events GROUP BY 1, 2
 """)
 def leak_monitor(t):
     """The response log is the event stream; ``floor(value)`` stands for the account returned."""
-    stream = _stream(t).select(
+    stream = runs.file_stream(t.spark, t.path("events"), t.events.schema).select(
         F.col("ts").cast("timestamp").alias("at"),
         F.col("event_type").alias("cache_key"),
         F.col("user_id").alias("client"),

@@ -7,16 +7,49 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tidemark.session import scratch_path
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_trigger: int = 16) -> DataFrame:
-    """Parquet files called ``name`` below a folder as a stream."""
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 16) -> DataFrame:
+    """A Parquet table as a stream, whether it is one file or a folder of part files."""
+    # A glob stands for either; the last letter in brackets makes one of any path.
+    path = path.rstrip("/")
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
+        .parquet(f"{path[:-1]}[{path[-1]}]")
     )
 
 
+def in_time_order(table: DataFrame, time: str, label: str, slices: int = 8) -> str:
+    """Writes a finished table as files in event-time order and returns their folder.
+
+    A file source admits files by modification time; the files get times that follow their content, so every micro-batch
+    holds later rows than the one before, however the table's own files are ordered.
+    """
+    spark = table.sparkSession
+    path = scratch_path(spark, label)
+    table.repartitionByRange(slices, time).sortWithinPartitions(time).write.parquet(path)
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for number, part in enumerate(parts):  # names follow the range partitions
+        files.setTimes(part, 1_000_000_000_000 + 1000 * number, -1)
+    return path
+
+
+def drained(query) -> int:
+    """Waits for a query that ends by itself; returns how many late rows its watermark dropped."""
+    dropped: dict[int, int] = {}
+
+    def note():
+        for p in query.recentProgress:
+            dropped[p["batchId"]] = sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"])
+
+    while not query.awaitTermination(1):
+        note()
+    note()
+    return sum(dropped.values())
+
+
 def run_append(stream: DataFrame, label: str) -> DataFrame:
     """Drains the source into Parquet and returns the written table."""
     spark = stream.sparkSession
@@ -26,7 +59,7 @@ def run_append(stream: DataFrame, label: str) -> DataFrame:
         .option("path", f"{root}/table").option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    drained(query)
     return spark.read.schema(stream.schema).parquet(f"{root}/table")
 
 
@@ -34,7 +67,8 @@ def run_update(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Drains an update-mode aggregation; the newest version of each key wins.
 
     Every micro-batch overwrites its own folder, so a retried batch leaves the
-    same result.
+    same result.  Rows that come later than the watermark allows are never lost
+    in silence: the drain fails and says how many there were.
     """
     spark = stream.sparkSession
     root = scratch_path(spark, label)
@@ -47,7 +81,9 @@ def run_update(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    late = drained(query)
+    if late:
+        raise ValueError(f"{late} rows came later than the watermark allows; give the stream more lateness or none")
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     written = spark.read.schema(schema).option("basePath", f"{root}/table").parquet(f"{root}/table")
     others = [c for c in stream.columns if c not in keys]
@@ -55,15 +91,17 @@ def run_update(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     return newest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in others])
 
 
-def leak_monitor(log: DataFrame, window: str = "1 day", lateness: str = "1 day") -> DataFrame:
+def leak_monitor(log: DataFrame, window: str = "1 day", lateness: str | None = None) -> DataFrame:
     """Foreign share per cache key and event-time window.
 
-    ``log`` has an event-time column ``at`` (timestamp).  The watermark bounds
-    the state to the windows that can still change.
+    ``log`` has an event-time column ``at`` (timestamp).  With ``lateness`` a
+    watermark bounds the state to the windows that can still change, and later
+    rows are dropped (and counted by the query's progress).  Without, every row
+    counts, and the state is one row per key and window.
     """
     foreign = F.col("client") != F.col("owner")
     return (
-        log.withWatermark("at", lateness)
+        (log.withWatermark("at", lateness) if lateness else log)
         .groupBy(F.window("at", window).alias("w"), "cache_key")
         .agg(
             F.count("*").alias("polls"),

@@ -14,15 +14,18 @@ from pyspark.sql.types import DataType, LongType, StringType, StructField, Struc
 class TtlEntry(StatefulProcessor):
     """One live entry per key: when it expires and whose response it is.
 
-    Within a micro-batch the rows of a key are put in time order; across
-    batches a late row is served from the current entry.  A key's rows are held
-    as plain number arrays, at most one micro-batch of them, so the source's
-    admission limit (files or bytes per trigger) bounds the memory.
+    Within a micro-batch the rows of a key are put in time order.  A row that
+    is earlier than one of its key in a former batch can't be judged any more:
+    it comes out as LATE without an owner and changes nothing
+    (``runs.in_time_order`` feeds finished tables so that there is none).  A
+    key's rows are held as plain number arrays, at most one micro-batch of
+    them, so the source's admission limit (files or bytes per trigger) bounds
+    the memory.
     """
 
     def __init__(self, ttl_us: int, client: DataType, idle_ms: int | None = None):
         self.ttl_us = ttl_us
-        self.state = StructType([StructField("expiry", LongType()), StructField("owner", client)])
+        self.state = StructType([StructField("expiry", LongType()), StructField("owner", client), StructField("seen", LongType())])
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -34,10 +37,10 @@ class TtlEntry(StatefulProcessor):
         us, ids, clients = (np.concatenate(part) for part in zip(*chunks))
         order = np.lexsort((ids, us))
         us, ids, clients = us[order], ids[order], clients[order]
-        expiry, owner = self.entry.get() if self.entry.exists() else (None, None)
+        expiry, owner, seen = self.entry.get() if self.entry.exists() else (None, None, None)
         owners = np.empty(len(us), dtype=object)
         missed = np.zeros(len(us), dtype=bool)
-        at = 0
+        late = at = 0 if seen is None else int(np.searchsorted(us, seen))
         while at < len(us):
             stop = at if expiry is None else at + int(np.searchsorted(us[at:], expiry))
             owners[at:stop] = owner
@@ -46,14 +49,17 @@ class TtlEntry(StatefulProcessor):
             missed[stop], owners[stop] = True, clients[stop]
             expiry, owner = int(us[stop]) + self.ttl_us, clients[stop]
             at = stop + 1
-        self.entry.update((expiry, owner.item() if isinstance(owner, np.generic) else owner))
+        seen = int(us[-1]) if seen is None else max(seen, int(us[-1]))
+        self.entry.update((expiry, owner.item() if isinstance(owner, np.generic) else owner, seen))
+        status = np.where(missed, "MISS", "HIT").astype(object)
+        status[:late] = "LATE"
         yield pd.DataFrame(
             {
                 "cache_key": key[0],
                 "us": us,
                 "id": ids,
                 "client": clients,
-                "status": np.where(missed, "MISS", "HIT"),
+                "status": status,
                 "owner": owners,
             }
         )
