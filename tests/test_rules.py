@@ -53,6 +53,29 @@ def test_fences_and_indented_code(spark):
     assert got == [True, False, True, True, True, False]
 
 
+def test_structure_is_read_from_raw_text(spark):
+    """Full-width bars and tildes are text, not structure; what is compared is normalised."""
+    got = judge(spark, "| a｜b | ﬁne |\n|\t---\t|---|\n| c | d |", [
+        rule("table", cells=["a|b"]), rule("table", cells=["fine", "c"]), rule("table", cells=["c"], min_rows=2), rule("table", cells=["c"], min_rows=3),
+    ])
+    assert got == [True, True, True, False]
+    got = judge(spark, "|\t---\t|---|\n| c | d |", [rule("table", cells=["c"], min_rows=2)])
+    assert got == [False]
+    got = judge(spark, "～～～\nx\n～～～", [rule("fence", body="x"), rule("code_block", body="x")])
+    assert got == [False, False]
+    got = judge(spark, "~~~ py\nﬁ x\n~~~\n\n    ﬁ y\n", [rule("fence", body="fi x", lang="py"), rule("code_block", body="fi y")])
+    assert got == [True, True]
+
+
+def test_character_references(spark):
+    want = {
+        "&alpha;&rsaquo;&check;": "α›✓", "&#0000000065;&#x000000041;": "AA", "&amp;lt; &nosuch; & &": "&lt; &nosuch; & &",
+        "&Aacute;&aacute;": "Áá", "&#0;&#xD800;": "&#0;&#xD800;", "&NotEqualTilde;": "≂̸",
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "t string").select("t", tx.decode_entities(F.col("t")).alias("d")).collect()
+    assert {r.t: r.d for r in rows} == want
+
+
 def test_escapes_and_prose(spark):
     assert judge(spark, "a \\- b", [rule("contains", text="a - b"), rule("absent", text="a - b")]) == [True, True]
     for md in ("_coro_ x", "`coro` x", "coro x", "[coro](#a) x"):

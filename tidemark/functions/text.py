@@ -5,6 +5,8 @@ Everything runs inside the JVM, Unicode NFKC included.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 # Characters a backslash may escape in Markdown.
@@ -152,24 +154,19 @@ def code_point_sum(c: Column) -> Column:
     return F.aggregate(points, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
 
 
-# Named character references decoded in page text.
-ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": "\"", "apos": "'", "nbsp": "\u00a0",
-    "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122", "middot": "\u00b7",
-    "bull": "\u2022", "hellip": "\u2026", "ndash": "\u2013", "mdash": "\u2014",
-    "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d",
-    "laquo": "\u00ab", "raquo": "\u00bb", "times": "\u00d7", "para": "\u00b6",
-    "sect": "\u00a7", "deg": "\u00b0", "euro": "\u20ac", "larr": "\u2190",
-    "rarr": "\u2192", "auml": "\u00e4", "ouml": "\u00f6", "uuml": "\u00fc",
-    "Auml": "\u00c4", "Ouml": "\u00d6", "Uuml": "\u00dc", "szlig": "\u00df",
-    "eacute": "\u00e9", "egrave": "\u00e8", "agrave": "\u00e0", "ccedil": "\u00e7",
-    "ntilde": "\u00f1", "zwnj": "\u200c", "shy": "\u00ad",
-}
+# Named references that pages use most; looked up first.
+_COMMON = "amp lt gt quot apos nbsp copy reg trade middot bull hellip ndash mdash lsquo rsquo ldquo rdquo laquo raquo times".split()
+
+
+def _entities() -> dict[str, str]:
+    """All named character references of HTML5 that end in a semicolon, common ones first."""
+    named = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    return {k: named[k] for k in _COMMON} | named
 
 
 def _numeric_reference(ref: Column) -> Column:
-    hexa = F.regexp_extract(ref, r"^&#[xX]([0-9a-fA-F]{1,6});", 1)
-    deci = F.regexp_extract(ref, r"^&#([0-9]{1,7});", 1)
+    hexa = F.regexp_extract(ref, r"^&#[xX]0*([0-9a-fA-F]{1,6});", 1)
+    deci = F.regexp_extract(ref, r"^&#0*([0-9]{1,7});", 1)
     code = F.when(hexa != "", hexa).when(deci != "", F.hex(deci.cast("bigint")))
     point = F.conv(code, 16, 10).cast("bigint")
     valid = (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
@@ -179,7 +176,8 @@ def _numeric_reference(ref: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """HTML character references to characters, each decoded once."""
-    table = F.create_map(*[F.lit(x) for name, char in ENTITIES.items() for x in (f"&{name};", char)])
+    named = _entities()
+    table = F.map_from_arrays(F.lit([f"&{name};" for name in named]), F.lit(list(named.values())))
     pieces = F.regexp_extract_all(
         c, F.lit(r"(?s)(&#?[0-9a-zA-Z]+;|[^&]+|&)"), F.lit(1)
     )

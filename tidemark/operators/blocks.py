@@ -55,7 +55,7 @@ def tables(md: Column) -> Column:
         cells = F.transform(
             F.split(segment, "\n"),
             lambda r: F.transform(
-                F.split(F.regexp_replace(r, r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c)
+                F.split(F.regexp_replace(r, r"^\|+|\|+$", ""), r"\|"), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
             ),
         )
         return F.filter(cells, lambda row: F.exists(row, lambda c: (c != "") & ~c.rlike(r"^:?-+:?$")))

@@ -59,7 +59,7 @@ def _escape(rule: Column) -> Column:
 def _heading(rule: Column) -> Column:
     want = F.regexp_replace(_wanted(rule, "text"), "[`*_]", "")
     return (want != "") & F.exists(
-        blocks.headings(F.col("norm")),
+        F.col("headings"),
         lambda h: (h["level"] == _arg(rule, "level")) & F.contains(h["text"], want),
     )
 
@@ -68,30 +68,26 @@ def _table(rule: Column) -> Column:
     want = F.coalesce(rule["want_cells"], F.array().cast("array<string>"))
 
     def fits(table: Column) -> Column:
-        cells = F.transform(F.flatten(table), lambda c: tx.content(c, compat=False))
-        return (F.size(table) >= F.coalesce(_arg(rule, "min_rows"), F.lit(1))) & F.forall(
-            want, lambda w: F.exists(cells, lambda c: (w == c) | ((w != "") & F.contains(c, w)))
+        return (table["rows"] >= F.coalesce(_arg(rule, "min_rows"), F.lit(1))) & F.forall(
+            want, lambda w: F.exists(table["cells"], lambda c: (w == c) | ((w != "") & F.contains(c, w)))
         )
 
-    return F.exists(blocks.tables(F.col("text")), fits)
-
-
-def _holds(rule: Column, body: Column) -> Column:
-    return F.contains(tx.content(body, compat=False), _wanted(rule, "body"))
+    return F.exists(F.col("tables"), fits)
 
 
 def _fence(rule: Column) -> Column:
     lang = F.lower(_arg(rule, "lang"))
     return F.exists(
-        blocks.fences(F.col("text")),
-        lambda b: _holds(rule, b["body"])
+        F.col("fences"),
+        lambda b: F.contains(b["body"], _wanted(rule, "body"))
         & (F.coalesce(lang, F.lit("")).eqNullSafe("") | F.lower(b["lang"]).eqNullSafe(lang)),
     )
 
 
 def _code_block(rule: Column) -> Column:
-    return F.exists(blocks.fences(F.col("text")), lambda b: _holds(rule, b["body"])) | F.exists(
-        blocks.indented(F.col("text")), lambda b: _holds(rule, b)
+    body = _wanted(rule, "body")
+    return F.exists(F.col("fences"), lambda b: F.contains(b["body"], body)) | F.exists(
+        F.col("indented"), lambda b: F.contains(b, body)
     )
 
 
@@ -107,7 +103,7 @@ def _link(rule: Column) -> Column:
     )
     reference = F.concat(F.lit(r"\]:\s*<?"), href)
     return F.rlike(F.col("content"), inline) | (
-        F.coalesce(_arg(rule, "allow_reference"), F.lit(False)) & F.rlike(F.col("text"), reference)
+        F.coalesce(_arg(rule, "allow_reference"), F.lit(False)) & F.rlike(F.col("raw"), reference)
     )
 
 
@@ -126,7 +122,49 @@ def _order(rule: Column) -> Column:
 
 
 def _list_nesting(rule: Column) -> Column:
-    return blocks.nested(blocks.items(F.col("norm")), _wanted(rule, "parent"), _wanted(rule, "child"))
+    return blocks.nested(F.col("items"), _wanted(rule, "parent"), _wanted(rule, "child"))
+
+
+# Forms of a document that rules read, parsed once per document, and the rule types that read them.  Structure is found
+# in the raw text: normalisation turns other characters into bars, tildes and back-ticks.  What is compared is normalised.
+FORMS = {
+    "flat": ("absent",),
+    "prose": ("prose",),
+    "headings": ("heading",),
+    "tables": ("table",),
+    "fences": ("fence", "code_block"),
+    "indented": ("code_block",),
+    "items": ("list_nesting",),
+}
+
+
+def _bodies(c: Column) -> Column:
+    return F.transform(tx.nfkc_array(c), lambda b: tx.content(b, compat=False))
+
+
+def with_forms(docs: DataFrame, types: list[str]) -> DataFrame:
+    """Adds ``raw``, ``norm``, ``content`` and the forms that the rule types in use read, to rows with ``md``."""
+    docs = docs.withColumn("raw", F.coalesce("md", F.lit("")))
+    docs = docs.withColumn("norm", tx.squeeze(tx.nfkc(F.col("raw"))))
+    used = [form for form, kinds in FORMS.items() if set(kinds) & set(types)]
+    raw, norm = F.col("raw"), F.col("norm")
+    found = {"tables": blocks.tables(raw), "fences": blocks.fences(raw)}
+    docs = docs.withColumns({f"_{form}": c for form, c in found.items() if form in used})
+    # All cells of a document pass through one normalisation; marks keep tables and cells apart.
+    marked = F.array_join(F.transform(F.col("_tables"), lambda t: F.array_join(F.flatten(t), "\u0001")), "\u0003")
+    cells = F.transform(F.split(tx.nfkc(marked), "\u0003"), lambda t: F.transform(F.split(t, "\u0001"), lambda c: tx.content(c, compat=False)))
+    table = F.zip_with(F.transform(F.col("_tables"), F.size), cells, lambda n, c: F.struct(n.alias("rows"), c.alias("cells")))
+    fence = F.zip_with(
+        F.transform(F.col("_fences"), lambda b: b["lang"]), _bodies(F.transform(F.col("_fences"), lambda b: b["body"])),
+        lambda lang, body: F.struct(lang.alias("lang"), body.alias("body")),
+    )
+    forms = {
+        "flat": tx.flat_of(norm), "prose": tx.prose_of(norm), "headings": blocks.headings(norm),
+        "tables": F.when(F.size("_tables") > 0, table), "fences": F.when(F.size("_fences") > 0, fence),
+        "indented": _bodies(blocks.indented(raw)), "items": blocks.items(norm),
+    }
+    docs = docs.withColumns({"content": tx.content_of(norm)} | {form: forms[form] for form in used})
+    return docs.drop("_tables", "_fences")
 
 
 RULE_TYPES: dict[str, Callable[[Column], Column]] = {
@@ -192,18 +230,13 @@ def evaluate(outputs: DataFrame, rules: DataFrame, types: list[str] | None = Non
         prepared.filter("page_id IS NOT NULL")
         .groupBy("page_id").agg(F.collect_list("rule").alias("own"))
     )
-    docs = outputs.withColumn("text", tx.nfkc(F.coalesce("md", F.lit(""))))
-    docs = docs.withColumn("norm", tx.squeeze(F.col("text"))).join(own, "page_id", "left")
-    docs = docs.withColumns(
-        {
-            "flat": tx.flat_of(F.col("norm")),
-            "content": tx.content_of(F.col("norm")),
-            "prose": tx.prose_of(F.col("norm")),
-            "_rules": F.concat(
-                F.coalesce("own", F.array().cast(own.schema["own"].dataType)),
-                general.select("general").scalar(),
-            ),
-        }
+    docs = with_forms(outputs, types).join(own, "page_id", "left")
+    docs = docs.withColumn(
+        "_rules",
+        F.concat(
+            F.coalesce("own", F.array().cast(own.schema["own"].dataType)),
+            general.select("general").scalar(),
+        ),
     )
     in_scope = F.filter(
         "_rules", lambda r: (r["applies_to"] == "all") | (r["applies_to"] == F.col("kind"))
@@ -221,9 +254,9 @@ def evaluate(outputs: DataFrame, rules: DataFrame, types: list[str] | None = Non
 
     # The null test names every shared form a second time: a column used once
     # would be folded into the lambda and computed again for each rule.
-    forms = ["text", "norm", "content"]
-    forms += [form for form, kind in (("flat", "absent"), ("prose", "prose")) if kind in types]
-    shared = F.coalesce(*[F.length(c) for c in forms])
+    forms = ["raw", "norm", "content", *(form for form, kinds in FORMS.items() if set(kinds) & set(types))]
+    text = {"raw", "norm", "content", "flat", "prose"}
+    shared = F.coalesce(*[F.length(c) if c in text else F.size(c) for c in forms])
     verdicts = F.when(shared.isNotNull(), F.transform(in_scope, judged))
     return docs.select("page_id", "tool", "kind", F.inline(verdicts))
 

@@ -29,7 +29,7 @@ RUNTIME_CONF = {
 
 
 def build_session(app: str = "tidemark", cpus: int | None = None, **conf: str) -> SparkSession:
-    """A local session for tests and benchmarks; clusters bring their own."""
+    """A local session for tests and timing runs; clusters bring their own."""
     cpus = cpus or os.cpu_count() or 1
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.session import scratch_path
@@ -28,12 +30,13 @@ def write_json(df: DataFrame, path: str) -> str:
 
 
 def create_table_as(df: DataFrame, name: str) -> DataFrame:
-    """Drop-if-exists, then materialise a query as a named table.
+    """Materialise a query as a named table; the name gets a suffix of its own.
 
-    The files go to a fresh folder below the shared one.
+    Two runs in one catalog never touch each other's table.  The files go to a
+    fresh folder below the shared one.
     """
     spark = df.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    name = f"{name}_{uuid.uuid4().hex}"
     df.write.format("parquet").option("path", scratch_path(spark, name)).saveAsTable(name)
     return spark.table(name)
 
