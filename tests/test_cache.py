@@ -57,11 +57,23 @@ def test_only_few_rows_are_walked(spark):
     spans = grid.sortWithinPartitions("cache_key", "cell").coalesce(1).sortWithinPartitions("cell").mapInPandas(
         op._bracket_cells(ttl_us), "cache_key string, first_cell bigint, last_cell bigint"
     )
-    cells = spans.select(F.explode(F.sequence("first_cell", "last_cell")).alias("c")).distinct().count()
+    unfolded = spans.select(F.explode(F.sequence("first_cell", "last_cell")).alias("c"))
+    cells = unfolded.distinct().count()
+    assert unfolded.count() == cells
     assert cells < grid.count() / 20
     assert op.ttl_fills(rows, ttl_us).count() == len(range(0, 200_000 * 37, 1)) // (27028 * 37) + 1
 
 
+def test_brackets_of_a_dense_key_over_a_day_stay_linear(spark):
+    """A TTL of 5 s over a day: brackets widen, but no cell is unfolded twice."""
+    width, ttl_us = 5_000_000 // 256, 5_000_000
+    grid = spark.range(86_400 * 10).select(F.lit("hot").alias("cache_key"), op.floor_div(F.col("id") * 100_000, width).alias("cell"), (F.col("id") * 100_000).alias("us"))
+    grid = grid.groupBy("cache_key", "cell").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+    spans = grid.repartition(1).sortWithinPartitions("cell").mapInPandas(op._bracket_cells(ttl_us), "cache_key string, first_cell bigint, last_cell bigint")
+    unfolded = spans.agg(F.sum(F.col("last_cell") - F.col("first_cell") + 1)).first()[0]
+    assert unfolded <= 86_400_000_000 // width + 1
+
+
 def test_published_stages(spark):
     """Four requests in a row: shared key, key with user, private responses."""
     asks = [("alice", 1), ("bob", 2), ("carol", 3), ("alice", 4)]

@@ -15,6 +15,7 @@ an equi-join on (key, TTL block), because a block holds at most one fill.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.labels import epoch_us, floor_div
-from tidemark.operators.ordered import DAY_US, neighbour, numbered
+from tidemark.operators.ordered import DAY_US, neighbour, placed
 
 HOUR_US = 3_600_000_000
 
@@ -39,35 +40,59 @@ def as_requests(events: DataFrame, key: Column, private: Column | None = None) -
 
 
 def _bracket_cells(ttl_us: int):
-    """Brackets of the fill chain from ordered ``(cache_key, cell, lo, hi)`` rows."""
+    """Cells that may hold a fill, as disjoint ranges, from ordered ``(cache_key, cell, lo, hi)`` rows.
+
+    Each fill has an earliest and a latest possible cell; neither ever
+    decreases along a key, so brackets that touch merge with the one before
+    and no cell comes out twice.
+    """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, last = None, None
         earliest = latest = 0
-        open_cells: list[int] = []
+        open_cells: deque[int] = deque()
+        held: list | None = None  # the range that later brackets may still extend
+        found: list[tuple] = []
+
+        def bracket(k, first, end):
+            nonlocal held
+            if held is not None and held[0] == k and first <= held[2] + 1:
+                held[2] = max(held[2], end)
+                return
+            if held is not None:
+                found.append(tuple(held))
+            held = [k, first, end]
+
+        def table():
+            out = pd.DataFrame(found, columns=["cache_key", "first_cell", "last_cell"])
+            found.clear()
+            return out
+
         for pdf in batches:
-            found: list[tuple] = []
             for k, cell, lo, hi in zip(
                 pdf["cache_key"].tolist(), pdf["cell"].tolist(), pdf["lo"].tolist(), pdf["hi"].tolist()
             ):
                 if k != key:
                     if open_cells:
-                        found.append((key, open_cells[0], last))
-                    key, open_cells = k, []
+                        bracket(key, open_cells[0], last)
+                    key = k
+                    open_cells.clear()
                     earliest = latest = lo
                 if hi >= earliest:
                     open_cells.append(cell)
                     earliest = max(lo, earliest) + ttl_us
                 if hi >= latest:
-                    found.append((key, open_cells.pop(0), cell))
+                    bracket(key, open_cells.popleft(), cell)
                     latest = (lo if lo >= latest else hi) + ttl_us
                 last = cell
             if found:
-                yield pd.DataFrame(found, columns=["cache_key", "first_cell", "last_cell"])
+                yield table()
         if open_cells:
-            yield pd.DataFrame(
-                [(key, open_cells[0], last)], columns=["cache_key", "first_cell", "last_cell"]
-            )
+            bracket(key, open_cells[0], last)
+        if held is not None:
+            found.append(tuple(held))
+        if found:
+            yield table()
 
     return walk
 
@@ -114,7 +139,7 @@ def ttl_fills(requests: DataFrame, ttl_us: int, cells_per_ttl: int = 256) -> Dat
     )
     cells = brackets.select(
         "cache_key", F.explode(F.sequence("first_cell", "last_cell")).alias("cell")
-    ).distinct()
+    )
     candidates = slim.join(cells, ["cache_key", "cell"], "left_semi").select(
         "cache_key", "us", "id", "client"
     )
@@ -228,13 +253,11 @@ def client_runs(log: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
     """Run-length list per client: ``client, run_no, account, n``."""
     bucket = floor_div(F.col("us"), bucket_us)
     rows = log.select("client", "us", "id", "owner")
-    placed = numbered(rows, ["client"], ["us", "id"], bucket, "place")
-    near = neighbour(placed, ["client"], ["us", "id"], bucket, ["owner"], "prev")
+    near = placed(rows, ["client"], ["us", "id"], bucket, before={"prev": ["owner"]}, number="place")
     starts = near.filter(
         F.col("prev").isNull() | ~F.col("prev.owner").eqNullSafe(F.col("owner"))
     ).select("client", "us", "id", "owner", "place")
-    starts = neighbour(starts, ["client"], ["us", "id"], bucket, ["place"], "next", ahead=True)
-    starts = numbered(starts, ["client"], ["us", "id"], bucket, "run_no")
+    starts = placed(starts, ["client"], ["us", "id"], bucket, after={"next": ["place"]}, number="run_no")
     totals = rows.groupBy("client").agg(F.count("*").alias("total"))
     account = F.when(F.col("owner") == F.col("client"), F.lit("OWN")).otherwise(
         F.col("owner").cast("string")

@@ -12,55 +12,55 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 DAY_US = 86_400_000_000
 
 
-def _joined_to_edges(df: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on (keys, bucket), null keys matching null keys."""
-    renamed = edges.select(
-        *[F.col(k).alias(f"_e_{k}") for k in [*keys, "_bucket"]],
-        *[c for c in edges.columns if c not in [*keys, "_bucket"]],
+def placed(
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column,
+    before: dict[str, list[str]] | None = None, after: dict[str, list[str]] | None = None, number: str | None = None,
+) -> DataFrame:
+    """Structs of the previous and next row's values and the row number, in one pass.
+
+    ``before`` and ``after`` map a new column to the values it holds; ``bucket``
+    must never decrease along ``order``.  One exchange on (keys, bucket) serves
+    the windows and the join with the stitched bucket edges; the edges are
+    pre-aggregated.  Null keys are a key of their own: keys travel as a struct,
+    whose equality takes nulls as equal.
+    """
+    before, after = before or {}, after or {}
+    rows = df.withColumns({"_keys": F.struct(*keys), "_bucket": bucket})
+    by = F.struct(*order)
+    edge = rows.groupBy("_keys", "_bucket").agg(
+        F.count("*").alias("_count"),
+        *[F.max_by(F.struct(*v), by).alias(f"_last_{c}") for c, v in before.items()],
+        *[F.min_by(F.struct(*v), by).alias(f"_first_{c}") for c, v in after.items()],
     )
-    cond = [df[k].eqNullSafe(renamed[f"_e_{k}"]) for k in [*keys, "_bucket"]]
-    return df.join(renamed, cond, "left").drop(*[f"_e_{k}" for k in [*keys, "_bucket"]])
+    along = Window.partitionBy("_keys").orderBy("_bucket")
+    edges = edge.select(
+        "_keys", "_bucket",
+        F.coalesce(F.sum("_count").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        *[F.lag(f"_last_{c}").over(along).alias(f"_edge_{c}") for c in before],
+        *[F.lead(f"_first_{c}").over(along).alias(f"_edge_{c}") for c in after],
+    )
+    inside = Window.partitionBy("_keys", "_bucket").orderBy(*order)
+    near = rows.withColumns(
+        {f"_near_{c}": F.lag(F.struct(*v)).over(inside) for c, v in before.items()}
+        | {f"_near_{c}": F.lead(F.struct(*v)).over(inside) for c, v in after.items()}
+        | ({"_place": F.row_number().over(inside).cast("bigint")} if number else {})
+    )
+    new = {c: F.coalesce(f"_near_{c}", f"_edge_{c}") for c in [*before, *after]}
+    if number:
+        new[number] = F.col("_place") + F.col("_before")
+    joined = near.join(edges, ["_keys", "_bucket"], "left").withColumns(new)
+    return joined.select(*df.columns, *new)
 
 
 def neighbour(
     df: DataFrame, keys: list[str], order: list[str], bucket: Column, values: list[str],
     alias: str, ahead: bool = False,
 ) -> DataFrame:
-    """Adds struct ``alias`` holding ``values`` of the previous (or next) row.
-
-    ``bucket`` must never decrease along ``order``.
-    """
-    rows = df.withColumns({"_bucket": bucket, "_own": F.struct(*values)})
-    by = F.struct(*order)
-    edge = rows.groupBy(*keys, "_bucket").agg(
-        (F.min_by if ahead else F.max_by)(F.struct(*values), by).alias("_edge")
-    )
-    along = Window.partitionBy(*keys).orderBy("_bucket")
-    step = F.lead if ahead else F.lag
-    edges = edge.select(*keys, "_bucket", step("_edge").over(along).alias("_carry"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    near = rows.withColumn("_near", step("_own").over(inside))
-    return (
-        _joined_to_edges(near, edges, keys)
-        .withColumn(alias, F.coalesce("_near", "_carry"))
-        .drop("_near", "_carry", "_own", "_bucket")
-    )
+    """Adds struct ``alias`` holding ``values`` of the previous (or next) row."""
+    side = {alias: values}
+    return placed(df, keys, order, bucket, **({"after": side} if ahead else {"before": side}))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column, alias: str) -> DataFrame:
     """Adds the row number along ``order`` within the keys, from 1."""
-    rows = df.withColumn("_bucket", bucket)
-    count = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_cnt"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    edges = count.select(
-        *keys, "_bucket", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    near = rows.withColumn("_rn", F.row_number().over(inside).cast("bigint"))
-    return (
-        _joined_to_edges(near, edges, keys)
-        .withColumn(alias, F.col("_rn") + F.col("_before"))
-        .drop("_rn", "_before", "_bucket")
-    )
+    return placed(df, keys, order, bucket, number=alias)

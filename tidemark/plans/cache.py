@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import labels
 from tidemark.operators import cache as op
 from tidemark.plans.registry import query
+from tidemark.sources.writers import materialise
 from tidemark.streaming import runs, ttl
 
 TTL_US = 6 * op.HOUR_US
@@ -46,6 +47,11 @@ def log(t):
     return op.ttl_replay(requests(t), TTL_US)
 
 
+def written_log(t):
+    """The labelled log, written once: operators that read it more than once share one replay."""
+    return materialise(log(t), "log")
+
+
 @query(LOG_SQL + "SELECT k AS cache_key, us, id, c AS client, status, owner FROM log")
 def ttl_replay(t):
     return log(t).select("cache_key", "us", "id", "client", "status", "owner")
@@ -81,19 +87,19 @@ def origin_answers(t):
 
 @query(RUNS_SQL + "SELECT k AS cache_key, owner, us, id FROM runs")
 def owner_runs(t):
-    return op.owner_runs(log(t))
+    return op.owner_runs(written_log(t))
 
 
 @query(RUNS_SQL + "SELECT k AS cache_key, owner, us, seconds FROM stretches")
 def run_stretches(t):
-    return op.run_stretches(op.owner_runs(log(t)))
+    return op.run_stretches(op.owner_runs(written_log(t)))
 
 
 @query(RUNS_SQL + """
 SELECT k AS cache_key, count(*) AS runs, count(*) - count(DISTINCT owner) AS repeats FROM runs GROUP BY k
 """)
 def run_repeats(t):
-    return op.run_repeats(op.owner_runs(log(t)))
+    return op.run_repeats(op.owner_runs(written_log(t)))
 
 
 @query(RUNS_SQL + """
@@ -102,7 +108,7 @@ SELECT k AS cache_key, count(*) AS stretches, count(*) FILTER (seconds BETWEEN 2
 FROM stretches GROUP BY k
 """)
 def ttl_signature(t):
-    return op.ttl_signature(op.run_stretches(op.owner_runs(log(t))), 21_600, 1_800)
+    return op.ttl_signature(op.run_stretches(op.owner_runs(written_log(t))), 21_600, 1_800)
 
 
 CLIENT_RUNS_SQL = LOG_SQL + """
@@ -117,7 +123,7 @@ CLIENT_RUNS_SQL = LOG_SQL + """
 
 @query(CLIENT_RUNS_SQL + "SELECT client, run_no, account, n FROM compact")
 def client_runs(t):
-    return op.client_runs(log(t))
+    return op.client_runs(written_log(t))
 
 
 @query(CLIENT_RUNS_SQL + """
@@ -125,7 +131,7 @@ SELECT client, string_agg(account || ' x' || n, ', ' ORDER BY run_no) AS saw FRO
 WHERE client IN (SELECT DISTINCT c FROM log ORDER BY c LIMIT 3) GROUP BY client
 """)
 def client_run_summary(t):
-    return op.client_run_summary(log(t), 3)
+    return op.client_run_summary(written_log(t), 3)
 
 
 POLICY_SQL = "WITH RECURSIVE " + replay_sql("""
