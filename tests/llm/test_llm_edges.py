@@ -99,7 +99,10 @@ def test_substrings_keep_the_first_and_repeated_rows(odd):
         substrings.marks(odd, 20, 3)
 
 
-def test_jaccard_light_heavy_and_ties(spark):
+@pytest.mark.parametrize("many", [48, 1])
+def test_jaccard_light_heavy_and_ties(spark, monkeypatch, many):
+    """Pairs one by one and blocks of pairs give the same components."""
+    monkeypatch.setattr(jaccard, "MANY", many)
     base = [f"w{i}" for i in range(400)]
     docs = [(k, " ".join(base[: 8 + k])) for k in range(30)] + [(100 + k, " ".join(base[200 : 400 - k])) for k in range(30)]
     docs += [(200, "a b"), (201, "A B"), (202, "a b c"), (203, None), (None, "a b"), (204, "a b")]
@@ -141,6 +144,9 @@ def test_components_of_a_chain_and_a_hub(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(51)) and all(got[1000 + i] == 1000 for i in range(200)) and got[60] == 59
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    more = spark.createDataFrame([(50, 61), (61, 2000), (3000, 3001), (5, 6)], "a long, b long")
+    got = {r.node: r.component for r in graph.extended(spark.createDataFrame([(k, v) for k, v in got.items()], "node long, component long"), more).collect()}
+    assert got[61] == 0 and got[2000] == 0 and got[50] == 0 and got[3001] == 3000 and got[3000] == 3000 and got[1100] == 1000 and got[60] == 59
 
 
 def test_secrets_redaction_and_queries(odd):

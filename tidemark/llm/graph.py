@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = links.unionAll(links.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where(b > a).join(low, "a").select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
+        large = both.where(b > a).join(low, "a").select(b.alias("a"), F.col("m").alias("b")).where(a != b)
         large = written(large, "links")
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(root, "a").select(F.explode(F.array(F.struct(a.alias("a"), F.col("m").alias("b")), F.struct(b.alias("a"), F.col("m").alias("b")))).alias("e"))
@@ -35,3 +35,15 @@ def components(edges: DataFrame) -> DataFrame:
         discard(large)
         free_shuffles()
         links = after
+
+
+def extended(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, component) once further links (a, b) are known: only the components they join are worked on."""
+    of = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    joined = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    roots = joined.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b")
+    over = components(roots).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    known = comps.join(over, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    # Documents that had no link before are roots of their own.
+    fresh = over.join(comps.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("root").alias("component"))
+    return known.unionAll(fresh)

@@ -12,8 +12,9 @@ documents; at most 2^18 are told apart, the rest are ordered by hash: the bound
 Lists are not unfolded into pairs.  Each list links its members to its most central document (most of its names are
 shared), these pairs are verified, and links are united.  Lists that then lie in one component are done.  In the others,
 members of different components are compared in full, so no link between components is lost; only links within a
-component stay unlisted.  Two things make that few: 1 - similarity is a metric, so members whose distances to the centre
-differ by more than 1/4 can't link; and a pair that shares its previous name too was met in that list.
+component stay unlisted.  Where a central document has few members, pairs are verified one by one, each in the first
+list that shows it.  Where it has many, blocks of its members are compared inside tasks, which hand on a spanning forest
+of the links: no pair that isn't one ever is a row.
 
 Cases: a null text or one without words has an empty set and links with nothing; with fewer than five words the whole
 sequence is one shingle; rows of equal doc_id are one document whose rows are joined; a null doc_id links with
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import exchange as X
 from tidemark.llm.common import discard, free_shuffles, pieces, raw_bytes, text_or_empty, written
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, extended
 from tidemark.llm.hashing import WHITE, RunHashes, combine, lower_ascii, mix, runs
 
 SHINGLE = 5
@@ -41,8 +42,10 @@ NUM, DEN = 3, 4
 FREQUENT, OFTEN = 1 << 18, 24
 #: Largest size that may be light.
 LIGHT_MOST = 12
-#: Members of a list's smallest document that one task verifies.
-STAR = 256
+#: Members of a central document that one task verifies, and how many make it compare by blocks.
+STAR, MANY = 256, 48
+#: Names that are multiplied at once when blocks are compared.
+COLUMNS = 4096
 
 
 def shingle_sets(body: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -219,19 +222,26 @@ def _bound(place_a, n_a, place_b, n_b):
     return fits & ((place_a < 0) | enough)
 
 
-def measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their distance, 1 - similarity, and whether they link; sets are compared in full."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, names) of the documents with the ids (_key); packed names.  Rows of one doc_id give a row each."""
 
-    def sets_of(batches):
+    def run(batches):
         for batch in batches:
             for part in pieces(batch, "_text"):
                 found = shingle_sets(*raw_bytes(part.column("_text")))
                 yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array([s.tobytes() for s in found], pa.binary())], ["doc", "names"])
 
-    texts = X.keyed(docs).join(ids, "_key", "left_semi").select("_key", "_text")
-    sets = written(texts.mapInArrow(sets_of, "doc long, names binary"), "sets")
-    # A document whose rows differ joins their sets.
+    texts = X.keyed(docs).join(ids.distinct(), "_key", "left_semi").select("_key", "_text")
+    return written(texts.mapInArrow(run, "doc long, names binary"), "sets")
+
+
+def _links(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link; their sets are compared in full."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("_key")), docs)
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     members = dealt.join(sets.withColumnRenamed("doc", "b"), "b").select("a", "part", "b", "names")
@@ -240,22 +250,17 @@ def measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def compare(batches):
         centre, own, last, merged = None, None, None, None
 
-        def measure(out):
-            if last is not None:
-                both = len(np.intersect1d(own, merged, True))
-                union = len(own) + len(merged) - both
-                out.append((centre[0], last, 1 - both / max(1, union), bool(both) and DEN * both >= NUM * union))
-
-        def table(out):
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["a", "b", "distance", "linked"])
+        def linked():
+            both = len(np.intersect1d(own, merged, True))
+            return both > 0 and DEN * both >= NUM * (len(own) + len(merged) - both)
 
-        out: list[tuple] = []
         for batch in batches:
+            out = []
             for a, part, b, names in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "names"))):
                 x = np.frombuffer(names, np.uint64)
                 if last is not None and (a, part, b) != (*centre, last):
-                    measure(out)
+                    if linked():
+                        out.append((centre[0], last))
                     last = None
                 if (a, part) != centre:
                     centre, own = (a, part), x
@@ -265,13 +270,83 @@ def measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     merged = np.union1d(merged, x)
                 else:
                     last, merged = b, x
-            yield table(out)
-            out = []
-        measure(out)
-        yield table(out)
+            yield _links(out)
+        if last is not None and linked():
+            yield _links([(centre[0], last)])
 
     ordered = members.unionByName(centres).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    out = written(ordered.mapInArrow(compare, "a long, b long, distance double, linked boolean"), "measured")
+    out = written(ordered.mapInArrow(compare, "a long, b long"), "verified")
+    discard(sets)
+    free_shuffles()
+    return out
+
+
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many names each set of a shares with each of b: products of 0/1 matrices, some names at a time."""
+    both = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), True)
+    out = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, len(both), COLUMNS):
+        columns = both[start : start + COLUMNS]
+
+        def matrix(sets):
+            m = np.zeros((len(sets), len(columns)), np.float32)
+            for row, s in enumerate(sets):
+                spot = np.searchsorted(columns, s)
+                spot[spot == len(columns)] = 0
+                m[row, spot[columns[spot] == s]] = 1
+            return m
+
+        out += matrix(a) @ matrix(b).T
+    return out
+
+
+def block_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join different components among the members (centre, doc, component) of each centre."""
+    sets = sets_of(members.select(F.col("doc").alias("_key")), docs)
+    blocks = members.groupBy("centre").agg(F.ceil(F.count("*") / STAR).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "centre").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
+    rows = dealt.join(sets, "doc").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "doc")
+
+    def compare(batches):
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            return x
+
+        def links(i, j, held):
+            docs = list(held)
+            side = [[d for d in docs if held[d][0] == k] for k in (i, j)]
+            if not side[0] or not side[1]:
+                return
+            a, b = ([held[d][2] for d in s] for s in side)
+            both = _overlaps(a, b)
+            union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None] - both
+            for x, y in zip(*np.nonzero((both > 0) & (DEN * both >= NUM * union))):
+                p, q = side[0][x], side[1][y]
+                rp, rq = root(held[p][1]), root(held[q][1])
+                if rp != rq:
+                    parent[max(rp, rq)] = min(rp, rq)
+                    yield p, q
+
+        group, held = None, {}
+        for batch in batches:
+            out = []
+            for *key, own, doc, component, names in zip(*(batch.column(c).to_pylist() for c in ("centre", "i", "j", "own", "doc", "component", "names"))):
+                if key != group:
+                    if held:
+                        out += links(*group[1:], held)
+                    group, held = key, {}
+                x = np.frombuffer(names, np.uint64)
+                held[doc] = own, component, np.union1d(held[doc][2], x) if doc in held else x
+            yield _links(out)
+        if held:
+            yield _links(list(links(*group[1:], held)))
+
+    out = written(rows.mapInArrow(compare, "a long, b long"), "block-links")
     discard(sets)
     free_shuffles()
     return out
@@ -299,29 +374,32 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     free_shuffles()
     low, high = F.least("c_doc", "doc").alias("a"), F.greatest("c_doc", "doc").alias("b")
     star = members.where((F.col("c_doc") != F.col("doc")) & _bound(F.col("c_place"), F.col("c_n"), F.col("place"), F.col("n"))).select(low, high).distinct()
-    star = measured(written(star, "star"), rows)
-    links = star.where("linked").select("a", "b")
+    star = written(star, "star")
+    links = verified(star, rows)
     comps = written(components(links), "components")
 
     # Then, in lists that still lie in several components, members of different ones.
     owned = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     split = owned.groupBy("name").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("name")
-    rest = owned.join(split, "name").withColumn("a", low).withColumn("b", high).join(star.select("a", "b", "distance"), ["a", "b"], "left")
-    distance = F.when(F.col("c_doc") == F.col("doc"), F.lit(0.0)).otherwise(F.col("distance"))
     before = F.when(F.col("place") >= 0, F.lag("name").over(Window.partitionBy("doc").orderBy("place", "name")))
-    rest = written(rest.select("name", "doc", "place", "n", "component", distance.alias("distance"), before.alias("before")), "rest")
+    rest = owned.join(split, "name").select("name", "doc", "place", "n", "component", F.col("c_doc").alias("centre"), before.alias("before"))
+    rest = written(rest, "rest")
     free_shuffles()
-    left, right = (rest.select("name", *(F.col(x).alias(f"{x}_{s}") for x in rest.columns if x != "name")) for s in "ab")
-    apart = F.coalesce(F.abs(F.col("distance_a") - F.col("distance_b")) > (DEN - NUM) / DEN + 1e-9, F.lit(False))
+    around = rest.groupBy("centre", "doc").agg(F.first("component").alias("component"))
+    many = around.groupBy("centre").agg(F.count("*").alias("m")).where(F.col("m") > MANY).select("centre")
+    more = block_links(written(around.join(many, "centre"), "around"), rows)
+
+    few = rest.join(many, "centre", "left_anti")
+    left, right = (few.select("name", *(F.col(x).alias(f"{x}_{s}") for x in ("doc", "place", "n", "component", "before"))) for s in "ab")
     met = F.coalesce(F.col("before_a") == F.col("before_b"), F.lit(False))
-    across = left.join(right, (left["name"] == right["name"]) & (F.col("component_a") < F.col("component_b")) & ~apart & ~met & _bound(F.col("place_a"), F.col("n_a"), F.col("place_b"), F.col("n_b")))
+    across = left.join(right, "name").where((F.col("component_a") < F.col("component_b")) & ~met & _bound(F.col("place_a"), F.col("n_a"), F.col("place_b"), F.col("n_b")))
     across = across.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
     across = written(across.join(star, ["a", "b"], "left_anti"), "across")
     free_shuffles()
-    more = measured(across, rows).where("linked").select("a", "b")
+    more = more.unionAll(verified(across, rows))
     for table in (members, rest):
         discard(table)
-    comps = written(components(links.unionAll(more)), "components")
+    comps = written(extended(comps, more), "components")
 
     documents = found.where(F.col("name").isNull()).select(F.nullif("doc", F.lit(X.LAST)).alias("doc_id"), F.col("n").alias("n_shingles"))
     return documents.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
