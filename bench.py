@@ -25,6 +25,7 @@ HEADLINE = [
     "sample_medians", "rate_usage", "cost_matrix",
     # cache audit
     "ttl_replay", "leak_summary", "owner_runs", "leak_by_policy", "ttl_replay_stream",
+    "client_runs", "run_stretches", "ttl_signature", "speedup_vs_baseline",
     # text and pages
     "term_counts", "text_clean", "markdown_converter", "region_text", "text_retention", "probe_eval", "probe_scores",
 ]

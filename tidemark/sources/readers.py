@@ -12,23 +12,6 @@ TABLES = (
 ).split()
 
 
-# Tables whose rows cost far more CPU than their bytes suggest.
-TEXT_TABLES = ("documents", "pages")
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Lets a small input use every core.
-
-    An input below the bound would be read by very few tasks; it is dealt out
-    once.  A larger input already has many splits and is returned as it is.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 class Tables:
     """Attribute access to the Parquet tables of one folder."""
 
@@ -43,7 +26,8 @@ class Tables:
         if name not in TABLES:
             raise AttributeError(name)
         table = self.spark.read.parquet(self.path(name))
-        return spread(table) if name in TEXT_TABLES else table
+        # Page operators work per page: this is the one exchange that serves them all, at every size.
+        return table.repartition("page_id") if name == "pages" else table
 
 
 def scan_parquet(spark: SparkSession, glob: str, columns: list[str]) -> DataFrame:
