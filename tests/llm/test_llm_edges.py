@@ -3,9 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
-import corpus_pipeline
 from tidemark.llm import bpe, exchange, graph, jaccard, packing, quality, queries, secrets, substrings, suffixes, toxicity, vectors, warc
 
 random.seed(3)

@@ -163,8 +163,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
     usable = usable.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     sample = usable.withColumn("_order", F.xxhash64("doc_id", F.lit(5))).orderBy("_order", "doc_id", "quality").limit(sample_rows)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")  # sample_rows pairs at most
-    rows = statistics(found, ["_order", "quality"]).where(~F.col("base_failed"))
-    rows = written(rows.select((1 - F.col("quality")).alias("bad"), (F.pmod(F.col("_order"), F.lit(3)) == 0).alias("prune"), *FEATURES), "labelled")
+    rows = statistics(found, ["_order", "quality"])
+    rows = written(rows.select("base_failed", (1 - F.col("quality")).alias("bad"), (F.pmod(F.col("_order"), F.lit(3)) == 0).alias("prune"), *FEATURES), "labelled")
+    rows = rows.where(~F.col("base_failed"))  # of the written numbers: above the statistics it would be computed with them
 
     points = [(k + 0.5) / BINS for k in range(BINS)]
     quantiles = rows.agg(*(F.percentile_approx(F.col(f).cast("double"), points, 10_000).alias(f) for f in FEATURES)).first()
@@ -212,7 +213,10 @@ def judge(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: list[list[Condition]], text: str = "text") -> DataFrame:
-    """The documents that the rules keep, all columns as they are."""
+    """The documents that the rules keep, all columns as they are.
+
+    Kept rows come out of a generator: a filter would move below the statistics and compute them once for each use.
+    """
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text}`").alias("_of"))
-    good = statistics(held, ["_row"], "_of").where(verdict(rules))
-    return good.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+    judged = statistics(held, ["_row"], "_of").select("_row", verdict(rules).alias("_kept"))
+    return judged.select(F.inline(F.when(F.col("_kept"), F.array("_row"))))
