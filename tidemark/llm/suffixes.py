@@ -63,8 +63,6 @@ def _interval_rows(own: dict, position: np.ndarray, before: int):
     doc = np.searchsorted(first, position, "right") - 1
     start = np.maximum(position - before, first[doc]) - first[doc]
     end = position - first[doc] + 1
-    if "offset" in own:
-        start, end = start + own["offset"][doc], end + own["offset"][doc]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])])
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(position)) - 1
@@ -75,6 +73,22 @@ def _interval_rows(own: dict, position: np.ndarray, before: int):
         yield int(own["keys"][owner[a]]), int(own["prints"][owner[a]]), pairs[a:b].tobytes()
 
 
+def _start_rows(own: dict, position: np.ndarray):
+    """(key, fingerprint, packed starts): sorted positions in segments, by document and counted from its start.
+
+    The starts of one round lie a few bytes apart, so they are packed by their differences.
+    """
+    if not len(position):
+        return
+    segment = np.searchsorted(own["first"], position, "right") - 1
+    start = position - own["first"][segment] + own["offset"][segment]
+    keys, prints = own["keys"][segment], own["prints"][segment]
+    cut = np.flatnonzero((keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1])) + 1
+    for a, b in zip(np.append(0, cut), np.append(cut, len(start))):
+        arrays = X.planes("start", start[a:b])
+        yield int(keys[a]), int(prints[a]), X.pack(list(arrays), list(arrays.values()))
+
+
 # -- cover sample --------------------------------------------------------------------------------------------------
 
 
@@ -174,16 +188,17 @@ def _answer_suffix(bucket, chunks, entries):
 # -- both ----------------------------------------------------------------------------------------------------------
 
 
-def _intervals(answered: DataFrame, before: int) -> DataFrame:
+def _by_document(answered: DataFrame, rows) -> DataFrame:
+    """The positions of each chunk, its own and those answered, as rows of documents: ``rows(own, positions)``."""
+
     def step(chunk, own, answers):
-        position = np.sort(np.concatenate([X.from_planes(a, "position") for a in (own, *answers)]))
-        yield from _interval_rows(own, position, before)
+        yield from rows(own, np.sort(np.concatenate([X.from_planes(a, "position") for a in (own, *answers)])))
 
     return X.at_chunks(answered, step, X.SPANS, X.span_rows)
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
-    """One row for each document with the intervals of all rounds; rows alike in id and text have equal intervals."""
+    """One row for each document with the marks of all rounds; rows alike in id and text have equal marks."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
@@ -191,7 +206,7 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def marks(docs: DataFrame, width: int = WIDTH, rounds: tuple[int, int] = ROUNDS, text: str = "text") -> DataFrame:
-    """(_key, _print, _marks): packed intervals of starts of strings that an earlier document has too."""
+    """(_key, _print, _marks): packed starts of strings that an earlier document has too, an entry for each round."""
     depth = width - PERIOD + 1
     if depth < 1:
         raise ValueError(f"strings must have at least {PERIOD} bytes")
@@ -205,9 +220,12 @@ def marks(docs: DataFrame, width: int = WIDTH, rounds: tuple[int, int] = ROUNDS,
 
         return rows.mapInArrow(run, X.SCHEMA)
 
+    def intervals(own, position):
+        yield from _interval_rows(own, position, PERIOD - 1)
+
     ranks = []
     for number in range(rounds[0]):
-        ranks.append(written(_intervals(X.through_buckets(sample(number), _answer_sample), PERIOD - 1), "sample"))
+        ranks.append(written(_by_document(X.through_buckets(sample(number), _answer_sample), intervals), "sample"))
         free_shuffles()
 
     def cut_out(batches):
@@ -236,19 +254,19 @@ def marks(docs: DataFrame, width: int = WIDTH, rounds: tuple[int, int] = ROUNDS,
 
     found = []
     for number in range(rounds[1]):
-        found.append(written(_intervals(X.through_buckets(suffixes(number), _answer_suffix), 0), "suffixes"))
+        found.append(written(_by_document(X.through_buckets(suffixes(number), _answer_suffix), _start_rows), "suffixes"))
         free_shuffles()
     discard(segments)
     return _all(found)
 
 
-def removed(marked: list[bytes] | None, width: int, n: int) -> np.ndarray:
+def removed(marked: list[bytes], width: int, n: int) -> np.ndarray:
     """Which of n bytes a marked string covers."""
     edge = np.zeros(n + 1, np.int32)
-    for m in marked or ():
-        pairs = np.frombuffer(m, np.int32).reshape(-1, 2)
-        np.add.at(edge, pairs[:, 0], 1)
-        np.add.at(edge, np.minimum(pairs[:, 1] + width - 1, n), -1)
+    for m in marked:  # no start is marked twice
+        starts = X.from_planes(X.thaw(m), "start")
+        edge[starts] += 1
+        edge[starts + width] -= 1
     return np.cumsum(edge[:n]) > 0
 
 
