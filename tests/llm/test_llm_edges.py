@@ -235,3 +235,27 @@ def test_packed_arrays_round_trip():
     assert got["a"].tolist() == [0, 1, 2] and len(got["b"]) == 0
     names = np.array([5, 7, 5, 9, 7, 5], np.uint64)
     assert exchange.shared_names(names).tolist() == [True, True, True, False, True, True]
+
+
+def test_vectors_of_a_dense_topic_find_their_links(spark):
+    """A third of all vectors at cosine 0.9 to each other, with planted pairs at 0.955 among them."""
+    import numpy as np
+
+    n, planted, dim, centre = 6000, 400, 64, 0.9
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((n, dim)))
+    topic = x[0].copy()
+    off = rng.standard_normal((n // 3, dim))
+    off = unit(off - np.outer(off @ topic, topic))
+    own = rng.standard_normal((planted, dim))
+    own -= np.outer(own @ topic, topic)
+    own = unit(own - (own * off[:planted]).sum(1, keepdims=True) * off[:planted])
+    c = (0.955 - centre) / (1 - centre)
+    off[planted : 2 * planted] = c * off[:planted] + np.sqrt(1 - c * c) * own
+    x[: n // 3] = np.sqrt(centre) * topic + np.sqrt(1 - centre) * off
+    table = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vectors.near_duplicates(table).collect()}
+    found = sum(got[i].component_id == got[i + planted].component_id for i in range(planted))
+    assert found >= 0.985 * planted
+    assert sum(r.n_links for r in got.values()) >= 0.985 * ((x @ x.T >= 0.95).sum() - n)
