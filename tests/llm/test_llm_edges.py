@@ -259,3 +259,19 @@ def test_vectors_of_a_dense_topic_find_their_links(spark):
     found = sum(got[i].component_id == got[i + planted].component_id for i in range(planted))
     assert found >= 0.985 * planted
     assert sum(r.n_links for r in got.values()) >= 0.985 * ((x @ x.T >= 0.95).sum() - n)
+
+
+def test_packing_of_a_very_long_run_of_blanks(spark):
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(queries.vocabulary())
+    texts = {1: " " * 2_000_000, 2: "a <|endoftext|>" + "\n" * 1_500_000 + "b", 3: "one two"}
+    got = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), queries.vocabulary()).collect()
+    for i, text in texts.items():
+        ids = np.array(lib.encode(text, add_special_tokens=False).ids + [packing.END], "<u4")
+        parts = sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)
+        assert sum(r.length for r in parts) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length]) for r in parts)

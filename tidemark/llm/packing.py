@@ -7,7 +7,7 @@ and holds a bounded number of pieces.  Every task packs what it reads: there is
 tasks, and a repeated task gives the same sequences again.  What is lost is at most the open bins of each task.
 
 Cases: a null or empty text is the end token alone; a document longer than a sequence is cut, its first piece taking
-the remainder; repeated rows are packed each for itself; extra columns are not read; an empty table gives no row.
+the remainder; a run of white space may be of any length; repeated rows are packed each for itself; extra columns are not read; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm import bpe
 from tidemark.llm.bpe import SPLIT, byte_letters
 from tidemark.llm.common import per_process, pieces, text_or_empty
 
@@ -40,6 +41,14 @@ def tokenizer(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks={k: v for k, v in ranks.items() if v not in special.values()}, special_tokens=special)
 
 
+def token_ids(encoder: tiktoken.Encoding, path: str, text: str) -> np.ndarray:
+    """Ids of a text; one on which the faster encoder gives up (a very long run of white space) goes to the exact one."""
+    try:
+        return encoder.encode_to_numpy(text, allowed_special=encoder.special_tokens_set)
+    except ValueError:
+        return np.array(bpe.encode(text, path), np.uint32)
+
+
 class OpenBins:
     """Best fit over at most ``limit`` open bins of ``capacity`` places."""
 
@@ -95,7 +104,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, o
 
     def run(batches):
         encoder = per_process(f"encoder:{path}", lambda: tokenizer(path))
-        specials = encoder.special_tokens_set
         base = TaskContext.get().partitionId() << 40
         bins = OpenBins(capacity, open_bins)
         waiting: list[tuple] = []
@@ -110,7 +118,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, o
         for batch in batches:
             for part in pieces(batch, "_text"):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("_text").to_pylist()):
-                    ids = np.append(encoder.encode_to_numpy(text, allowed_special=specials), np.uint32(end)).astype("<u4")
+                    ids = np.append(token_ids(encoder, path, text), np.uint32(end)).astype("<u4")
                     for k, (start, length) in enumerate(cut(len(ids), capacity)):
                         own = ids[start : start + length]
                         waiting.append((doc_id, k, start, length, zlib.crc32(own), *([own.astype(np.int32)] * with_ids)))
