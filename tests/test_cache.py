@@ -183,3 +183,13 @@ def test_rows_behind_the_watermark_fail_the_drain(spark, tmp_path):
     stream = runs.file_stream(spark, str(tmp_path / "in"), df.schema, 1)
     with pytest.raises(ValueError, match="1 rows came later"):
         runs.run_update(runs.leak_monitor(stream, lateness="1 hour"), ["start_us", "cache_key"], "late-monitor")
+
+
+def test_files_in_time_order_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(runs, "FILE_ROWS", 500, raising=False)
+    rows = [("hot" if i % 3 else f"k{i % 5}", i * 7, i, f"c{i % 7}", False) for i in range(12_000)]
+    folder = runs.in_time_order(spark.createDataFrame(rows, REQ), "us", "slices-test")
+    files = spark.read.parquet(folder).groupBy("_metadata.file_name", "_metadata.file_modification_time").agg(F.count("*").alias("n"), F.min("us").alias("low"), F.max("us").alias("high"))
+    files = files.orderBy("file_modification_time").collect()
+    assert sum(f.n for f in files) == 12_000 and max(f.n for f in files) <= 1000
+    assert all(a.high < b.low for a, b in zip(files, files[1:]))

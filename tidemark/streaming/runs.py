@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.session import scratch_path
 
+#: Rows of a file that ``in_time_order`` writes, about: range partitions are cut by a sample.
+FILE_ROWS = 100_000
+
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 16) -> DataFrame:
     """A Parquet table as a stream, whether it is one file or a folder of part files."""
@@ -21,11 +24,15 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
 def in_time_order(table: DataFrame, time: str, label: str, slices: int = 8) -> str:
     """Writes a finished table as files in event-time order and returns their folder.
 
+    The number of files follows from the row count (``slices`` at least), so that a file holds about ``FILE_ROWS`` rows
+    and a micro-batch of a fixed number of files doesn't grow with the table.  Rows of one time stay in one file.
+
     A file source admits files by modification time; the files get times that follow their content, so every micro-batch
     holds later rows than the one before, however the table's own files are ordered.
     """
     spark = table.sparkSession
     path = scratch_path(spark, label)
+    slices = max(slices, -(-table.count() // FILE_ROWS))
     table.repartitionByRange(slices, time).sortWithinPartitions(time).write.parquet(path)
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
