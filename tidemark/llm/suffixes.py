@@ -1,17 +1,18 @@
-"""Suffix-array dedup of byte strings: difference-cover construction, one suffix bucket at a time.
+"""Dedup of byte strings: suffixes grouped by hash behind a difference-cover filter, one bucket at a time.
 
-A suffix array up to a fixed depth (the string length ``width``) puts suffixes that share their first ``width`` bytes
-side by side; the first document among equals keeps the string.
+Suffixes that share their first ``width`` bytes are grouped; the first document among equals keeps the string.  No
+suffix order is built: only equality over ``width`` bytes decides here, and equal suffixes meet by hash as they would
+by order.
 
 1. *Cover sample.*  Positions p with p mod ``PERIOD`` in ``COVER``, a difference cover: for any two positions i and j
    there is a shift d < PERIOD that brings both into the sample.  So if two suffixes agree on ``width`` bytes, two of
-   their sample suffixes agree on ``width - PERIOD + 1``.  Sample suffixes are put in order by the name of that many
-   bytes, and those whose name a second document shares are kept: the ranks that matter.
-2. *Suffix buckets.*  Only suffixes with a kept sample within PERIOD bytes can be long ties.  They go to buckets, are
-   ordered by their first PERIOD bytes, and ties by the name of the rest; equal ones are ordered by document.
+   their sample suffixes agree on ``width - PERIOD + 1``.  Sample suffixes are grouped by the name of that many
+   bytes, and those whose name a second document shares are kept.  They give intervals of places; no rank goes on.
+2. *Suffix buckets.*  Only suffixes with a kept sample within PERIOD bytes can be long ties.  They go to buckets by a
+   hash of all ``width`` bytes, made anew from the text, and are grouped by 96 bits; equal ones are ordered by document.
 
 Both steps go through the buckets in ``rounds``, so that only one share of all positions is exchanged or held at a
-time; ranks are held by their names (64-bit hashes; the final order compares 96 bits).  A chunk of text sends each key
+time; names are 64-bit hashes, the final comparison takes 96 bits.  A chunk of text sends each key
 once (see ``exchange``), so a string that a third of all documents hold stays small.
 
 Cases: a null or empty text has nothing to remove; shorter texts than ``width`` keep all; rows of equal doc_id never
