@@ -67,8 +67,12 @@ def test_quality_rules_agree_with_labels(spark):
 
 
 def test_vectors_against_all_pairs(spark):
-    folder = "/root/testdata/check_h"
-    table = spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id < 3000")
+    from pyspark.sql import functions as F
+
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    # A third more rows around one vector, besides the given ones.
+    near = given.where("vec_id < 700").select(F.col("vec_id") + 10_000, F.expr("transform(embedding, (x, i) -> cast(sin(i + 1) + 0.3 * x as float))"))
+    table = given.unionAll(near)
     from tidemark.llm import vectors
 
     got = {r.vec_id: r for r in vectors.near_duplicates(table).collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, jaccard, packing, quality, secrets, substrings, suffixes, toxicity, vectors, warc
+from tidemark.llm import alignment, bpe, jaccard, negatives, packing, quality, secrets, substrings, suffixes, toxicity, urls, vectors, warc
 from tidemark.session import apply_runtime_conf
 
 
@@ -59,5 +59,24 @@ def op10_secrets(spark: SparkSession, root: str) -> DataFrame:
     return secrets.find(_table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffixes, op2_jaccard, op3_warc, op4_toxicity, op5_quality, op6_vectors, op7_bpe, op8_substrings, op9_packing, op10_secrets)}
-ORACLES = {"op1_suffixes": suffixes.ORACLE, "op2_jaccard": jaccard.ORACLE, "op3_warc": warc.ORACLE, "op8_substrings": substrings.ORACLE}
+def op11_negatives(spark: SparkSession, root: str) -> DataFrame:
+    return negatives.mine(_table(spark, root, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, root: str) -> DataFrame:
+    return alignment.align_corpus(_table(spark, root, "documents"), vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_urls(spark: SparkSession, root: str) -> DataFrame:
+    return urls.judge(_table(spark, root, "pages"))
+
+
+_ALL = (
+    op1_suffixes, op2_jaccard, op3_warc, op4_toxicity, op5_quality, op6_vectors, op7_bpe, op8_substrings, op9_packing, op10_secrets,
+    op11_negatives, op12_alignment, op13_urls,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES = {
+    "op1_suffixes": suffixes.ORACLE, "op2_jaccard": jaccard.ORACLE, "op3_warc": warc.ORACLE, "op8_substrings": substrings.ORACLE,
+    "op11_negatives": negatives.ORACLE, "op13_urls": urls.ORACLE,
+}
