@@ -32,7 +32,7 @@ from tidemark.llm.common import per_process, text_or_empty, written
 from tidemark.llm.packing import tokenizer
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 #: A pair of ids as one number: left * PAIR + right.
 PAIR = 1 << 32
 #: Bytes of runs remembered by a worker process; the memory is emptied between blocks when full.
@@ -48,7 +48,7 @@ class ByteSide:
 
     def __init__(self, path: str):
         self.path, self.encoder = path, tokenizer(path)
-        self.bytes_of = bpe.load(path).bytes_of
+        self.bytes_of = {i: self.encoder.decode_single_token_bytes(i) for i in range(self.encoder.n_vocab)}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
@@ -113,7 +113,7 @@ class Side:
 def covering(starts: np.ndarray, docs: np.ndarray, other_starts: np.ndarray, other_docs: np.ndarray) -> np.ndarray:
     """For each start the position of the other side's token that covers it."""
     own = pd.DataFrame({"start": starts, "doc": docs})
-    other = pd.DataFrame({"start": other_starts, "doc": other_docs, "token": np.arange(len(other_starts))})
+    other = pd.DataFrame({"start": other_starts, "doc": other_docs, "token": np.arange(len(other_starts), dtype=np.int32)})
     return pd.merge_asof(own, other, on="start", by="doc")["token"].to_numpy()
 
 
@@ -136,7 +136,7 @@ def align(a: list[np.ndarray], b: list[np.ndarray], size_a: np.ndarray, size_b:
     n = len(a)
     n_a, n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     ids_a, ids_b = (np.concatenate([np.zeros(0, np.uint32), *x]).astype(np.int64) for x in (a, b))
-    doc_a, doc_b = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
+    doc_a, doc_b = np.repeat(np.arange(n, dtype=np.int32), n_a), np.repeat(np.arange(n, dtype=np.int32), n_b)
     end_a, end_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
     start_a, start_b = end_a - size_a[ids_a], end_b - size_b[ids_b]
     over_b, over_a = covering(start_a, doc_a, start_b, doc_b), covering(start_b, doc_b, start_a, doc_a)
@@ -150,19 +150,23 @@ def align(a: list[np.ndarray], b: list[np.ndarray], size_a: np.ndarray, size_b:
     keys[at_left] = ids_a * PAIR + ids_b[over_b]
     keys[at_late] = ids_a[over_a[late]] * PAIR + ids_b[late]
     place, pairs = pd.factorize(keys)
+    place = place.astype(np.uint16 if len(pairs) <= 1 << 16 else np.uint32)
+    counts = np.bincount(place, minlength=len(pairs))
+    del keys, at_left, at_late, over_a, over_b, start_a, start_b
     # Groups end where tokens of both sides end.
     total = int(end_a[-1]) if len(end_a) else 0
     marks = np.zeros(total + 1, np.int8)
     marks[end_a] += 1
     marks[end_b] += 1
-    before = np.cumsum(marks == 2)
+    before = np.cumsum(marks == 2, dtype=np.int32)
     last_a, last_b = marks[end_a] == 2, marks[end_b] == 2
     group_a, group_b = before[end_a] - last_a, before[end_b] - last_b
     # In the written form a group's left ids come before its right ids.
     n_groups = int(before[-1])
     left, right = np.cumsum(np.bincount(group_a, minlength=n_groups)), np.cumsum(np.bincount(group_b, minlength=n_groups))
     at_a, at_b = np.arange(len(ids_a)) + np.append(0, right)[group_a], np.arange(len(ids_b)) + left[group_b]
-    ids, after = np.zeros(len(ids_a) + len(ids_b), np.int64), np.full(len(ids_a) + len(ids_b), ord(","), np.uint8)
+    del before, marks, end_a, end_b, group_a, group_b
+    ids, after = np.zeros(len(ids_a) + len(ids_b), np.int32), np.full(len(ids_a) + len(ids_b), ord(","), np.uint8)
     ids[at_a], ids[at_b] = ids_a, ids_b
     after[at_a[last_a]], after[at_b[last_b]] = ord("|"), ord(";")
     letters, ends = decimal_run(ids, after, max(len(size_a), len(size_b)))
@@ -177,8 +181,8 @@ def align(a: list[np.ndarray], b: list[np.ndarray], size_a: np.ndarray, size_b:
         "n_links": n_a + n_late,
         "groups_sha256": digests,
         "pairs": pairs,
-        "counts": np.bincount(place, minlength=len(pairs)),
-        "links": place.astype(np.uint16 if len(pairs) <= 1 << 16 else np.uint32),
+        "counts": counts,
+        "links": place,
     }
 
 
