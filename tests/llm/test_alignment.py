@@ -1,5 +1,6 @@
 """Token alignment against a plain walk over both tilings."""
 
+import functools
 import hashlib
 from collections import Counter
 
@@ -16,11 +17,17 @@ A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piec
 COLUMNS = "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256".split()
 
 
+@functools.cache
+def libraries():
+    left = Tokenizer.from_file(A)
+    left.encode_special_tokens = True
+    return left, sentencepiece.SentencePieceProcessor(model_file=B), {v: k for k, v in left.get_vocab().items()}
+
+
 def tokens(text):
     """Ids and bytes of both sides, by the libraries."""
-    left, right = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
-    left.encode_special_tokens = True
-    letters, names = byte_letters(), {v: k for k, v in left.get_vocab().items()}
+    left, right, names = libraries()
+    letters = byte_letters()
     a, b = left.encode(" " + text, add_special_tokens=False).ids, right.encode(text)
     raw_a = [bytes(letters[c] for c in names[i]) for i in a]
     raw_b = [bytes([int(right.id_to_piece(i)[3:5], 16)]) if right.is_byte(i) else right.id_to_piece(i).replace("▁", " ").encode() for i in b]

@@ -123,6 +123,18 @@ def test_jaccard_light_heavy_and_ties(spark, monkeypatch, many):
     assert got == {i: (len(sets[i]), comp[i]) for i in sets}
 
 
+def test_long_words_built_to_collide(spark):
+    """Words that collide under powers of any odd base modulo 2^64."""
+    a, b = "", ""
+    for k in (1024, 2048, 4096):
+        a = "".join("ab"[bin(i).count("1") & 1] for i in range(k))
+        b = a.translate(str.maketrans("ab", "ba"))
+        words = [f"w{i}" for i in range(19)]
+        table = spark.createDataFrame([(1, " ".join([a, *words])), (2, " ".join([b, *words])), (3, f"{a} a b c d"), (4, f"{b} a b c d")], "doc_id long, text string")
+        assert {r.n_removed for r in substrings.remove(table.where("doc_id < 3")).collect()} == {0}
+        assert {r.doc_id: r.component_id for r in jaccard.join(table.where("doc_id > 2")).collect()} == {3: 3, 4: 4}
+
+
 def test_light_sets_that_link_meet_in_a_subset():
     import numpy as np
 

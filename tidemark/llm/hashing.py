@@ -71,6 +71,30 @@ class RunHashes:
         return mix((self.sums[end] - self.sums[start]) * self.down[within] + (end - start).astype(np.uint64))
 
 
+#: Positions of a word whose factors are kept per process.
+_KEPT_FACTORS = 1 << 16
+
+
+def _factors(n: int) -> np.ndarray:
+    make = lambda size: mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(_ODD[1]) ^ np.uint64(_ODD[0]))
+    return per_process("factors", lambda: make(_KEPT_FACTORS)) if n <= _KEPT_FACTORS else make(n)
+
+
+def word_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of which none overlaps another, in ascending order.
+
+    Each place in a run has a factor of its own that follows no rule, so there are no two texts that collide by
+    construction, as there are for powers of one base modulo 2^64.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    ahead = np.cumsum(size) - size
+    within = np.arange(int(size.sum())) - np.repeat(ahead, size)
+    terms = _letters(0)[body[within + np.repeat(start, size)]] * _factors(int(size.max()))[within]
+    return mix(np.add.reduceat(terms, ahead) + mix(size.astype(np.uint64)))
+
+
 # The white space of the word rule, \x20 and \x09 to \x0D.
 WHITE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 

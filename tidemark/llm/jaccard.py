@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.llm import exchange as X
 from tidemark.llm.common import discard, free_shuffles, pieces, raw_bytes, written
 from tidemark.llm.graph import components, extended
-from tidemark.llm.hashing import WHITE, RunHashes, combine, lower_ascii, mix, runs
+from tidemark.llm.hashing import WHITE, combine, lower_ascii, mix, runs, word_hashes
 
 SHINGLE = 5
 #: The similarity as a fraction: intersection / union >= 3 / 4.
@@ -51,7 +51,7 @@ COLUMNS = 4096
 def shingle_sets(body: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct shingle names of each row of a block."""
     begin, end, first = runs(~WHITE[body], at)
-    word = RunHashes(lower_ascii(body), at).of(begin, end)
+    word = word_hashes(lower_ascii(body), begin, end)
     many = len(word) - SHINGLE + 1
     h = word[: max(many, 0)]
     for k in range(1, SHINGLE):

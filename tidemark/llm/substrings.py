@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import exchange as X
 from tidemark.llm.common import discard, free_shuffles, pieces, raw_bytes, written
-from tidemark.llm.hashing import WHITE, RunHashes, combine, mix, runs
+from tidemark.llm.hashing import WHITE, combine, mix, runs, word_hashes
 
 WINDOW = 20
 START = 5
@@ -101,7 +101,7 @@ def marks(docs: DataFrame, window: int = WINDOW, start: int = START, text: str =
     def read(batches):
         for chunk, keys, prints, body, at in X.read_chunks(batches):
             begin, end, first = runs(~WHITE[body], at)
-            word = RunHashes(body, at).of(begin, end)
+            word = word_hashes(body, begin, end)
             row = np.repeat(np.arange(len(at) - 1), np.diff(first))
             yield X.build_rows(list(_repeated(chunk, bits, keys, prints, first.astype(np.int32), *_windows(word, row, start))))
 
