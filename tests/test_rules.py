@@ -165,8 +165,9 @@ def test_recall_and_leakage(spark):
     article = spark.createDataFrame([(1, "a", 3), (1, "b", 1)], words)
     out = spark.createDataFrame([(1, "a", 2), (1, "c", 5)], words)
     assert quality.recall(article, out, ["page_id"]).first()["recall"] == 0.5
-    boiler = spark.createDataFrame([(1, "home", 2), (1, "a", 1)], words)
-    vocab = quality.boilerplate_vocab(boiler, article, ["page_id"])
+    texts = spark.createDataFrame([(1, "home home a", "a a a b"), (2, "", "x"), (3, "y", None)], "page_id bigint, t string, u string")
+    vocab = quality.boilerplate_vocab(texts, ["page_id"], "t", "u")
+    assert sorted(map(tuple, vocab.collect())) == [(1, "home", 2), (3, "y", 1)]
     got = quality.recall(vocab, spark.createDataFrame([(1, "home", 1)], words), ["page_id"])
     assert got.first()["recall"] == 0.5
     profile = spark.createDataFrame(

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import text as tx
+from tidemark.operators import selectors
 
 # Comments and raw elements are one token each: their bodies may hold tags.
 _RAW = "script|style|template|noscript|annotation"
@@ -110,6 +111,8 @@ class Selector:
 
     @classmethod
     def parse(cls, text: str) -> "Selector":
+        if len(selectors.parse(text)) != 1 or len(selectors.parse(text)[0]) != 1:
+            raise ValueError(f"{text!r} is no simple selector; region_text takes combinators")
         tag = re.match(r"[a-zA-Z][\w-]*", text)
         ident = re.search(r"#([\w-]+)", text)
         attr = re.search(r"\[([\w-]+)=[\"']?([^\"'\]]+)[\"']?\]", text)
@@ -407,24 +410,38 @@ def page_profile(pages: DataFrame, regions: dict[str, list[str]] | None = None)
     return rows.select(*out)
 
 
+def token_arrays(pages: DataFrame, *carry: str) -> DataFrame:
+    """``page_id, marks, texts`` and carried columns: a page's tags and the texts after them, as arrays in the row."""
+    clean = F.regexp_replace("html", f"[{MARKS}]", "")
+    cut = pages.select("page_id", *carry, F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(1)).alias("_t"))
+    split = F.transform("_t", lambda t: F.struct(F.regexp_extract(t, HEAD, 1).alias("h"), t.alias("t")))
+    cut = cut.select("page_id", *carry, F.coalesce(split, F.array().cast("array<struct<h: string, t: string>>")).alias("_t"))
+
+    def mark(p: Column) -> Column:
+        name = F.lower(F.regexp_extract(p["h"], r"^</?([a-zA-Z][a-zA-Z0-9:-]*)", 1))
+        attrs = F.regexp_extract(p["h"], r"(?s)^<[a-zA-Z][a-zA-Z0-9:-]*(.*?)/?>$", 1)
+        return (
+            F.when((p["h"] == "") & (F.trim(p["t"]) != ""), F.lit("#"))
+            .when((name == "") | (name.isin(_RAW.split("|")) & ~F.startswith(p["h"], F.lit("</"))), F.lit(""))
+            .when(F.startswith(p["h"], F.lit("</")), F.concat(F.lit("/"), name, F.when(F.trim(F.substr(p["t"], F.length(p["h"]) + 1)) == "", F.lit("")).otherwise(F.lit("\n"))))
+            .otherwise(F.concat(name, F.lit("\n"), attrs))
+        )
+
+    text = lambda p: tx.decode_entities(F.substr(p["t"], F.length(p["h"]) + 1))
+    return cut.select("page_id", *carry, F.transform("_t", mark).alias("marks"), F.transform("_t", text).alias("texts"))
+
+
 def region_text(pages: DataFrame, regions: dict[str, list[str]]) -> DataFrame:
-    """Visible text of page regions: ``page_id, text_<region>...``.
+    """Visible text of page regions: ``page_id, text_<region>...``; one set of selectors for all pages.
 
     Text of one element is joined without separators, several elements with one
     space.  Script, style, template and noscript bodies never count.
     """
-    tokens = html_tokens(pages).withColumn("text", tx.decode_entities(F.col("text")))
-    tokens = annotate(tokens, regions)
-    body = F.col("text")
-    fields = [F.col("pos")]
-    for name in regions:
-        lead = F.when(F.col(f"at_{name}"), F.lit(" ")).otherwise("")
-        fields.append(F.when(F.col(f"in_{name}"), F.concat(lead, body)).alias(f"r_{name}"))
-    inside = _any([F.col(f"in_{n}") for n in regions])
-    rows = tokens.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.when(inside, F.struct(*fields)))).alias("rows")
-    )
-    return rows.select(
-        "page_id",
-        *[F.array_join(F.transform("rows", _field(f"r_{n}")), "").alias(f"text_{n}") for n in regions],
-    )
+    sets = F.array(*[F.array(*[F.lit(s) for s in chosen]).cast("array<string>") for chosen in regions.values()])
+    return selectors.region_texts(token_arrays(pages).withColumn("sets", sets), list(regions), "sets", "page_id")
+
+
+def region_text_by_set(pages: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """``page_id, text_article, text_boiler``: every page by the selectors of its own key, ``body`` without any."""
+    joined = selectors.with_sets(pages, sets, key)
+    return selectors.region_texts(token_arrays(joined, "sets"), ["article", "boiler"], "sets", "page_id")

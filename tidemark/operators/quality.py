@@ -32,9 +32,12 @@ def term_counts(docs: DataFrame, key: str, text: str, compat: bool = True) -> Da
     )
 
 
-def boilerplate_vocab(boiler: DataFrame, article: DataFrame, keys: list[str]) -> DataFrame:
-    """Boilerplate terms that do not occur in the same page's article."""
-    return boiler.join(article.select(*keys, "word"), [*keys, "word"], "left_anti")
+def boilerplate_vocab(texts: DataFrame, keys: list[str], boiler: str, article: str, compat: bool = True) -> DataFrame:
+    """Boilerplate terms that do not occur in the same page's article: counts of both regions side by side, one grouping."""
+    marked = lambda c, side: F.transform(tx.words(F.coalesce(F.col(c), F.lit("")), compat), lambda w: F.struct(w.alias("word"), F.lit(side).alias("boiler")))
+    terms = texts.select(*keys, F.inline(F.concat(marked(boiler, True), marked(article, False))))
+    counted = terms.groupBy(*keys, "word").agg(F.count_if("boiler").alias("n"), F.count_if(~F.col("boiler")).alias("_own"))
+    return counted.where("_own = 0").drop("_own")
 
 
 def recall(reference: DataFrame, produced: DataFrame, keys: list[str]) -> DataFrame:

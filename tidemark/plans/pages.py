@@ -7,7 +7,8 @@ from tidemark.operators import blocks, converters, html, quality, rules as rl
 from tidemark.operators.tabular import pivot_grid
 from tidemark.plans.registry import query
 from tidemark.plans.text import WORDS_SQL, content_sql, flat_sql, prose_sql, strip_sql
-from tidemark.sources.readers import RULE_ARGS
+from tidemark.session import scratch_path
+from tidemark.sources.readers import RULE_ARGS, scan_selectors
 from tidemark.sources.writers import materialise
 
 # ---- SQL side: the same conversion written as text replacement ----------------
@@ -275,20 +276,51 @@ def markdown_plain(t):
     )
 
 
-@query(f"WITH {PARTS_SQL} SELECT page_id, md5(article) AS article, md5(boiler) AS boiler, length(article) AS chars FROM parts")
+def selector_sets(t):
+    """A selector list written as TSV and read again: hosts of two domains have sets of their own, others have none."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    sets = F.when(F.endswith(host, F.lit(".org")), F.concat(host, F.lit("\tarticle\tnav|header|footer|div.ad"))).when(
+        F.endswith(host, F.lit(".com")), F.concat(host, F.lit("\tbody > article\tnav ul > li|html footer"))
+    )
+    path = scratch_path(t.spark, "selectors")
+    t.pages.select(sets.alias("value")).where("value IS NOT NULL").distinct().write.text(path)
+    return scan_selectors(t.spark, path)
+
+
+def regions(t):
+    pages = t.pages.withColumn("host", F.regexp_extract("url", "://([^/?#]*)", 1))
+    return html.region_text_by_set(pages, selector_sets(t), "host")
+
+
+_NAV = "regexp_extract(html, '(?s)<nav>.*?</nav>')"
+_FOOTER = "regexp_extract(html, '(?s)<footer>.*?</footer>')"
+_ITEMS = f"replace(array_to_string(regexp_extract_all({_NAV}, '(?s)<li>.*?</li>'), ''), '<li>', ' ')"
+REGIONS_SQL = f"""
+sides AS (SELECT page_id, regexp_extract(url, '://[^/?#]*\\.([a-z]+)', 1) AS domain, html FROM pages),
+regions AS (SELECT page_id,
+  ' ' || CASE WHEN domain IN ('org', 'com') THEN {_text_sql(_ARTICLE)} ELSE {_text_sql("regexp_extract(html, '(?s)<body>.*')")} END AS article,
+  CASE domain WHEN 'org' THEN ' ' || {_text_sql(_NAV)}
+    || ' ' || {_text_sql("regexp_extract(html, '(?s)<div class=" + '"ad"' + ">.*?</div>')")} || ' ' || {_text_sql(_FOOTER)}
+  WHEN 'com' THEN {_text_sql(_ITEMS)} || ' ' || {_text_sql(_FOOTER)} ELSE '' END AS boiler FROM sides)
+"""
+
+
+@query(f"WITH {REGIONS_SQL} SELECT page_id, md5(article) AS article, md5(boiler) AS boiler, length(article) AS chars FROM regions")
 def region_text(t):
-    return html.region_text(t.pages, quality.REGIONS).select(
+    return regions(t).select(
         "page_id", F.md5("text_article").alias("article"), F.md5("text_boiler").alias("boiler"),
         F.length("text_article").cast("bigint").alias("chars"),
     )
 
 
-@query(f"WITH {PARTS_SQL}, {OUTPUTS_SQL}, {TERMS_SQL} SELECT page_id, word, n FROM vocab")
+@query(f"""
+WITH {REGIONS_SQL},
+terms AS (SELECT page_id, unnest(regexp_extract_all(lower(boiler), '{WORDS_SQL}')) AS word, 1 AS here, 0 AS own FROM regions
+  UNION ALL SELECT page_id, unnest(regexp_extract_all(lower(article), '{WORDS_SQL}')), 0, 1 FROM regions)
+SELECT page_id, word, CAST(sum(here) AS BIGINT) AS n FROM terms GROUP BY ALL HAVING sum(own) = 0
+""")
 def boilerplate_vocab(t):
-    texts = html.region_text(t.pages, quality.REGIONS)
-    boiler = quality.term_counts(texts, "page_id", "text_boiler")
-    article = quality.term_counts(texts, "page_id", "text_article")
-    return quality.boilerplate_vocab(boiler, article, ["page_id"])
+    return quality.boilerplate_vocab(regions(t), ["page_id"], "text_boiler", "text_article")
 
 
 @query(f"WITH {PARTS_SQL}, {OUTPUTS_SQL}, {TERMS_SQL} SELECT page_id, tool, round(retention, 6) AS retention FROM measures")
