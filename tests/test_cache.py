@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from tidemark.operators import cache as op
+from tidemark.operators import cache as op, expiry
 from tidemark.operators.ordered import neighbour, numbered
 from tidemark.streaming import runs, ttl
 
@@ -29,8 +30,8 @@ def labelled(df):
     return {r.id: (r.status, r.owner) for r in df.collect()}
 
 
-@pytest.mark.parametrize("ttl_us,cells", [(50, 4), (997, 16), (1000, 1), (7, 256), (40_000, 8)])
-def test_replay_equals_brute_force(spark, ttl_us, cells):
+@pytest.mark.parametrize("ttl_us,span", [(50, 4), (997, 2), (1000, 16), (7, 64), (40_000, 8)])
+def test_replay_equals_brute_force(spark, ttl_us, span):
     rnd = random.Random(ttl_us)
     # One key holds a third of the rows, times collide, some rows are private.
     rows = [
@@ -41,37 +42,51 @@ def test_replay_equals_brute_force(spark, ttl_us, cells):
         for i in range(3_000)
     ]
     df = spark.createDataFrame(rows, REQ).repartition(5)
-    assert labelled(op.ttl_replay(df, ttl_us, cells)) == brute(rows, ttl_us)
+    assert labelled(op.ttl_replay(df, ttl_us, span)) == brute(rows, ttl_us)
 
 
-def test_only_few_rows_are_walked(spark):
-    """The narrowing leaves a small part of a dense key for the sequential step."""
-    rows = spark.range(200_000).select(
-        F.lit("hot").alias("cache_key"), (F.col("id") * 37).alias("us"), "id", F.lit("c").alias("client")
-    )
-    ttl_us = 1_000_000
-    width = ttl_us // 256
-    grid = rows.groupBy("cache_key", op.floor_div(F.col("us"), width).alias("cell")).agg(
-        F.min("us").alias("lo"), F.max("us").alias("hi")
-    )
-    spans = grid.sortWithinPartitions("cache_key", "cell").coalesce(1).sortWithinPartitions("cell").mapInPandas(
-        op._bracket_cells(ttl_us), "cache_key string, first_cell bigint, last_cell bigint"
-    )
-    unfolded = spans.select(F.explode(F.sequence("first_cell", "last_cell")).alias("c"))
-    cells = unfolded.distinct().count()
-    assert unfolded.count() == cells
-    assert cells < grid.count() / 20
-    assert op.ttl_fills(rows, ttl_us).count() == len(range(0, 200_000 * 37, 1)) // (27028 * 37) + 1
-
-
-def test_brackets_of_a_dense_key_over_a_day_stay_linear(spark):
-    """A TTL of 5 s over a day: brackets widen, but no cell is unfolded twice."""
-    width, ttl_us = 5_000_000 // 256, 5_000_000
-    grid = spark.range(86_400 * 10).select(F.lit("hot").alias("cache_key"), op.floor_div(F.col("id") * 100_000, width).alias("cell"), (F.col("id") * 100_000).alias("us"))
-    grid = grid.groupBy("cache_key", "cell").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    spans = grid.repartition(1).sortWithinPartitions("cell").mapInPandas(op._bracket_cells(ttl_us), "cache_key string, first_cell bigint, last_cell bigint")
-    unfolded = spans.agg(F.sum(F.col("last_cell") - F.col("first_cell") + 1)).first()[0]
-    assert unfolded <= 86_400_000_000 // width + 1
+def test_a_hot_key_over_a_year_is_cut_into_slices(spark):
+    """A TTL of 5 s over a year, nine tenths of the rows in one key: all of them are cut, none is walked whole."""
+    year, ttl_us, n = 365 * 86_400 * 1_000_000, 5_000_000, 60_000
+    rnd = random.Random(5)
+    rows = []
+    for i in range(n):  # bursts, so that chains of fills meet and part
+        at = rnd.randrange(400) * (year // 400) + rnd.randrange(900_000_000)
+        rows.append(("hot" if i % 10 else f"k{rnd.randrange(40)}", at, i, f"c{i % 7}", False))
+    df = spark.createDataFrame(rows, REQ).repartition(6)
+    assert labelled(op.ttl_replay(df, ttl_us)) == brute(rows, ttl_us)
+    sizes = df.groupBy("cache_key", op.floor_div(F.col("us"), 16 * ttl_us)).count()
+    assert sizes.agg(F.max("count")).first()[0] < n / 1000
+
+
+@pytest.mark.parametrize("ttl", [1, 5, 40, 333])
+def test_maps_of_slices_compose_to_the_walk(ttl):
+    rnd = random.Random(ttl)
+    times = np.unique([rnd.randrange(2000) for _ in range(300)])
+
+    def walk(expiry, chosen):
+        for t in chosen.tolist():
+            if t >= expiry:
+                expiry = t + ttl
+        return expiry
+
+    for cuts in ([0, 2000], [0, 700, 2000], [0, 100, 200, 900, 1500, 2000]):
+        whole = None
+        for a, b in zip(cuts, cuts[1:]):
+            part = times[(times >= a) & (times < b)]
+            if len(part):
+                own = expiry.slice_map(part, a, ttl)
+                assert all(expiry.applied(*own, np.array([e]))[0] == walk(e, part) for e in range(a - 3, a + ttl + 1))
+                whole = own if whole is None else expiry.composed(whole, own, ttl)
+        assert all(expiry.applied(*whole, np.array([e]))[0] == walk(e, times) for e in [expiry.NEVER, *range(-3, ttl + 1)])
+        assert len(whole[0]) <= (times <= ttl).sum() + 1
+
+
+def test_fills_of_odd_tables(spark):
+    none = spark.createDataFrame([], REQ)
+    assert expiry.fills(none, 10).collect() == [] and op.ttl_replay(none, 10).collect() == []
+    rows = [("k", 5, 2, "b", False), ("k", 5, 1, "a", False), ("k", 15, 3, "c", False), ("", 5, 4, "d", False), ("k", -900, 5, "e", False)]
+    assert sorted(r.id for r in expiry.fills(spark.createDataFrame(rows, REQ), 10, 2).collect()) == [1, 3, 4, 5]
 
 
 def test_published_stages(spark):

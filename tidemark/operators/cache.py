@@ -4,25 +4,18 @@ Request tables have the columns ``cache_key, us, id, client`` (``us`` is
 microseconds since the epoch, ``id`` is unique).  An entry lives ``ttl``
 microseconds from its *fill*; the first request at or after expiry fills again.
 
-The chain of fills is sequential per key, but sparse: at most one per TTL.  So
-a hot key is first narrowed in parallel.  The timeline is cut into cells far
-shorter than the TTL; each (key, cell) is reduced to its first and last time
-with partial aggregation; a scan over those cells brackets every fill between
-an earliest and a latest possible cell.  Only the rows of bracketed cells can
-be fills, and only those are walked one by one.  Labelling all requests is then
-an equi-join on (key, TTL block), because a block holds at most one fill.
+The chain of fills is sequential per key, but what a stretch of time does to it
+is a map from one expiry to another, and maps compose (``operators.expiry``): no
+task walks a whole key.  Labelling all requests is then an equi-join on (key,
+TTL block), because a block holds at most one fill.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.labels import epoch_us, floor_div
+from tidemark.operators import expiry
 from tidemark.operators.ordered import DAY_US, neighbour, placed
 
 HOUR_US = 3_600_000_000
@@ -39,117 +32,6 @@ def as_requests(events: DataFrame, key: Column, private: Column | None = None) -
     ).filter("cache_key IS NOT NULL AND us IS NOT NULL")
 
 
-def _bracket_cells(ttl_us: int):
-    """Cells that may hold a fill, as disjoint ranges, from ordered ``(cache_key, cell, lo, hi)`` rows.
-
-    Each fill has an earliest and a latest possible cell; neither ever
-    decreases along a key, so brackets that touch merge with the one before
-    and no cell comes out twice.
-    """
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
-        earliest = latest = 0
-        open_cells: deque[int] = deque()
-        held: list | None = None  # the range that later brackets may still extend
-        found: list[tuple] = []
-
-        def bracket(k, first, end):
-            nonlocal held
-            if held is not None and held[0] == k and first <= held[2] + 1:
-                held[2] = max(held[2], end)
-                return
-            if held is not None:
-                found.append(tuple(held))
-            held = [k, first, end]
-
-        def table():
-            out = pd.DataFrame(found, columns=["cache_key", "first_cell", "last_cell"])
-            found.clear()
-            return out
-
-        for pdf in batches:
-            for k, cell, lo, hi in zip(
-                pdf["cache_key"].tolist(), pdf["cell"].tolist(), pdf["lo"].tolist(), pdf["hi"].tolist()
-            ):
-                if k != key:
-                    if open_cells:
-                        bracket(key, open_cells[0], last)
-                    key = k
-                    open_cells.clear()
-                    earliest = latest = lo
-                if hi >= earliest:
-                    open_cells.append(cell)
-                    earliest = max(lo, earliest) + ttl_us
-                if hi >= latest:
-                    bracket(key, open_cells.popleft(), cell)
-                    latest = (lo if lo >= latest else hi) + ttl_us
-                last = cell
-            if found:
-                yield table()
-        if open_cells:
-            bracket(key, open_cells[0], last)
-        if held is not None:
-            found.append(tuple(held))
-        if found:
-            yield table()
-
-    return walk
-
-
-def _walk_fills(ttl_us: int):
-    """Fills from rows ordered by ``(cache_key, us, id)``; carries one expiry."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, expiry = None, None
-        for pdf in batches:
-            keys = pdf["cache_key"].to_numpy()
-            times = pdf["us"].to_numpy()
-            edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            picks: list[int] = []
-            for start, stop in zip([0, *edges], [*edges, len(pdf)]):
-                if start == stop:
-                    continue
-                if keys[start] != key:
-                    key, expiry = keys[start], times[start]
-                at = start + int(np.searchsorted(times[start:stop], expiry))
-                while at < stop:
-                    picks.append(at)
-                    expiry = times[at] + ttl_us
-                    at += int(np.searchsorted(times[at:stop], expiry))
-            if picks:
-                yield pdf.iloc[picks]
-
-    return walk
-
-
-def ttl_fills(requests: DataFrame, ttl_us: int, cells_per_ttl: int = 256) -> DataFrame:
-    """The requests that fill the cache: ``cache_key, us, id, client``."""
-    width = max(1, ttl_us // cells_per_ttl)
-    slim = requests.select("cache_key", "us", "id", "client").withColumn(
-        "cell", floor_div(F.col("us"), width)
-    )
-    grid = slim.groupBy("cache_key", "cell").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    brackets = (
-        grid.repartition("cache_key")
-        .sortWithinPartitions("cache_key", "cell")
-        .mapInPandas(
-            _bracket_cells(ttl_us), "cache_key string, first_cell bigint, last_cell bigint"
-        )
-    )
-    cells = brackets.select(
-        "cache_key", F.explode(F.sequence("first_cell", "last_cell")).alias("cell")
-    )
-    candidates = slim.join(cells, ["cache_key", "cell"], "left_semi").select(
-        "cache_key", "us", "id", "client"
-    )
-    return (
-        candidates.repartition("cache_key")
-        .sortWithinPartitions("cache_key", "us", "id")
-        .mapInPandas(_walk_fills(ttl_us), candidates.schema)
-    )
-
-
 def label_requests(requests: DataFrame, fills: DataFrame, ttl_us: int) -> DataFrame:
     """Adds ``status`` (MISS or HIT) and ``owner`` to every request."""
     block = floor_div(F.col("us"), ttl_us)
@@ -179,10 +61,10 @@ def label_requests(requests: DataFrame, fills: DataFrame, ttl_us: int) -> DataFr
     )
 
 
-def ttl_replay(requests: DataFrame, ttl_us: int, cells_per_ttl: int = 256) -> DataFrame:
+def ttl_replay(requests: DataFrame, ttl_us: int, span: int = 16) -> DataFrame:
     """Every request labelled.  Private responses are never stored: always MISS."""
     shared = requests.filter(~F.col("private"))
-    stored = label_requests(shared, ttl_fills(shared, ttl_us, cells_per_ttl), ttl_us)
+    stored = label_requests(shared, expiry.fills(shared, ttl_us, span), ttl_us)
     passed = requests.filter("private").withColumns(
         {"status": F.lit("MISS"), "owner": F.col("client")}
     )
