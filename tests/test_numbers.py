@@ -56,6 +56,34 @@ def test_medians_equal_sorted_lists(spark, n, spread):
         assert r.lower_median == statistics.median_low(values) and r.upper_median == values[len(values) // 2]
 
 
+@pytest.mark.parametrize("buckets", [4, 1 << 16])
+def test_medians_of_odd_numbers_level_by_level(spark, monkeypatch, buckets):
+    """Few buckets force many levels; signs, zeros, infinities, NaN, subnormal and neighbouring doubles keep their order."""
+    import math
+
+    monkeypatch.setattr(samples, "BUCKETS", buckets)
+    rnd = random.Random(buckets)
+    near = [1.0]
+    for _ in range(30):
+        near.append(math.nextafter(near[-1], 2))
+    groups = {
+        "near": near * 3, "wide": [rnd.choice([-1, 1]) * 10.0 ** rnd.randrange(-300, 300) for _ in range(301)],
+        "odd": [-math.inf, -1.0, -0.0, 0.0, 5e-324, 1e-310, math.inf, math.nan, math.nan], "signs": [rnd.gauss(0, 1) for _ in range(500)], "one": [7.5] * 50,
+    }
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("near", None)]
+    got = {r.k: r for r in samples.medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    for k, vs in groups.items():
+        vs = sorted(vs, key=lambda v: (math.isnan(v), 0 if math.isnan(v) else v))
+        assert (got[k].n, got[k].lower_median, got[k].upper_median) == (len(vs), vs[(len(vs) - 1) // 2], vs[len(vs) // 2])
+
+
+def test_medians_take_whole_numbers_and_several_keys(spark):
+    rows = [(1, None, 1 << 60), (1, None, (1 << 60) + 1), (1, None, (1 << 60) + 3), (1, "x", 5), (None, "x", 7), (None, "x", 8)]
+    got = {(r.a, r.b): (r.n, r.lower_median, r.upper_median) for r in samples.medians(spark.createDataFrame(rows, "a int, b string, v long"), ["a", "b"], "v").collect()}
+    assert got == {(1, None): (3, (1 << 60) + 1, (1 << 60) + 1), (1, "x"): (1, 5, 5), (None, "x"): (2, 7, 8)}
+    assert samples.medians(spark.createDataFrame([], "k string, v double"), ["k"], "v").collect() == []
+
+
 def test_speedups_and_winners(spark):
     # Published milliseconds.
     ms = {"filter": (127.2, 22.5, 156.9), "group-by": (893.0, 20.1, 272.2), "join": (6795.5, 20.3, 1316.2)}
