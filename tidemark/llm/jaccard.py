@@ -17,8 +17,9 @@ list that shows it.  Where it has many, blocks of its members are compared insid
 of the links: no pair that isn't one ever is a row.
 
 Cases: a null text or one without words has an empty set and links with nothing; with fewer than five words the whole
-sequence is one shingle; rows of equal doc_id are one document whose rows are joined; a null doc_id links with
-nothing and has no component; extra columns are not read; an empty table gives no row.
+sequence is one shingle; rows of equal doc_id and equal texts are one document; where an id repeats with different texts,
+rows are found by their own sets and joined when a pair is verified, so a link that only the joined rows reach can be
+missed, and n_shingles counts the row; a null doc_id links with nothing and has no component; extra columns are not read; an empty table gives no row.
 """
 
 from __future__ import annotations

@@ -167,10 +167,11 @@ def _suffix_rows(chunk, bits, keys, prints, offset, body, at, width, rounds, num
     starts = np.diff(at) - width + 1  # of each segment
     place = np.repeat(at[:-1] - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())
     lead = RunHashes(body, at, 0).of(place, place + PERIOD)
+    mine = _mine(lead, rounds, number)  # the first bytes decide the round: the rest is hashed in its own round only
+    place, lead = place[mine], lead[mine]
     rest = RunHashes(body, at, 1).of(place + PERIOD, place + width)
     whole = mix(lead ^ mix(rest))
-    mine = _mine(whole, rounds, number)
-    place, whole, rest = place[mine], whole[mine], (rest[mine] >> np.uint64(32)).astype(np.uint32)
+    rest = (rest >> np.uint64(32)).astype(np.uint32)
     del lead
     key = keys[np.searchsorted(at, place, "right") - 1]
     marked = np.zeros(len(place), bool)
