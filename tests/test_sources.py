@@ -118,3 +118,22 @@ def test_full_sort_keeps_order(spark, data):
     df = REGISTRY["full_sort"].run(spark, data)
     keys = [(-r.l_extendedprice, -r.l_discount, r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey) for r in df.collect()]
     assert keys == sorted(keys) and len(keys) > 0
+
+
+def test_positions_are_the_order(spark, data):
+    from tidemark.operators import tabular
+
+    rows = [(i % 7 if i % 11 else None, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(6)
+    order = [F.desc_nulls_last("a"), F.asc("b")]
+    got = {(r.a, r.b): r.position for r in tabular.ordered_positions(df, *order).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [got[r] for r in want] == list(range(1, 501))
+    assert tabular.ordered_positions(df.where("false"), *order).collect() == []
+
+
+def test_some_conversions_fail(spark, data):
+    from tidemark.plans import REGISTRY
+
+    got = {r.tool: r.n for r in REGISTRY["conversion_errors"].run(spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == {"closed pages", "linked title"} and all(0 < n < 250 for n in got.values())

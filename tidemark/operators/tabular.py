@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tidemark.sources.writers import materialise
 
 
 def count_where(df: DataFrame, *predicates: Column) -> DataFrame:
@@ -59,6 +61,23 @@ def full_sort(df: DataFrame, *order: Column) -> DataFrame:
     return df.orderBy(*order)
 
 
+def ordered_positions(df: DataFrame, *order: Column) -> DataFrame:
+    """Every row and column with its ``position`` in the order, from 1.
+
+    The range shuffle of the sort deals out consecutive ranges; a row's place in
+    its range plus the rows of the ranges before is its position.  The sorted
+    ranges are written, because a second run of the sort may draw other bounds.
+    """
+    shift = 33  # bits that ``monotonically_increasing_id`` keeps for the place within a partition
+    placed = materialise(full_sort(df, *order).withColumn("_place", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_place", shift)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    joined = placed.withColumn("_part", part).join(starts, "_part")
+    return joined.select(*df.columns, (F.col("_before") + F.col("_place").bitwiseAND((1 << shift) - 1) + 1).alias("position"))
+
+
 def pivot_grid(df: DataFrame, row: str, col: str, value: Column, columns: list[str], empty: str | None = None) -> DataFrame:
     """Grid with the named columns; optionally text with ``empty`` in the gaps."""
     grid = df.groupBy(row).pivot(col, columns).agg(value)

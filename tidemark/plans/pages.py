@@ -448,20 +448,27 @@ def probe_catalog(t):
 
 
 @query("""
-SELECT 'title only' AS tool, 'ValueError: no second link' AS error, count(*) AS n FROM pages
-WHERE len(regexp_extract_all(html, '<a href=')) < 2 HAVING count(*) > 0
+SELECT 'closed pages' AS tool, 'ValueError: page is cut off' AS error, count(*) AS n FROM pages
+WHERE html NOT LIKE '%</body>%' HAVING count(*) > 0
+UNION ALL SELECT 'linked title', 'IndexError: list index out of range', count(*) FROM pages
+WHERE NOT contains(html, '<title>') OR html LIKE '%<title>%&%</title>%' HAVING count(*) > 0
 """)
 def conversion_errors(t):
-    """A plugged-in converter that fails on some pages; failures are counted."""
+    """Plugged-in converters that fail on some pages; failures are counted by tool and message."""
 
-    def second_link(page, url):
-        parts = page.split("<a href=")
-        if len(parts) < 3:
-            raise ValueError("no second link")
-        return parts[2]
+    def closed(page, url):
+        if "</body>" not in page:
+            raise ValueError("page is cut off")
+        return page
+
+    def linked_title(page, url):
+        title = [p.split("</title>")[0] for p in page.split("<title>")[1:]]
+        plain = [x for x in title if "&" not in x]
+        return f"[{plain[0]}]({url})"
 
     registry = converters.Registry()
-    registry.register("title only", "extractor", second_link)
+    registry.register("closed pages", "extractor", closed)
+    registry.register("linked title", "extractor", linked_title)
     return converters.conversion_errors(converters.convert_pages(t.pages, registry.select()))
 
 

@@ -102,10 +102,23 @@ ORDER BY l_extendedprice DESC NULLS LAST, l_discount DESC NULLS LAST,
          l_orderkey NULLS LAST, l_linenumber NULLS LAST, l_partkey NULLS LAST, l_suppkey NULLS LAST
 """)
 def full_sort(t):
+    return op.full_sort(t.lineitem.select(*SORT_COLUMNS), *_sort_order())
+
+
+def _sort_order():
     tie = [F.asc_nulls_last(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
-    return op.full_sort(
-        t.lineitem.select(*SORT_COLUMNS), F.desc_nulls_last(PRICE), F.desc_nulls_last(DISC), *tie
-    )
+    return [F.desc_nulls_last(PRICE), F.desc_nulls_last(DISC), *tie]
+
+
+@query(f"""
+SELECT {', '.join(SORT_COLUMNS)}, row_number() OVER (
+  ORDER BY l_extendedprice DESC NULLS LAST, l_discount DESC NULLS LAST,
+           l_orderkey NULLS LAST, l_linenumber NULLS LAST, l_partkey NULLS LAST, l_suppkey NULLS LAST) AS position
+FROM lineitem
+""")
+def full_sort_positions(t):
+    """The order as a column, so that it can be compared."""
+    return op.ordered_positions(t.lineitem.select(*SORT_COLUMNS), *_sort_order())
 
 
 @query("""
