@@ -123,6 +123,37 @@ def test_jaccard_light_heavy_and_ties(spark, monkeypatch, many):
     assert got == {i: (len(sets[i]), comp[i]) for i in sets}
 
 
+def test_jaccard_blocks_of_large_and_small_components(spark):
+    """More members than a block in one component, others apart from it, and links between blocks that only they show."""
+    base = [f"b{i}" for i in range(104)]
+    near = lambda k, tag: " ".join(base[:96] + [f"{tag}{k}x{j}" for j in range(8)])
+    docs = [(i, near(i, "n")) for i in range(700)]  # all at 92 of 108 to each other
+    half = base[:60]
+    docs += [(10_000 + i, " ".join(half + [f"h{i // 2}y{j}" for j in range(40 + i % 2)])) for i in range(600)]  # pairs only
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.join(table).collect()}
+    assert all(got[i] == 0 for i in range(700))
+    assert all(got[10_000 + i] == 10_000 + i - i % 2 for i in range(600))
+
+
+def test_blocks_join_components(spark, monkeypatch):
+    """Every link between components comes out of the blocks, none within a large component is compared."""
+    monkeypatch.setattr(jaccard, "STAR", 16)
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(words[: 50 + i % 7]) for i in range(90)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    component = {i: 0 if i < 60 else i for i in texts}
+    members = spark.createDataFrame([(5, i, c) for i, c in component.items()] + [(6, i, i) for i in range(20)], "centre long, doc long, component long")
+    links = [(r.a, r.b) for r in jaccard.block_links(members, table).collect()]
+    assert links and all(component[a] != component[b] or max(a, b) < 20 for a, b in links)
+    joined = {i: c for i, c in component.items()}
+    for _ in texts:
+        for a, b in links:
+            low = min(joined[a], joined[b])
+            joined = {i: low if c in (joined[a], joined[b]) else c for i, c in joined.items()}
+    assert set(joined.values()) == {0}
+
+
 def test_long_words_built_to_collide(spark):
     """Words that collide under powers of any odd base modulo 2^64."""
     a, b = "", ""

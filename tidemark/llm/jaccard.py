@@ -302,11 +302,26 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def block_links(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that join different components among the members (centre, doc, component) of each centre."""
+    """Links (a, b) that join different components among the members (centre, doc, component) of each centre.
+
+    A component with a block of members or more has blocks of its own, which never meet each other: most members of a
+    large group lie in one component already, and only those outside are compared with them.
+    """
     sets = sets_of(members.select(F.col("doc").alias("_key")), docs)
-    blocks = members.groupBy("centre").agg(F.ceil(F.count("*") / STAR).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "centre").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    count = lambda c: F.ceil(c / STAR).cast("int")
+    sizes = members.groupBy("centre", "component").agg(F.count("*").alias("m"))
+    large = F.when(F.col("m") >= STAR, F.struct("component", count(F.col("m")).alias("blocks")))
+    plan = sizes.groupBy("centre").agg(count(F.sum(F.when(F.col("m") < STAR, F.col("m")).otherwise(0))).alias("mixed"), F.array_sort(F.collect_list(large)).alias("large"))
+    before = lambda i: F.aggregate(F.slice("large", 1, i), F.col("mixed"), lambda n, x: n + x["blocks"])
+    spans = F.transform("large", lambda x, i: F.struct(x["component"].alias("component"), before(i).alias("start"), (before(i) + x["blocks"]).alias("end")))
+    plan = plan.select("centre", "mixed", spans.alias("spans"))
+    plan = written(plan.withColumn("blocks", F.coalesce(F.get("spans", F.size("spans") - 1)["end"], F.col("mixed"))), "plan")
+    dealt = members.join(plan, "centre").withColumn("span", F.filter("spans", lambda x: x["component"] == F.col("component")))
+    dealt = dealt.withColumn("span", F.get("span", F.lit(0))).drop("spans")
+    turn = F.xxhash64("doc")
+    own = F.when(F.col("span").isNotNull(), F.col("span.start") + F.pmod(turn, F.col("span.end") - F.col("span.start"))).otherwise(F.pmod(turn, F.greatest("mixed", F.lit(1))))
+    dealt = dealt.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.where(~F.coalesce((F.col("other") >= F.col("span.start")) & (F.col("other") < F.col("span.end")), F.lit(False)))
     dealt = dealt.select("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
     rows = dealt.join(sets, "doc").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "doc")
 
