@@ -144,7 +144,14 @@ def test_blocks_join_components(spark, monkeypatch):
     table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     component = {i: 0 if i < 60 else i for i in texts}
     members = spark.createDataFrame([(5, i, c) for i, c in component.items()] + [(6, i, i) for i in range(20)], "centre long, doc long, component long")
-    links = [(r.a, r.b) for r in jaccard.block_links(members, table).collect()]
+    import numpy as np
+
+    marks = []
+    for i, t in texts.items():
+        names = jaccard.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]
+        marks.append((i, len(names), bytearray(jaccard.parity(names))))
+    marks = spark.createDataFrame(marks, "doc long, n long, bitmap binary")
+    links = [(r.a, r.b) for r in jaccard.block_links(members, table, marks).collect()]
     assert links and all(component[a] != component[b] or max(a, b) < 20 for a, b in links)
     joined = {i: c for i, c in component.items()}
     for _ in texts:
@@ -166,6 +173,53 @@ def test_long_words_built_to_collide(spark):
         assert {r.doc_id: r.component_id for r in jaccard.join(table.where("doc_id > 2")).collect()} == {3: 3, 4: 4}
 
 
+def test_jaccard_unites_rows_of_one_id(spark):
+    """Sets of equal ids are united, whatever rows hold them; every row answers."""
+    one, two = (" ".join(f"{c}{i}" for i in range(104)) for c in "xy")
+    docs = [(1, one), (1, two), (1, None), (2, f"{one}\n{two}"), (3, one), (4, "a b"), (4, "c d"), (5, "c d"), (None, one), (None, two)]
+    got = sorted((tuple(r) for r in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 200, 1)] * 3 + [(2, 204, 1), (3, 100, 3), (4, 2, 4), (4, 2, 4), (5, 1, 5), (None, 100, None), (None, 100, None)], key=str)
+
+
+def test_jaccard_copies_of_one_set(spark):
+    """Equal sets in different texts: a third of the table, near copies of them, and pairs."""
+    words = [f"w{i}" for i in range(80)]
+    docs = [(i, " ".join(words).upper() if i % 3 else "\t".join(words)) for i in range(5, 400)]
+    docs += [(1000 + i, " ".join(words[: 79 - i])) for i in range(3)] + [(2, " ".join(words[:70])), (3000, "q r s t u v"), (2000, "q r s  t u v ")]
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: 2000 if i in (2000, 3000) else 2 for i, _ in docs}
+
+
+def test_bitmaps_never_refuse_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    refused = 0
+    for n in (1, 7, 16, 17, 60, 300, 1023):
+        names = rng.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64)
+        for shared in range(n + 1):
+            for m in {n, shared, min(2 * n + 1, 4 * n // 3)}:
+                if m < max(shared, 1):
+                    continue
+                a, b = names[:n], np.concatenate([names[:shared], names[n : n + m - shared]])
+                x, y = (np.frombuffer(jaccard.parity(s), np.uint64) for s in (a, b))
+                kept = bool(jaccard.may_link(x, n, y, m))
+                refused += not kept
+                assert kept or 4 * shared < 3 * (n + m - shared)
+    assert refused > 1000
+
+
+def test_joined_texts_give_the_union_of_their_sets():
+    import numpy as np
+
+    rows = [b"", b"a b c d e f", b"a b\xffa b c d e f\xff", b"\xff", b"x\xffy", b"a b"]
+    at = np.cumsum([0] + [len(r) for r in rows])
+    got = jaccard.shingle_sets(np.frombuffer(b"".join(rows), np.uint8), at)
+    plain = lambda t: jaccard.shingle_sets(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tolist()
+    want = [sorted({h for part in r.split(b"\xff") for h in plain(part)}) for r in rows]
+    assert [g.tolist() for g in got] == want
+
+
 def test_light_sets_that_link_meet_in_a_subset():
     import numpy as np
 

@@ -16,14 +16,20 @@ component stay unlisted.  Where a central document has few members, pairs are ve
 list that shows it.  Where it has many, blocks of its members are compared inside tasks, which hand on a spanning forest
 of the links: no pair that isn't one ever is a row.
 
+Two things keep sets from travelling.  Documents of equal sets (128 bits decide) are represented by the smallest; the
+rest get its component at the end.  And pairs are sifted by parity bitmaps before sets are sent: names are thrown into
+2 to 4 bits each, a bit says whether an odd number fell on it, so two sets differ in at least as many names as their
+bitmaps in bits.  Sets link when 7 * difference <= sum of sizes, so what the bitmaps refuse cannot link.
+
 Cases: a null text or one without words has an empty set and links with nothing; with fewer than five words the whole
-sequence is one shingle; rows of equal doc_id and equal texts are one document; where an id repeats with different texts,
-rows are found by their own sets and joined when a pair is verified, so a link that only the joined rows reach can be
-missed, and n_shingles counts the row; a null doc_id links with nothing and has no component; extra columns are not read; an empty table gives no row.
+sequence is one shingle; rows of equal doc_id are one document, its set is the union of theirs and each row reports it
+(the texts of one id are held by one task, as a long text is); a null doc_id links with nothing and has no component;
+extra columns are not read; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from itertools import combinations
 
@@ -47,10 +53,25 @@ LIGHT_MOST = 12
 STAR, MANY = 256, 48
 #: Names that are multiplied at once when blocks are compared.
 COLUMNS = 4096
+#: Shares that what meets a common document or set is dealt to.
+SHARES = 64
+#: Stands between the texts of one doc_id: no text in UTF-8 holds this byte.
+BREAK = 0xFF
 
 
 def shingle_sets(body: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct shingle names of each row of a block."""
+    """Sorted distinct shingle names of each row of a block; texts joined by BREAK give the union of their sets."""
+    cut = np.flatnonzero(body == BREAK)
+    if not len(cut):
+        return _plain_sets(body, at)
+    whole = np.delete(body, cut)
+    row = np.searchsorted(at, cut, "right") - 1
+    starts = np.sort(np.concatenate([at - np.searchsorted(cut, at), cut - np.arange(len(cut))]))
+    sets = iter(_plain_sets(whole, starts))
+    return [np.unique(np.concatenate([next(sets) for _ in range(1 + n)])) for n in np.bincount(row, minlength=len(at) - 1)]
+
+
+def _plain_sets(body: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     begin, end, first = runs(~WHITE[body], at)
     word = word_hashes(lower_ascii(body), begin, end)
     many = len(word) - SHINGLE + 1
@@ -71,6 +92,28 @@ def shingle_sets(body: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def parity(names: np.ndarray) -> bytes:
+    """The parity bitmap of a set: a power of two of bits, 64 at least and two for each name at least."""
+    many = max(64, 1 << (2 * len(names) - 1).bit_length())
+    odd = np.bincount((mix(names) & np.uint64(many - 1)).astype(np.int64), minlength=many) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (last axis: 64-bit words) as they are with fewer bits."""
+    while bitmap.shape[-1] > words:
+        half = bitmap.shape[-1] // 2
+        bitmap = bitmap[..., :half] ^ bitmap[..., half:]
+    return bitmap
+
+
+def may_link(x: np.ndarray, n: int, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which of the sets of m names with bitmaps y (a row each) may link with the set of n names and bitmap x."""
+    words = min(x.shape[-1], y.shape[-1])
+    apart = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(-1, dtype=np.int64)
+    return (NUM + DEN) * apart <= (DEN - NUM) * (n + m)
+
+
 def overlap(s: int, t: int) -> int:
     """Names that sets of s and t names must share: intersection >= NUM / (NUM + DEN) * (s + t)."""
     return -(-NUM * (s + t) // (NUM + DEN))
@@ -160,7 +203,10 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 
 
 def lists(docs: DataFrame, frequent: np.ndarray, most: int, bits: int) -> DataFrame:
-    """(name, place, n, doc) of every list with two members or more, and one row without name for each document."""
+    """(name, place, n, doc) of every list with two members or more, and one row without name for each document.
+
+    The document's row holds its bitmap and digest.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     needs_list = -(-NUM * (most + 1) // DEN)  # light sets from here on may be similar to a heavy one
 
@@ -180,7 +226,11 @@ def lists(docs: DataFrame, frequent: np.ndarray, most: int, bits: int) -> DataFr
                     size.append(np.full(len(found), n, np.int32))
                     owner.append(np.full(len(found), keys[d]))
             # The documents themselves ride along as own rows.
-            yield X.build_rows([X.own_row(chunk, bits, doc=keys, n=np.array([len(s) for s in sets], np.int64))])
+            bitmaps = [parity(s) for s in sets]
+            digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+            own = {"doc": keys, "n": np.array([len(s) for s in sets], np.int64), "bytes": np.array([len(b) for b in bitmaps], np.int64)}
+            own |= {"bitmap": np.frombuffer(b"".join(bitmaps), np.uint8), "digest": np.frombuffer(digests, np.uint8)}
+            yield X.build_rows([X.own_row(chunk, bits, **own)])
             if not names:
                 continue
             names, place, size, owner = (np.concatenate(x) for x in (names, place, size, owner))
@@ -194,25 +244,69 @@ def lists(docs: DataFrame, frequent: np.ndarray, most: int, bits: int) -> DataFr
             yield X.build_rows(list(X.to_buckets(chunk, mix(owner[hot].astype(np.uint64)), bits, {"doc": owner[hot]}, name=names[hot], place=_narrow(place[hot] + 1), size=_narrow(size[hot]))))
 
     def join(table: pa.Table) -> pa.Table:
-        out, entries = [], []
+        out, entries, bitmaps, digests = [], [], [], []
+        none = lambda n: [pa.nulls(n, pa.binary())]
         for p in table.column("payload"):
             e = X.thaw(p.as_py())
             if "top" in e:
                 entries.append(e)
             elif "name" in e:
                 out.append((e["name"], e["place"], e["size"], X.from_planes(e, "doc")))
+                bitmaps += none(len(e["place"]))
+                digests += none(len(e["place"]))
             else:
                 out.append((None, np.zeros(len(e["doc"]), np.uint16), e["n"], e["doc"]))
+                at, marks, prints = np.append(0, np.cumsum(e["bytes"])).tolist(), e["bitmap"].tobytes(), e["digest"].tobytes()
+                bitmaps.append(pa.array([marks[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary()))
+                digests.append(pa.array([prints[k : k + 16] for k in range(0, len(prints), 16)], pa.binary()))
         if entries:
             name = X.from_short(entries)
             multi = np.flatnonzero(X.shared_names(name))
             place, size = (np.concatenate([e[c] for e in entries])[multi] for c in ("place", "size"))
             out.append((name[multi] | np.uint64(table.column("bucket")[0].as_py() << 40), place, size, np.concatenate([X.from_planes(e, "doc") for e in entries])[multi]))
+            bitmaps += none(len(multi))
+            digests += none(len(multi))
         names = [pa.nulls(len(o[3]), pa.int64()) if o[0] is None else pa.array(o[0].astype(np.int64)) for o in out]
         place, size, doc = (np.concatenate([o[k].astype(np.int64) for o in out]) for k in (1, 2, 3))
-        return pa.table({"name": pa.chunked_array(names, pa.int64()), "place": (place - 1).astype(np.int32), "n": size, "doc": doc})
+        marks = {c: pa.chunked_array(x, pa.binary()) for c, x in (("bitmap", bitmaps), ("digest", digests))}
+        return pa.table({"name": pa.chunked_array(names, pa.int64()), "place": (place - 1).astype(np.int32), "n": size, "doc": doc} | marks)
+
+    return X.keyed(docs).mapInArrow(read, X.SCHEMA).groupBy("bucket").applyInArrow(join, "name long, place int, n long, doc long, bitmap binary, digest binary")
+
+
+def united(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows, where a doc_id that has different texts is one row of all, and (doc, rows) of these ids if any."""
+    known = X.keyed(docs).where(F.col("_key") != X.LAST).groupBy("_key").agg(F.min("_print").alias("low"), F.max("_print").alias("high"), F.count("*").alias("rows"))
+    mixed = written(known.where("low < high").select(F.col("_key").alias("doc_id"), "rows"), "mixed")
+    if mixed.isEmpty():
+        return docs, None
+    texts = docs.join(mixed, "doc_id", "left_semi").where("text IS NOT NULL").distinct().groupBy("doc_id")
+    one = texts.agg(F.expr(f"array_join(collect_list(text), cast(X'{BREAK:02X}' AS string))").alias("text"))
+    return docs.join(mixed, "doc_id", "left_anti").unionByName(one), mixed.withColumnRenamed("doc_id", "doc")
+
 
-    return X.keyed(docs).mapInArrow(read, X.SCHEMA).groupBy("bucket").applyInArrow(join, "name long, place int, n long, doc long")
+def copies_of(marks: DataFrame) -> DataFrame:
+    """(doc, first, share) of the documents whose set an earlier one has; what meets in a set is dealt to shares."""
+    dealt = marks.select("doc", "digest", F.pmod(F.xxhash64("doc"), F.lit(SHARES)).cast("int").alias("share"))
+    parts = dealt.groupBy("digest", "share").agg(F.min("doc").alias("low"), F.count("*").alias("m"))
+    first = parts.groupBy("digest").agg(F.min("low").alias("first"), F.sum("m").alias("m")).where("m > 1").select("digest", "first")
+    return dealt.join(parts.join(first, "digest").select("digest", "share", "first"), ["digest", "share"]).where("doc <> first").select("doc", "first", "share")
+
+
+def sifted(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may link by their bitmaps.  A document in very many pairs is dealt to shares."""
+    for side, other in ("ab", "ba"):
+        pairs = pairs.withColumn("share", F.pmod(F.xxhash64(other), F.lit(SHARES)).cast("int"))
+        spread = pairs.select(side, "share").distinct()
+        held = spread.join(marks.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"bitmap_{side}")), side)
+        pairs = pairs.join(held, [side, "share"]).drop("share")
+
+    def sift(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b"))
+            yield _links([(a, b) for a, b, n, m, x, y in zip(*columns) if may_link(np.frombuffer(x, np.uint64), n, np.frombuffer(y, np.uint64), m)])
+
+    return written(pairs.mapInArrow(sift, "a long, b long"), "sifted")
 
 
 def _bound(place_a, n_a, place_b, n_b):
@@ -224,7 +318,7 @@ def _bound(place_a, n_a, place_b, n_b):
 
 
 def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc, names) of the documents with the ids (_key); packed names.  Rows of one doc_id give a row each."""
+    """(doc, names) of the documents with the ids (_key); packed names.  Repeated rows give a row each."""
 
     def run(batches):
         for batch in batches:
@@ -301,13 +395,17 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+def _near_rows(out: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int32() if n in ("i", "j", "own") else pa.int64()) for k, n in enumerate(names)], names)
+
+
+def block_links(members: DataFrame, docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Links (a, b) that join different components among the members (centre, doc, component) of each centre.
 
     A component with a block of members or more has blocks of its own, which never meet each other: most members of a
-    large group lie in one component already, and only those outside are compared with them.
+    large group lie in one component already, and only those outside are compared with them.  Blocks meet by bitmaps
+    first; sets are sent for members that may have a link there.
     """
-    sets = sets_of(members.select(F.col("doc").alias("_key")), docs)
     count = lambda c: F.ceil(c / STAR).cast("int")
     sizes = members.groupBy("centre", "component").agg(F.count("*").alias("m"))
     large = F.when(F.col("m") >= STAR, F.struct("component", count(F.col("m")).alias("blocks")))
@@ -323,7 +421,45 @@ def block_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.where(~F.coalesce((F.col("other") >= F.col("span.start")) & (F.col("other") < F.col("span.end")), F.lit(False)))
     dealt = dealt.select("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
-    rows = dealt.join(sets, "doc").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "doc")
+    met = lambda table: table.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "doc")
+
+    def sift(batches):
+        def near(held):
+            """Members that may link with one of the other block and of another component, by classes of bitmap size."""
+            i, j = held[0][1:3]
+            doc, component, size = (np.array([h[k] for h in held]) for k in (4, 5, 6))
+            own, words = np.array([h[3] for h in held]), np.array([len(h[7]) // 8 for h in held])
+            found = np.zeros(len(held), bool)
+            for w in np.unique(words).tolist():
+                left = np.flatnonzero((own == i) & (words == w))
+                for v in (w // 2, w, 2 * w):
+                    right = np.flatnonzero((own == j) & (words == v))
+                    if not len(left) or not len(right):
+                        continue
+                    y = folded(np.stack([np.frombuffer(held[k][7], np.uint64) for k in right]), w)
+                    for k in left.tolist():
+                        hit = may_link(np.frombuffer(held[k][7], np.uint64), size[k], y, size[right])
+                        hit &= (component[right] != component[k]) & (doc[right] != doc[k])
+                        found[right[hit]] = True
+                        found[k] |= hit.any()
+            return [held[k][:6] for k in np.flatnonzero(found).tolist()]
+
+        names, held = ["centre", "i", "j", "own", "doc", "component"], []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in (*names, "n", "bitmap"))):
+                if held and row[:3] != held[0][:3]:
+                    out += near(held)
+                    held = []
+                held.append(row)
+            yield _near_rows(out, names)
+        if held:
+            yield _near_rows(near(held), names)
+
+    near = met(dealt.join(marks.select("doc", "n", "bitmap"), "doc")).mapInArrow(sift, "centre long, i int, j int, own int, doc long, component long")
+    near = written(near, "near")
+    sets = sets_of(near.select(F.col("doc").alias("_key")), docs)
+    rows = met(near.join(sets, "doc"))
 
     def compare(batches):
         parent: dict[int, int] = {}
@@ -373,14 +509,18 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     spark = docs.sparkSession
     bits = X.bucket_bits(spark)
+    rows, mixed = united(rows)
     frequent, list_length = frequent_names(rows, bits)
     free_shuffles()
     found = written(lists(rows, frequent, boundary(list_length), bits), "lists")
     free_shuffles()
-    listed = found.where(F.col("name").isNotNull())
+    listed = found.where(F.col("name").isNotNull()).drop("bitmap", "digest")
+    marks = found.where(F.col("name").isNull() & (F.col("doc") != X.LAST) & (F.col("n") > 0)).select("doc", "n", "bitmap", "digest")
+    marks = written(marks.dropDuplicates(["doc"]), "marks")
+    copies = written(copies_of(marks), "copies")
 
     # First every member of a list with the document of which most names are shared.
-    shared = listed.groupBy("doc").agg((F.count("*") / F.greatest(F.first("n"), F.lit(1))).alias("shared"))
+    shared = listed.groupBy("doc").agg((F.count("*") / F.greatest(F.first("n"), F.lit(1))).alias("shared")).join(copies, "doc", "left_anti")
     ranked = listed.join(shared, "doc")
     centre = F.max(F.struct("shared", -F.col("doc"), "doc", "place", "n")).alias("centre")
     members = ranked.drop("shared").join(ranked.groupBy("name").agg(centre), "name")
@@ -391,7 +531,7 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     low, high = F.least("c_doc", "doc").alias("a"), F.greatest("c_doc", "doc").alias("b")
     star = members.where((F.col("c_doc") != F.col("doc")) & _bound(F.col("c_place"), F.col("c_n"), F.col("place"), F.col("n"))).select(low, high).distinct()
     star = written(star, "star")
-    links = verified(star, rows)
+    links = verified(sifted(star, marks), rows)
     comps = written(components(links), "components")
 
     # Then, in lists that still lie in several components, members of different ones.
@@ -403,7 +543,7 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     free_shuffles()
     around = rest.groupBy("centre", "doc").agg(F.first("component").alias("component"))
     many = around.groupBy("centre").agg(F.count("*").alias("m")).where(F.col("m") > MANY).select("centre")
-    more = block_links(written(around.join(many, "centre"), "around"), rows)
+    more = block_links(written(around.join(many, "centre"), "around"), rows, marks)
 
     few = rest.join(many, "centre", "left_anti")
     left, right = (few.select("name", *(F.col(x).alias(f"{x}_{s}") for x in ("doc", "place", "n", "component", "before"))) for s in "ab")
@@ -412,12 +552,20 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     across = across.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
     across = written(across.join(star, ["a", "b"], "left_anti"), "across")
     free_shuffles()
-    more = more.unionAll(verified(across, rows))
+    more = more.unionAll(verified(sifted(across, marks), rows))
     for table in (members, rest):
         discard(table)
     comps = written(extended(comps, more), "components")
 
-    documents = found.where(F.col("name").isNull()).select(F.nullif("doc", F.lit(X.LAST)).alias("doc_id"), F.col("n").alias("n_shingles"))
+    # Copies have the component of the first of their set.
+    firsts = copies.select("first", "share").distinct().join(comps.withColumnRenamed("node", "first"), "first", "left")
+    firsts = firsts.select("first", "share", F.coalesce("component", "first").alias("component"))
+    comps = comps.unionByName(copies.join(firsts, ["first", "share"]).select(F.col("doc").alias("node"), "component"))
+
+    documents = found.where(F.col("name").isNull())
+    if mixed is not None:
+        documents = documents.join(mixed, "doc", "left").withColumn("row", F.explode(F.sequence(F.lit(1), F.coalesce("rows", F.lit(1)))))
+    documents = documents.select(F.nullif("doc", F.lit(X.LAST)).alias("doc_id"), F.col("n").alias("n_shingles"))
     return documents.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
