@@ -26,6 +26,23 @@ def md(spark, text):
     ("<dl><dt>t</dt><dd>d</dd></dl><details><summary>s</summary>b</details>", "t\n\nd\n\ns\n\nb"),
     ("a < b <p title=\"x>y\">c", "a < b\n\nc"),
     ("", ""),
+    # line prefixes
+    ("x<blockquote>a<p>b<br>c</p></blockquote>y", "x\n\n> a\n>\n> b\n> c\n\ny"),
+    ("<blockquote>a</blockquote><blockquote>b</blockquote>", "> a\n\n> b"),
+    ("<blockquote><p>a<blockquote><p>b</p></blockquote><p>c</blockquote>", "> a\n>\n> > b\n>\n> c"),
+    ("<ul><li>a<blockquote>b<p>c</blockquote></li><li><blockquote>d<br>e</blockquote></ul>", "- a\n  > b\n  > c\n- > d\n  > e"),
+    ("<blockquote>x<ul><li>a<ul><li>b</ul><li>c</ul></blockquote>z", "> x\n>\n> - a\n>   - b\n> - c\n\nz"),
+    ("<blockquote><h2>t</h2><pre>\n1\n\n 2\n</pre><hr></blockquote>", "> ## t\n>\n> ```\n> 1\n> \n>  2\n> ```\n>\n> ---"),
+    ("<blockquote><table><tr><th>a<th>b<tr><td>1<td>2</table></blockquote>", "> | a | b |\n> | --- | --- |\n> | 1 | 2 |"),
+    ("<blockquote></blockquote>a<blockquote> <p> </blockquote>b", "a\n\nb"),
+    ("<blockquote>open<ul><li>a</ul>", "open\n\n- a"),
+    ("<blockquote><ul><li>a</blockquote>b<blockquote>c</blockquote>", "> - a\nb\n  > c"),
+    # fences, languages, cells
+    ('<pre><code class="hl language-py">x = 1\n</code></pre>', "```py\nx = 1\n```"),
+    ("<pre>a\n```\n`<i>`</i>`</pre>b<pre>c</pre>", "````\na\n```\n```\n````\n\nb\n\n```\nc\n```"),
+    ("<table><tr><th>a|b<th><code>c|d</code></table>", r"| a\|b | `c\|d` |" + "\n| --- | --- |"),
+    ("<table><tr><td>1<table><tr><td>x<td>y<tr><td>z</table>2<td>3</table>w", "| 1   x y  z 2 | 3 |\n| --- | --- |\n\nw"),
+    ("<table><tr><td><blockquote>q</blockquote><pre>p\nr</pre><td>s</table>", "| q  p r | s |\n| --- | --- |"),
 ])
 def test_markdown(spark, page, want):
     assert md(spark, page) == want

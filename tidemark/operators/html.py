@@ -36,8 +36,10 @@ HEAD = (
 )
 
 # Marks used while pieces are joined; removed from page text first.
-MARKS = "\u0002\u0003\u0004\u0005\u0006\u0007\u0010"
-PARA, LINE, INDENT, GLUE, BREAK, CLOSE, CELL = MARKS
+MARKS = "\u0002\u0003\u0004\u0005\u0006\u0007\u0010\u000e\u000f\u0011\u0012\u0013\u0014\u0015"
+PARA, LINE, INDENT, GLUE, BREAK, CLOSE, CELL, QUOTE, QUOTED, LEAD, LED, UNQUOTE, FENCE, TRIM = MARKS
+# A stack of line prefixes is a bit set in a long; deeper levels are indented, but not marked as quotes.
+MOST_LEVELS = 62
 
 BLOCK_TAGS = (
     "p div section article main header footer nav aside body html ul ol li dl dt dd "
@@ -152,6 +154,10 @@ def _one_of(tags: list[str]) -> Column:
     return F.coalesce(F.col("tag").isin(tags), F.lit(False)) & (F.col("kind") == "tag")
 
 
+def _move(tags: list[str]) -> Column:
+    return F.when(~_one_of(tags), 0).when(F.col("closing"), -1).otherwise(1)
+
+
 def _inline_family() -> Column:
     fam = F.lit(None).cast("string")
     for name, (tags, _) in FAMILIES.items():
@@ -184,8 +190,10 @@ def annotate(tokens: DataFrame, regions: dict[str, list[str]]) -> DataFrame:
             },
             "_family": _inline_family(),
             "_block": F.sum(_one_of(BLOCK_TAGS).cast("int")).over(along),
+            "_s_list": F.sum(_move(LIST_TAGS)).over(along),
         }
     )
+    t = t.withColumn("list_depth", F.col("_s_list") - F.least(F.lit(0), F.min("_s_list").over(along)))
     listed = _one_of([*LIST_TAGS, "li"])
     group = (
         F.when(F.col("_family").isNotNull(), F.concat_ws("#", "_family", "_block"))
@@ -209,6 +217,10 @@ def annotate(tokens: DataFrame, regions: dict[str, list[str]]) -> DataFrame:
         F.lead("closing").over(at_level).eqNullSafe(F.lit(True))
     )
     list_kind = F.when(_one_of(LIST_TAGS) & ~F.col("closing"), F.col("tag"))
+    # Quotes that have an end push a bit onto the stack of line prefixes, at their place among the open lists and quotes.
+    place = F.col("list_depth") + F.col("_level")
+    bit = F.when(place <= MOST_LEVELS, F.pow(F.lit(2.0), place - 1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    moved = F.when(F.col("closing"), -F.lag(bit).over(at_level)).otherwise(bit)
 
     def edge(name: str) -> Column:
         starts = F.when(F.col("_step") != 0, F.col(f"at_{name}"))
@@ -221,40 +233,44 @@ def annotate(tokens: DataFrame, regions: dict[str, list[str]]) -> DataFrame:
         {
             **{f"_d_{n}": edge(n) for n in names},
             "paired": F.col("_family").isNotNull() & mate,
+            "_push": F.when(_one_of(["blockquote"]) & mate, moved),
+            "_table": F.when(_one_of(["table"]) & mate, F.col("_step")).otherwise(0),
             "_href": F.when(F.col("closing"), F.lag(href).over(at_level)).otherwise(href),
             "_list": F.last(list_kind, ignorenulls=True).over(at_level),
         }
     )
 
+    # A table in a table is text of the outer cell.
+    t = t.withColumn("_tables", F.sum("_table").over(along))
+    inner = F.col("_tables") + F.when(F.col("_table") < 0, 1).otherwise(0) > 1
+    t = t.withColumn("_nested", inner & _one_of([*ROW_TAGS, "td", "th", "caption"]))
+    outer = lambda tags: _one_of(tags) & ~F.col("_nested")
+
     row_edge = F.when(
-        _one_of(ROW_TAGS), F.when((F.col("tag") == "tr") & ~F.col("closing"), "row").otherwise("end")
+        outer(ROW_TAGS), F.when((F.col("tag") == "tr") & ~F.col("closing"), "row").otherwise("end")
     )
     head_edge = F.when(
         _one_of(["head"]), F.when(F.col("closing"), "body").otherwise("head")
     ).when(_one_of(["body", "article", "main", "nav", "header", "p", "div"]) & opens, "body")
-    row_opens = _one_of(["tr"]) & opens
-
-    def running(tags: list[str]) -> Column:
-        move = F.when(~_one_of(tags), 0).when(F.col("closing"), -1).otherwise(1)
-        return F.sum(move).over(along)
-
+    row_opens = outer(["tr"]) & opens
+    code = F.lead(F.when(_one_of(["code"]) & ~F.col("closing"), F.col("attrs"))).over(along)
     t = t.withColumns(
         {
             **{f"in_{n}": F.sum(f"_d_{n}").over(along) > 0 for n in names},
-            "_s_list": running(LIST_TAGS),
-            "_s_pre": running(["pre"]),
+            "_s_pre": F.sum(_move(["pre"])).over(along),
+            "_bits": F.coalesce(F.sum("_push").over(along), F.lit(0)),
+            "_code": F.when(_one_of(["pre"]), code),
             "_row_now": F.last(row_edge, ignorenulls=True).over(along),
             "_row_was": F.last(row_edge, ignorenulls=True).over(before),
             "_n_rows": F.sum(row_opens.cast("int")).over(along),
-            "_n_cells": F.sum((_one_of(["td", "th"]) & opens).cast("int")).over(along),
+            "_n_cells": F.sum((outer(["td", "th"]) & opens).cast("int")).over(along),
             "_head": F.coalesce(F.last(head_edge, ignorenulls=True).over(along), F.lit("body")),
             "_is_edge": row_edge.isNotNull(),
         }
     )
-    table_opens = _one_of(["table"]) & opens
+    table_opens = outer(["table"]) & opens
     t = t.withColumns(
         {
-            "list_depth": F.col("_s_list") - F.least(F.lit(0), F.min("_s_list").over(along)),
             "pre_depth": F.col("_s_pre") - F.least(F.lit(0), F.min("_s_pre").over(along)),
             "_cells": F.col("_n_cells")
             - F.coalesce(F.last(F.when(row_opens, F.col("_n_cells")), ignorenulls=True).over(along), F.lit(0)),
@@ -270,24 +286,41 @@ def annotate(tokens: DataFrame, regions: dict[str, list[str]]) -> DataFrame:
     )
 
 
+def _prefix(bits: Column, above: int = 0) -> Column:
+    """The line prefix of a stack: ``> `` for every quote, an indent for every list, without the ``above`` top levels."""
+    depth = F.greatest(F.length(F.bin(bits)).cast("bigint"), F.col("list_depth") + F.bit_count(bits)) - above
+    levels = F.sequence(F.lit(1), F.least(depth, F.lit(MOST_LEVELS)).cast("int"))
+    marks = F.transform(levels, lambda i: F.when(F.getbit(bits, i - 1) == 1, F.lit("> ")).otherwise(F.lit(INDENT)))
+    return F.when((bits == 0) | (depth < 1), F.lit("")).otherwise(F.array_join(marks, ""))
+
+
+def _with_leads(piece: Column) -> Column:
+    """Inside a quote, the line prefix before whatever may start a line; ``tidy`` keeps those that do."""
+    own_level = _one_of(["li"]) & ~F.col("closing")
+    lead = F.concat(F.lit(LEAD), F.when(own_level, _prefix(F.col("_bits"), 1)).otherwise(_prefix(F.col("_bits"))), F.lit(LED))
+    shown = f"[^ {PARA}{LINE}{GLUE}{BREAK}{CLOSE}{CELL}{QUOTE}{UNQUOTE}]"
+    led = F.regexp_replace(piece, F.lit(f"(^|[{PARA}{LINE}{BREAK}{CLOSE}{QUOTED}{UNQUOTE}])( *)(?={shown})"), F.concat(F.lit("$1$2"), lead))
+    return F.when(F.col("_bits") == 0, piece).otherwise(F.replace(led, F.lit("\n"), F.concat(F.lit("\n"), lead)))
+
+
 def _markup() -> Column:
     """The Markdown a tag stands for, before its own text."""
     tag, closing, attrs = F.col("tag"), F.col("closing"), F.col("attrs")
     is_tag = F.col("kind") == "tag"
-    in_cell = F.col("_row_now") == "row"
+    in_cell = F.col("_row_now").eqNullSafe(F.lit("row"))
     row_ends = F.col("_is_edge") & F.col("_row_was").eqNullSafe(F.lit("row"))
     separator = F.when(
         F.col("_rows_was") == 1,
         F.concat(F.lit(LINE + "|"), F.repeat(F.lit(" --- |"), F.col("_cells_was").cast("int"))),
     ).otherwise("")
     end_row = F.when(row_ends, F.concat(F.lit(CELL), separator)).otherwise("")
-    indent = F.repeat(F.lit(INDENT), F.greatest(F.col("list_depth") - 1, F.lit(0)).cast("int"))
-    bullet = F.when(F.col("_list") == "ol", F.lit("1. ")).otherwise(F.lit("- "))
-    language = F.coalesce(
-        F.nullif(F.regexp_extract(attrs, r"language-([\w+#.-]+)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(attrs, r"brush:\s*([\w+#.-]+)", 1), F.lit("")),
-        F.lit(""),
+    indent = F.when(F.col("_bits") != 0, F.lit("")).otherwise(
+        F.repeat(F.lit(INDENT), F.greatest(F.col("list_depth") - 1, F.lit(0)).cast("int"))
     )
+    bullet = F.when(F.col("_list") == "ol", F.lit("1. ")).otherwise(F.lit("- "))
+    named = [F.nullif(F.regexp_extract(a, p, 1), F.lit("")) for a in (attrs, F.col("_code"))
+             for p in (r"lang(?:uage)?-([\w+#.-]+)", r"brush:\s*([\w+#.-]+)")]
+    language = F.coalesce(*named, F.lit(""))
     para = F.when(in_cell, F.lit(" ")).when(
         F.col("list_depth") > 0, F.lit(LINE)
     ).otherwise(F.lit(PARA))
@@ -295,8 +328,6 @@ def _markup() -> Column:
     for name, (_, mark) in FAMILIES.items():
         if name == "link":
             piece = F.when(closing, F.concat(F.lit("]("), F.coalesce("_href", F.lit("")), F.lit(")"))).otherwise("[")
-        elif name == "code":
-            piece = F.when(F.col("pre_depth") > 0, F.lit("")).otherwise(F.lit(mark))
         else:
             piece = F.lit(mark)
         inline = F.when(F.col("_family") == name, piece).otherwise(inline)
@@ -309,18 +340,23 @@ def _markup() -> Column:
         F.lit("]("), F.coalesce(attribute(attrs, "src"), F.lit("")), F.lit(")"),
     )
     pre = F.when(
-        closing, F.lit(CLOSE + "```" + PARA)
-    ).otherwise(F.concat(F.lit(PARA + "```"), language, F.lit("\n")))
+        closing, F.lit(CLOSE + FENCE + PARA)
+    ).otherwise(F.concat(F.lit(PARA + FENCE), language, F.lit("\n")))
+    quote = F.when(F.col("_push") > 0, F.concat(para, F.lit(QUOTE), _prefix(F.col("_bits") - F.col("_push")), F.lit(QUOTED))).otherwise(
+        F.concat(F.lit(UNQUOTE), para)
+    )
     list_edge = F.when(F.col("list_depth") + F.when(closing, 1).otherwise(0) <= 1, F.lit(PARA)).otherwise("")
     markup = (
         F.when(~is_tag, F.lit(""))
-        .when(F.col("paired"), inline)
+        .when(F.col("paired"), F.when(F.col("pre_depth") > 0, F.lit("")).otherwise(inline))
         .when(F.col("_family").isNotNull(), F.lit(""))
         .when(is_heading, F.when(in_cell, F.lit(" ")).otherwise(heading))
         .when(tag == "br", F.when(in_cell, F.lit(" ")).otherwise(F.lit(BREAK)))
         .when(tag == "hr", F.lit(PARA + "---" + PARA))
         .when(tag == "img", image)
-        .when(tag == "pre", pre)
+        .when(tag == "pre", F.when(in_cell, F.lit(" ")).otherwise(pre))
+        .when(F.col("_nested"), F.lit(" "))
+        .when(F.col("_push").isNotNull() & ~in_cell, quote)
         .when(tag.isin(LIST_TAGS), F.when(in_cell, F.lit(" ")).otherwise(list_edge))
         .when(
             tag == "li",
@@ -341,18 +377,64 @@ def _markup() -> Column:
 def _piece_text(t: Column) -> Column:
     spaced = F.regexp_replace(t, r"[ \t\r\n\f]+", " ")
     first = F.regexp_replace(t, r"\A\r?\n", "")  # HTML ignores a newline right after <pre>
-    return F.when(F.col("pre_depth") > 0, F.when(F.col("tag") == "pre", first).otherwise(t)).otherwise(spaced)
+    in_cell = F.col("_row_now").eqNullSafe(F.lit("row"))
+    return (
+        F.when(in_cell, F.replace(spaced, F.lit("|"), F.lit(r"\|")))
+        .when(F.col("pre_depth") > 0, F.when(F.col("tag") == "pre", first).otherwise(t))
+        .otherwise(spaced)
+    )
 
 
 def tidy(joined: Column) -> Column:
-    """Break marks to newlines, one blank line at most between blocks."""
-    c = F.regexp_replace(joined, f"{GLUE}[ {PARA}{LINE}{GLUE}{BREAK}]*", "")
+    """Break marks to newlines, one blank line at most between blocks, line prefixes where a line starts, fences.
+
+    ``joined`` should be a column, not an expression: it is read twice.
+    """
+    quoted = F.contains(joined, F.lit(QUOTE)) | F.contains(joined, F.lit(LEAD))
+    c = F.when(quoted, _tidy(joined, True)).otherwise(_tidy(joined, False))
+    return F.when(F.contains(joined, F.lit(FENCE)), _fenced(c)).otherwise(c)
+
+
+def _fenced(c: Column) -> Column:
+    """Fence marks to back-ticks, three at least and one more than the longest run inside."""
+    parts = F.split(c, FENCE)
+    longest = lambda p: F.aggregate(F.regexp_extract_all(p, F.lit("`+"), F.lit(0)), F.lit(0), lambda m, x: F.greatest(m, F.length(x)))
+    fence = lambda p: F.repeat(F.lit("`"), F.greatest(longest(p) + 1, F.lit(3)))
+    last = F.size(parts) - 1
+    return F.array_join(
+        F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).otherwise(
+            F.concat(fence(p), p, F.when(i < last, fence(p)).otherwise(F.lit("")))
+        )), ""
+    )
+
+
+def _tidy(c: Column, quotes: bool) -> Column:
+    gaps = f"[ {PARA}{LINE}{BREAK}]"
+    opened, led = f"{QUOTE}[^{QUOTED}]*{QUOTED}", f"{LEAD}[^{LED}]*{LED}"
+    if quotes:
+        # A quote right after a bullet starts on its line; one without content leaves nothing.
+        c = F.regexp_replace(c, f"{opened}{gaps}*{UNQUOTE}", PARA)
+        c = F.replace(c, F.lit(UNQUOTE), F.lit(""))
+        c = F.regexp_replace(c, rf"(?:{GLUE}|\G(?!\A))[ {PARA}{LINE}{GLUE}{BREAK}]*{opened}", f"> {GLUE}")
+    c = F.regexp_replace(c, f"{GLUE}[ {PARA}{LINE}{GLUE}{BREAK}]*", "")
     c = F.regexp_replace(c, f" *{CELL} *", " | ")
     c = F.regexp_replace(c, f" +(?=[{PARA}{LINE}{BREAK}])", "")
+    if quotes:
+        # Between blocks the blank line has the prefix that both sides share: of the first quote that opens there, else the next line's.
+        c = F.regexp_replace(c, rf"({opened}|\G(?!\A))({gaps}*){opened}", "$1$2")
+        c = F.regexp_replace(
+            c, f"(?=[ {LINE}{BREAK}]*(?:{opened})?[ {LINE}{BREAK}]*{PARA}){gaps}*{QUOTE}([^{QUOTED}]*){QUOTED}{gaps}*", f"\n$1{TRIM}\n"
+        )
+        c = F.regexp_replace(c, f"{gaps}*{opened}{gaps}*", "\n")
+        c = F.regexp_replace(c, f"[ {LINE}{BREAK}]*{PARA}{gaps}*{LEAD}([^{LED}]*){LED}", f"\n$1{TRIM}\n{LEAD}$1{LED}")
     c = F.regexp_replace(c, f"[{LINE}{BREAK}]*{PARA}[ {PARA}{LINE}{BREAK}]*", "\n\n")
     c = F.regexp_replace(c, f"{LINE}[ {LINE}]*", "\n")
     c = F.regexp_replace(c, f"{BREAK} *", "\n")
-    c = F.regexp_replace(c, f"\n?{CLOSE}", "\n")
+    c = F.regexp_replace(c, f"(?:\n(?:{led})?)?{CLOSE}" if quotes else f"\n?{CLOSE}", "\n")
+    if quotes:
+        c = F.regexp_replace(c, rf"(\A|\n){LEAD}([^{LED}]*){LED}", "$1$2")
+        c = F.regexp_replace(c, led, "")
+        c = F.regexp_replace(c, f"[ {INDENT}]*{TRIM}", "")
     c = F.replace(c, F.lit(INDENT), F.lit("  "))
     return F.regexp_replace(c, r"\A\s+|\s+\z", "")
 
@@ -378,7 +460,7 @@ def page_profile(pages: DataFrame, regions: dict[str, list[str]] | None = None)
     shaped = annotate(tokens, marks)
     dropped = F.col("_head") == "head"
     body = F.col("text")
-    piece = F.when(dropped, F.lit("")).otherwise(F.concat(_markup(), _piece_text(body)))
+    piece = F.when(dropped, F.lit("")).otherwise(_with_leads(F.concat(_markup(), _piece_text(body))))
     spaced = F.when(_one_of(BLOCK_TAGS), F.concat(F.lit(" "), body)).otherwise(body)
     fields = [F.col("pos"), piece.alias("piece"), F.when(dropped, F.lit("")).otherwise(spaced).alias("body")]
     fields += [F.col(f"in_x_{n}").alias(f"x_{n}") for n in MAIN_REGIONS]
@@ -399,15 +481,12 @@ def page_profile(pages: DataFrame, regions: dict[str, list[str]] | None = None)
     main = joined("piece")
     for name in reversed(MAIN_REGIONS):
         main = F.when(has(name), joined("piece", _field(f"x_{name}"))).otherwise(main)
-    out = [
-        F.col("page_id"),
-        tidy(joined("piece")).alias("md_converter"),
-        tidy(main).alias("md_extractor"),
-        tx.collapse(joined("body")).alias("md_plain"),
-    ]
-    for name in regions:
-        out.append(joined(f"r_{name}").alias(f"text_{name}"))
-    return rows.select(*out)
+    texts = [joined(f"r_{name}").alias(f"text_{name}") for name in regions]
+    whole = rows.select("page_id", joined("piece").alias("_all"), main.alias("_main"), joined("body").alias("_body"), *texts)
+    return whole.select(
+        "page_id", tidy(F.col("_all")).alias("md_converter"), tidy(F.col("_main")).alias("md_extractor"),
+        tx.collapse(F.col("_body")).alias("md_plain"), *[f"text_{name}" for name in regions],
+    )
 
 
 def token_arrays(pages: DataFrame, *carry: str) -> DataFrame:
