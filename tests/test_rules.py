@@ -227,3 +227,45 @@ def test_words_follow_python(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(tx.words(F.col("t"))).collect()]
     assert got == [re.findall(r"[\w']+", unicodedata.normalize("NFKC", t).lower()) for t in texts]
+
+
+def test_summary_details_overhead_and_unranked(spark):
+    cell = "array<struct<feature: string, ok: bigint, total: bigint>>"
+    scores = spark.createDataFrame(
+        [(p, tool, kind, ranked, 1.0, 0.5, 10, 1, 2, features) for p, tool, kind, ranked, features in (
+            (1, "a", "converter", True, [("code", 1, 1), ("links", 0, 1)]), (2, "a", "converter", True, [("code", 0, 1)]),
+            (1, "b", "extractor", False, None))],
+        f"page_id bigint, tool string, kind string, ranked boolean, retention double, leakage double, output_bytes bigint, passed bigint, total bigint, features {cell}",
+    )
+    times = spark.createDataFrame([(1, "a", 1.0), (2, "a", 4.0), (1, "b", None), (9, "a", 99.0)], "page_id bigint, tool string, ms double")
+    out = quality.summary_details(quality.tool_summary(scores, times), scores, times, {"a": "why"})
+    out = quality.with_overhead(out, spark.createDataFrame([(2.0,), (3.0,)], "ms double"))
+    got = {r.tool: r for r in out.collect()}
+    assert set(got) == {"a", "b", quality.OVERHEAD}
+    assert (got["a"].median_ms, got["a"].total_ms, got["a"].notes) == (4.0, 5.0, "why")  # upper median of the scored pages
+    assert [tuple(f) for f in got["a"].features] == [("code", 1, 2), ("links", 0, 1)]
+    assert (got["b"].median_ms, got["b"].features, got["b"].notes) == (None, None, None)
+    assert (got[quality.OVERHEAD].median_ms, got[quality.OVERHEAD].ranked, got[quality.OVERHEAD].total) == (2.5, None, None)
+    assert [r.tool for r in quality.unranked_table(out).collect()] == ["b"]
+    none = quality.with_overhead(out.limit(0), spark.createDataFrame([], "ms double")).collect()
+    assert [(r.tool, r.median_ms) for r in none] == [(quality.OVERHEAD, None)]
+
+
+def test_corpus_checks_read_files_and_all_fire(spark, data):
+    from tidemark.plans import REGISTRY
+
+    kinds = ("page is only", "page missing", "metadata unreadable", "unknown rule type", "duplicate rule id", "version could")
+    rows = [r.problem for r in REGISTRY["corpus_problems"].run(spark, data).collect()]
+    assert all(any(r.startswith(k) for r in rows) for k in kinds)
+
+
+def test_inventory_never_reads_content(spark, tmp_path):
+    from tidemark.sources.readers import file_inventory
+
+    for folder, body in (("p1", "abc"), ("p2", "")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "page.html").write_text(body)
+    files = file_inventory(spark, str(tmp_path / "in"))
+    assert sorted((r.folder, r.name, r.bytes) for r in files.collect()) == [("p1", "page.html", 3), ("p2", "page.html", 0)]
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]

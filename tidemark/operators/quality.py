@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import html, rules as rl
+from tidemark.operators import html, rules as rl, samples
 from tidemark.operators.tabular import strict_lookup
 
 # The native conversions; ``ranked`` decides whether a tool enters the league.
@@ -106,10 +106,11 @@ def text_measures(profile: DataFrame, compat: bool = True) -> DataFrame:
     return per_page.select("page_id", F.inline(cells))
 
 
-def score_rows(profile: DataFrame, rules: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """Per (page, tool): rule scores, retention, leakage and output bytes."""
+def score_rows(profile: DataFrame, rules: DataFrame, types: list[str] | None = None, features: bool = False) -> DataFrame:
+    """Per (page, tool): rule scores, retention, leakage and output bytes; on demand the counts of every feature."""
     outputs = outputs_of(profile)
-    judged = rl.scores(rl.evaluate(outputs, rules, types), ["page_id", "tool"])
+    judge = rl.scores_by_feature if features else rl.scores
+    judged = judge(rl.evaluate(outputs, rules, types), ["page_id", "tool"])
     sizes = outputs.select(
         "page_id", "tool", "kind", "ranked", tx.byte_length(F.col("md")).alias("output_bytes")
     )
@@ -140,6 +141,40 @@ def tool_summary(scores: DataFrame, timings: DataFrame) -> DataFrame:
     return by_tool.withColumn("pass_share", F.col("passed") / F.nullif(F.col("total"), F.lit(0)))
 
 
+def summary_details(summary: DataFrame, scores: DataFrame, timings: DataFrame, notes: dict[str, str]) -> DataFrame:
+    """The summary with each tool's upper median time, its counts per feature and its note.
+
+    ``scores`` needs ``features`` and is read twice, so it should be a written table.  A tool without a time, feature
+    or note has null there.
+    """
+    timed = scores.select("page_id", "tool").join(timings.select("page_id", "tool", "ms"), ["page_id", "tool"])
+    middle = samples.medians(timed, ["tool"], "ms").select("tool", F.col("upper_median").alias("median_ms"))
+    counted = scores.select("tool", F.inline("features")).groupBy("tool", "feature").agg(F.sum("ok").alias("ok"), F.sum("total").alias("total"))
+    features = counted.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("feature", "ok", "total"))).alias("features"))
+    known = F.create_map(*[F.lit(x) for pair in notes.items() for x in pair]) if notes else F.create_map().cast("map<string,string>")
+    out = summary.join(middle, "tool", "left").join(features, "tool", "left")
+    return out.withColumn("notes", F.try_element_at(known, F.col("tool")))
+
+
+OVERHEAD = "(overhead)"
+
+
+def with_overhead(summary: DataFrame, empty: DataFrame) -> DataFrame:
+    """A row of its own for the constant overhead, the median of the samples ``empty(ms)`` of runs that do nothing.
+
+    It stands beside the tools and is not taken off their times; without samples its median is null.
+    """
+    times = samples.medians(empty.select("ms").withColumn("tool", F.lit(OVERHEAD)), ["tool"], "ms")
+    row = empty.sparkSession.range(1).select(F.lit(OVERHEAD).alias("tool"))
+    row = row.join(times.select("tool", F.col("median").alias("median_ms")), "tool", "left")
+    return summary.unionByName(row, allowMissingColumns=True)
+
+
+def unranked_table(summary: DataFrame) -> DataFrame:
+    """Tools that are scored but not ranked, with the reason; rows without a rank flag are neither."""
+    return summary.filter("NOT ranked").select("tool", "passed", "total", "pass_share", "retention", "total_ms", "notes")
+
+
 def league_table(summary: DataFrame) -> DataFrame:
     """Ranked tools by pass rate, then retention, then total time.
 
@@ -175,11 +210,12 @@ def corpus_problems(
 ) -> DataFrame:
     """All findings of the corpus checks as ``subject, problem`` rows.
 
+    ``pages`` has ``page_id`` and either ``html`` or, from a file inventory, ``bytes``.
     ``expected(page_id)`` lists pages that must exist, ``meta(page_id, json)``
     their metadata text, ``tools(tool, version)`` the versions read.
     """
     page = F.col("page_id").cast("string")
-    size = tx.byte_length(F.col("html"))
+    size = F.col("bytes") if "bytes" in pages.columns else tx.byte_length(F.col("html"))
     found = [
         pages.filter(F.coalesce(size, F.lit(0)) < MIN_PAGE_BYTES).select(
             page.alias("subject"),

@@ -271,6 +271,21 @@ def scores(results: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def scores_by_feature(results: DataFrame, keys: list[str]) -> DataFrame:
+    """``scores`` with ``features``: ``feature, ok, total`` of every feature, in order; both from one grouping of the verdicts."""
+    won = F.sum(F.when(F.col("ok"), F.col("weight")).otherwise(0))
+    counted = results.groupBy(*keys, "feature").agg(
+        F.count_if("ok").alias("_ok"), F.count("*").alias("_n"), won.alias("_won"), F.sum("weight").alias("_weight")
+    )
+    cell = F.struct("feature", F.col("_ok").alias("ok"), F.col("_n").alias("total"))
+    return counted.groupBy(*keys).agg(
+        F.sum("_ok").alias("passed"),
+        F.sum("_n").alias("total"),
+        F.round(F.sum("_won") / F.nullif(F.sum("_weight"), F.lit(0)), 4).alias("pass_rate"),
+        F.array_sort(F.collect_list(cell)).alias("features"),
+    )
+
+
 def feature_counts(results: DataFrame) -> DataFrame:
     """``[ok, total]`` per tool and feature."""
     return results.groupBy("tool", "feature").agg(

@@ -8,7 +8,7 @@ from tidemark.operators.tabular import pivot_grid
 from tidemark.plans.registry import query
 from tidemark.plans.text import WORDS_SQL, content_sql, flat_sql, prose_sql, strip_sql
 from tidemark.session import scratch_path
-from tidemark.sources.readers import RULE_ARGS, scan_selectors
+from tidemark.sources.readers import RULE_ARGS, file_inventory, load_rules, scan_selectors, scan_whole_files
 from tidemark.sources.writers import materialise
 
 # ---- SQL side: the same conversion written as text replacement ----------------
@@ -203,7 +203,14 @@ timings AS (SELECT page_id, tool, value AS ms FROM outputs
 summary AS (SELECT tool, kind, ranked, CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(total) AS BIGINT) AS total,
                    round(avg(retention), 6) AS retention, round(avg(leakage), 6) AS leakage, round(sum(ms), 4) AS total_ms,
                    CAST(sum(output_bytes) AS BIGINT) AS bytes, round(sum(passed) / sum(total), 6) AS pass_share
-            FROM scores JOIN timings USING (page_id, tool) GROUP BY ALL)
+            FROM scores JOIN timings USING (page_id, tool) GROUP BY ALL),
+middle AS (SELECT tool, list_sort(list(ms) FILTER (ms IS NOT NULL))[count(ms) // 2 + 1] AS median_ms
+           FROM scores JOIN timings USING (page_id, tool) GROUP BY tool),
+per_feature AS (SELECT tool, string_agg(feature || ' ' || ok || '/' || total, ', ' ORDER BY feature) AS features FROM
+  (SELECT tool, feature, count(*) FILTER (ok) AS ok, count(*) AS total FROM results GROUP BY tool, feature) GROUP BY tool),
+details AS (SELECT s.*, round(median_ms, 6) AS median_ms, features, CASE tool
+  """ + " ".join(f"WHEN '{n}' THEN '{why}'" for n, _, _, why in quality.TOOLS) + """ END AS notes
+  FROM summary s LEFT JOIN middle USING (tool) LEFT JOIN per_feature USING (tool))
 """
 
 # ---- Spark side -----------------------------------------------------------------
@@ -239,12 +246,29 @@ def timings(t):
 
 
 def summary(t):
-    out = quality.tool_summary(scores(t), timings(t))
+    return _rounded(quality.tool_summary(scores(t), timings(t)))
+
+
+def _rounded(out):
     return out.withColumns(
         {c: F.round(c, d) for c, d in (("retention", 6), ("leakage", 6), ("total_ms", 4), ("pass_share", 6))}
     )
 
 
+def details(t):
+    """The summary with medians, features and notes; the scores are written once."""
+    scored = quality.score_rows(materialise(profile(t), "profile"), rules(t), TYPES_USED, features=True)
+    scored = materialise(scored, "scores")
+    notes = {name: why for name, _, _, why in quality.TOOLS}
+    out = quality.summary_details(_rounded(quality.tool_summary(scored, timings(t))), scored, timings(t), notes)
+    return out.withColumn("median_ms", F.round("median_ms", 6))
+
+
+def _feature_text(out):
+    shown = F.transform("features", lambda f: F.concat_ws(" ", f["feature"], F.concat_ws("/", f["ok"], f["total"])))
+    return out.withColumn("features", F.when(F.col("features").isNotNull(), F.array_join(shown, ", ")))
+
+
 @query(r"""
 SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM
   (SELECT page_id, lower(unnest(regexp_extract_all(regexp_replace(
@@ -400,18 +424,29 @@ def universal_failures(t):
     return rl.universal_failures(results(t).filter("tool <> 'plain text'"))
 
 
-@query(f"WITH {SCORES_SQL} SELECT * FROM summary")
+@query(f"""
+WITH {SCORES_SQL}
+SELECT * FROM details UNION ALL BY NAME
+SELECT '{quality.OVERHEAD}' AS tool, (SELECT median(value) FROM events WHERE event_type = 'error') AS median_ms
+""")
 def tool_summary(t):
-    return summary(t)
+    """The samples of error events stand for runs that do nothing."""
+    empty = t.events.filter("event_type = 'error'").select(F.col("value").alias("ms"))
+    return _feature_text(quality.with_overhead(details(t), empty))
 
 
 @query(f"""
 WITH {SCORES_SQL}
 SELECT *, CAST(row_number() OVER (ORDER BY pass_share DESC, retention DESC, total_ms, tool) AS INTEGER) AS position
-FROM summary WHERE ranked
+FROM details WHERE ranked
 """)
 def league_table(t):
-    return quality.league_table(summary(t))
+    return _feature_text(quality.league_table(details(t)))
+
+
+@query(f"WITH {SCORES_SQL} SELECT tool, passed, total, pass_share, retention, total_ms, notes FROM details WHERE NOT ranked")
+def unranked_table(t):
+    return quality.unranked_table(details(t))
 
 
 @query(f"WITH {SCORES_SQL} SELECT tool, total_ms FROM summary ORDER BY total_ms")
@@ -431,12 +466,49 @@ def per_page_report(t):
     return quality.per_page_report(scored, league, timings(t))
 
 
+def corpus_files(t):
+    """A corpus as folders of files, one a page: the page, its metadata, its rules.
+
+    Some are broken on purpose, by their ids: metadata cut short, a rule of a type nobody knows, a rule id used twice.
+    """
+    root = scratch_path(t.spark, "corpus")
+    key = F.col("page_id").alias("slug")
+    meta = F.to_json(F.struct("page_id", F.length("url").alias("chars")))
+    cut = F.when(F.col("page_id") % 7 == 0, F.substr(meta, F.lit(1), F.length(meta) - 1)).otherwise(meta)
+    kind = F.when(F.col("page_id") % 11 == 0, F.lit("smells")).otherwise(F.lit("contains"))
+    second = F.when(F.col("page_id") % 13 == 0, F.lit("r1")).otherwise(F.lit("r2"))
+    rule = lambda i, k: F.struct(i.alias("id"), F.lit("inline").alias("feature"), k.alias("type"))
+    t.pages.select(key, F.col("html").alias("value")).write.partitionBy("slug").option("lineSep", "\n").text(f"{root}/pages")
+    t.pages.select(key, cut.alias("value")).write.partitionBy("slug").text(f"{root}/meta")
+    probes = F.array(rule(F.lit("r1"), kind), rule(second, F.lit("absent")))
+    t.pages.select(key, probes.alias("probes")).write.partitionBy("slug").json(f"{root}/rules")
+    return root
+
+
+def _slug(col):
+    return F.regexp_extract(col, r"slug=(\d+)$", 1).cast("bigint").alias("page_id")
+
+
 @query("""
-SELECT CAST(page_id AS VARCHAR) AS subject, 'page is only ' || octet_length(encode(html)) || ' bytes' AS problem
-FROM pages WHERE octet_length(encode(html)) < 10000
+SELECT CAST(page_id AS VARCHAR) AS subject, 'page is only ' || (octet_length(encode(html)) + 1) || ' bytes' AS problem
+FROM pages WHERE octet_length(encode(html)) + 1 < 10000
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'page missing' FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages)
+UNION ALL SELECT CAST(page_id AS VARCHAR), 'metadata unreadable' FROM pages WHERE page_id % 7 = 0
+UNION ALL SELECT page_id || '/r1', 'unknown rule type smells' FROM pages WHERE page_id % 11 = 0
+UNION ALL SELECT CAST(page_id AS VARCHAR), 'duplicate rule id r1' FROM pages WHERE page_id % 13 = 0
+UNION ALL SELECT s_name, 'version could not be read' FROM supplier WHERE s_acctbal < 0
 """)
 def corpus_problems(t):
-    return quality.corpus_problems(t.pages, rules(t), expected=t.pages.select("page_id"))
+    """All six checks over files: expected are the ids of ``documents``, suppliers in debt are tools of unknown version."""
+    root = corpus_files(t)
+    files = file_inventory(t.spark, f"{root}/pages").filter(F.col("name").startswith("part-")).select(_slug("folder"), "bytes")
+    meta = scan_whole_files(t.spark, f"{root}/meta/*/part-*").select(_slug("page"), F.col("text").alias("json"))
+    found, _ = load_rules(t.spark, f"{root}/rules", t.pages.select(F.concat(F.lit("slug="), "page_id").alias("page")))
+    version = F.when(F.col("s_acctbal") < 0, F.lit("unknown (no answer)")).otherwise(F.lit("1.0"))
+    return quality.corpus_problems(
+        files, found.withColumn("page_id", _slug("page")), t.documents.select(F.col("doc_id").alias("page_id")), meta,
+        t.supplier.select(F.col("s_name").alias("tool"), version.alias("version")),
+    )
 
 
 @query("SELECT CAST(NULL AS BIGINT) AS page_id, 8 AS rules, 12 AS weight WHERE false "

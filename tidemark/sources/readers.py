@@ -167,6 +167,15 @@ def scan_whole_files(spark: SparkSession, glob: str) -> DataFrame:
     )
 
 
+def file_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """Files below a folder as ``folder, name, bytes, changed``: listed, their content is never read."""
+    parts = F.split(F.col("path"), "/")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"),
+        F.col("length").alias("bytes"), F.col("modificationTime").alias("changed"),
+    )
+
+
 def replace_bad_utf8(content):
     """Bytes to text; invalid sequences become U+FFFD."""
     return F.make_valid_utf8(content.cast("string"))
