@@ -137,3 +137,12 @@ def test_some_conversions_fail(spark, data):
 
     got = {r.tool: r.n for r in REGISTRY["conversion_errors"].run(spark, "/root/testdata/sf0.01").collect()}
     assert set(got) == {"closed pages", "linked title"} and all(0 < n < 250 for n in got.values())
+
+
+def test_rows_are_dealt_unless_told_otherwise(spark, data):
+    from tidemark.sources.readers import Tables
+
+    dealt, plain = (Tables(spark, data, deal=d).dealt("documents", "doc_id", "text") for d in (True, False))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt.rdd.getNumPartitions() == parts and "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in dealt.collect()) == sorted(r.doc_id for r in plain.collect())

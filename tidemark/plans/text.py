@@ -62,7 +62,7 @@ FROM documents
 """)
 def text_clean(t):
     norm = tx.squeeze(F.col("nfkc"))
-    docs = t.documents.select("doc_id", "text", tx.nfkc(F.col("text")).alias("nfkc"))
+    docs = t.dealt("documents", "doc_id", "text").select("doc_id", "text", tx.nfkc(F.col("text")).alias("nfkc"))
     return docs.select(
         "doc_id",
         F.md5(tx.flat_of(norm)).alias("flat"),
@@ -78,7 +78,7 @@ FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORDS_SQL}')) AS w
 GROUP BY doc_id, word
 """)
 def term_counts(t):
-    return quality.term_counts(t.documents, "doc_id", "text")
+    return quality.term_counts(t.dealt("documents", "doc_id", "text"), "doc_id", "text")
 
 
 @query("""

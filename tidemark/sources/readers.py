@@ -13,11 +13,16 @@ TABLES = (
 
 
 class Tables:
-    """Attribute access to the Parquet tables of one folder."""
+    """Attribute access to the Parquet tables of one folder.
 
-    def __init__(self, spark: SparkSession, root: str):
+    One task reads a row group.  ``deal`` lets text-heavy queries deal the rows out to all tasks first (``dealt``); turn it
+    off where the tables have row groups enough, since dealing moves each text over the network once.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, deal: bool = True):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.deal = deal
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"
@@ -29,6 +34,11 @@ class Tables:
         # Page operators work per page: this is the one exchange that serves them all, at every size.
         return table.repartition("page_id") if name == "pages" else table
 
+    def dealt(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a table, rows dealt out in turn to as many tasks as a shuffle has: no key can crowd one of them."""
+        table = self.spark.read.parquet(self.path(name)).select(*columns)
+        return table.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions"))) if self.deal else table
+
 
 def scan_parquet(spark: SparkSession, glob: str, columns: list[str]) -> DataFrame:
     """Many Parquet files as one table, only the named columns."""
@@ -168,7 +178,10 @@ def scan_whole_files(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder as ``folder, name, bytes, changed``: listed, their content is never read."""
+    """Files below a folder as ``folder, name, bytes, changed``: listed, their content is never read.
+
+    Spark lists no empty files, so an empty file is as good as missing.
+    """
     parts = F.split(F.col("path"), "/")
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
         F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"),
