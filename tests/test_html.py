@@ -12,7 +12,7 @@ def md(spark, text):
     return profile(spark, text).md_converter
 
 
-@pytest.mark.parametrize("page,want", [
+CASES = [
     ("<h3>A <a href='#x'>b</a></h3>", "### A [b](#x)"),
     ("<p>a <b>c <i>d</i></b> <del>e</del> <code>f</code><p>g<br>h", "a **c *d*** ~~e~~ `f`\n\ng\nh"),
     ("<p><b>open<p>next</b>", "open\n\nnext"),
@@ -43,9 +43,19 @@ def md(spark, text):
     ("<table><tr><th>a|b<th><code>c|d</code></table>", r"| a\|b | `c\|d` |" + "\n| --- | --- |"),
     ("<table><tr><td>1<table><tr><td>x<td>y<tr><td>z</table>2<td>3</table>w", "| 1   x y  z 2 | 3 |\n| --- | --- |\n\nw"),
     ("<table><tr><td><blockquote>q</blockquote><pre>p\nr</pre><td>s</table>", "| q  p r | s |\n| --- | --- |"),
-])
-def test_markdown(spark, page, want):
-    assert md(spark, page) == want
+]
+
+
+@pytest.fixture(scope="module")
+def converted(spark):
+    """All pages in one job."""
+    pages = spark.createDataFrame([(i, page) for i, (page, _) in enumerate(CASES)], PAGE)
+    return {r.page_id: r.md_converter for r in html.page_profile(pages).collect()}
+
+
+@pytest.mark.parametrize("case", range(len(CASES)))
+def test_markdown(converted, case):
+    assert converted[case] == CASES[case][1]
 
 
 def test_extractor_prefers_article_then_main_then_body(spark):

@@ -86,10 +86,12 @@ def content_of(norm: Column) -> Column:
 
 def link_text(c: Column) -> Column:
     """Inline links and images replaced by the text between the brackets."""
+    # Fixed value: what counts as a link.
     return F.regexp_replace(c, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
 
 
 def prose_of(norm: Column) -> Column:
+    # Fixed value: marks that prose drops.
     return collapse(F.regexp_replace(link_text(unescape(norm)), "[`*_~]", ""))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions import text as tx
 
 _CUT = "\u0001"
+# What counts as a heading and as a list item.
 _HEADING = r"^(#{1,6})\s+(.*?)\s*#*\s*$"
 _ITEM = r"^(\s*)([-*+]|\d+[.)])\s+(.*)$"
 

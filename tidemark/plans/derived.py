@@ -121,6 +121,7 @@ def http_dump_verdicts(t):
     log = cache_plans.log(t)
     who = F.col("client").cast("string")
     body = F.to_json(F.struct(F.col("owner").cast("string").alias("account"), (F.col("us") / 1e6).alias("origin_time")))
+    # Fixed value: the format of a block of a response dump.
     block = F.concat(
         F.lit("### "), who, F.lit(": GET /v1/devices with Authorization: Bearer token-"), who,
         F.lit("\nHTTP/1.1 200 OK\r\nContent-Type: application/json\r\nX-Cache-Status: "), F.col("status"),
@@ -145,6 +146,7 @@ def origin_log(t):
     """Origin log lines written as text, read back and counted per account."""
     missed = cache_plans.log(t).filter("status = 'MISS'")
     at = labels.time_of_day(F.timestamp_micros("us"))
+    # Fixed value: the format of a line of the origin's log.
     line = F.concat(at, F.lit(" origin answered for "), F.col("owner").cast("string"))
     path = scratch_path(t.spark, "origin-log")
     missed.select(line.alias("value")).write.text(path)

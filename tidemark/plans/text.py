@@ -6,6 +6,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import quality
 from tidemark.plans.registry import query
 
+# The characters and, in ``prose_sql`` and ``strip_sql``, the patterns of ``functions.text``, as SQL.
 _ESC = r"\\([\\`*_{}\[\]()#+\-.!|<>~=\"''])"
 SPACES_SQL = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
 
