@@ -146,3 +146,39 @@ def test_rows_are_dealt_unless_told_otherwise(spark, data):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert dealt.rdd.getNumPartitions() == parts and "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.doc_id for r in dealt.collect()) == sorted(r.doc_id for r in plain.collect())
+
+
+def test_a_pack_reads_like_its_files(spark, tmp_path):
+    bodies = {
+        "p1": '{"page": "x", "probes": [{"id": "a", "type": "regex"}, {"id": "b", "weight": 3}]}\n',
+        "p2": '{"probes": [{"id": "first"}]}\n{"probes": [{"id": "second"}]}\n',
+        "p3": "{broken",
+        "p4": "",
+        "p5": "Ünïcode\n",
+    }
+    for folder, body in bodies.items():
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "page.json").write_bytes(body.encode())
+    rows = [(f"{tmp_path}/in/{f}/page.json", b.encode()) for f, b in bodies.items()]
+    pack = writers.write_pack(spark.createDataFrame(rows, "path string, content binary"), str(tmp_path / "pack"))
+    keys = spark.createDataFrame([("p1",), ("p9",)], "page string")
+
+    def read(path, folders, glob, packed):
+        rules, warnings = readers.load_rules(spark, folders, keys, packed=packed)
+        files = readers.file_inventory(spark, path, packed=packed).drop("changed")
+        texts = readers.scan_whole_files(spark, glob, packed=packed).where("bytes > 0")
+        return [sorted(map(str, df.collect())) for df in (rules, warnings, files, texts)]
+
+    assert read(pack, pack, pack, True) == read(str(tmp_path / "in"), f"{tmp_path}/in/*", f"{tmp_path}/in/*/*", False)
+
+
+def test_corpus_of_pages_is_few_files(spark, tmp_path):
+    from tidemark.plans.pages import corpus_files
+    from tidemark.sources.readers import Tables
+
+    rows = [(i, f"http://a.org/{i}", None if i == 3 else "<p>x</p>") for i in range(1, 301)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    root = corpus_files(Tables(spark, str(tmp_path)))
+    sizes = {r.folder: r.bytes for r in readers.file_inventory(spark, f"{root}/pages", packed=True).collect()}
+    assert len(sizes) == 300 and sizes["slug=3"] == 1 and sizes["slug=4"] == 9
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).count() < 60
