@@ -182,3 +182,31 @@ def test_corpus_of_pages_is_few_files(spark, tmp_path):
     sizes = {r.folder: r.bytes for r in readers.file_inventory(spark, f"{root}/pages", packed=True).collect()}
     assert len(sizes) == 300 and sizes["slug=3"] == 1 and sizes["slug=4"] == 9
     assert spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).count() < 60
+
+
+def test_tasks_follow_the_rows_of_a_keyed_table(spark, tmp_path):
+    from tidemark.operators import html
+    from tidemark.plans.pages import results
+    from tidemark.sources.readers import PAGES_A_TASK, Tables
+
+    n = 6 * PAGES_A_TASK + 1
+    rows = spark.range(n).selectExpr("id AS page_id", "'http://a.org/' AS url", "'<p>x</p>' AS html")
+    rows.write.parquet(f"{tmp_path}/pages.parquet")
+    tables = Tables(spark, str(tmp_path))
+    assert tables.pages.rdd.getNumPartitions() == 7
+    assert html.page_profile(tables.pages).rdd.getNumPartitions() == 7
+    assert tables.by_key("pages", "page_id", 10**9).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Pages and their rules meet where they are: neither is exchanged again.
+    exchanges = [x for x in plan_of(results(tables)).splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and all(", 7), REPARTITION_BY_NUM" in x for x in exchanges)
+
+
+def test_order_rules_follow_the_rows(spark, tmp_path, monkeypatch):
+    from tidemark.plans import REGISTRY
+
+    monkeypatch.setattr(readers, "ROWS_A_TASK", 20)
+    rows = spark.range(200).selectExpr("id AS o_orderkey", "'O' AS o_orderstatus", "'1-URGENT' AS o_orderpriority")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    found = REGISTRY["probe_list_nesting"].run(spark, str(tmp_path))
+    assert ", 10), REPARTITION_BY_NUM" in plan_of(found)
+    assert {r.page_id: r.ok for r in found.collect()} == {i: i % 2 == 0 for i in range(200)}
