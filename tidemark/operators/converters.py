@@ -1,7 +1,7 @@
 """Registry of page conversions that users plug in.
 
 A plugged-in converter is ``convert(html, base_url) -> str``.  It runs in
-``mapInPandas`` over Arrow batches, page by page; a failure is recorded as
+``mapInArrow`` over slices of Arrow batches, page by page; a failure is recorded as
 ``Type: message`` with an empty output and the job goes on.
 """
 
@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -40,25 +42,40 @@ class Registry:
         return [self._known[n] for n in names] if names else list(self._known.values())
 
 
+#: Bytes of pages that a task converts at once; its outputs are held as long.
+SLICE_BYTES = 1 << 20
+_OUT = pa.schema([("page_id", pa.int64()), ("tool", pa.string()), ("kind", pa.string()), ("ranked", pa.bool_()), ("md", pa.string()), ("error", pa.string())])
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``SLICE_BYTES`` of pages; a page is never cut."""
+    size = pc.fill_null(pc.binary_length(batch.column("html")), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size, dtype=np.int64) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(edges, edges[1:]):
+        yield batch.slice(start, end - start)
+
+
 def _stage(converters: list[Converter]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for page_id, url, page in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                for tool in converters:
-                    try:
-                        md, error = tool.convert(page, url) or "", None
-                    except Exception as exc:  # recorded, never fatal
-                        md, error = "", f"{type(exc).__name__}: {exc}"
-                    rows.append((page_id, tool.name, tool.kind, tool.ranked, md, error))
-            yield pd.DataFrame(rows, columns=["page_id", "tool", "kind", "ranked", "md", "error"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                rows = []
+                for page_id, url, page in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                    for tool in converters:
+                        try:
+                            md, error = tool.convert(page, url) or "", None
+                        except Exception as exc:  # recorded, never fatal
+                            md, error = "", f"{type(exc).__name__}: {exc}"
+                        rows.append((page_id, tool.name, tool.kind, tool.ranked, md, error))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_OUT)], schema=_OUT)
 
     return run
 
 
 def convert_pages(pages: DataFrame, converters: list[Converter]) -> DataFrame:
     """``page_id, tool, kind, ranked, md, error`` for every page and converter."""
-    return pages.select("page_id", "url", "html").mapInPandas(
+    return pages.select("page_id", "url", "html").mapInArrow(
         _stage(converters),
         "page_id bigint, tool string, kind string, ranked boolean, md string, error string",
     )
