@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -208,3 +209,26 @@ def test_files_in_time_order_do_not_grow_with_the_table(spark, monkeypatch):
     files = files.orderBy("file_modification_time").collect()
     assert sum(f.n for f in files) == 12_000 and max(f.n for f in files) <= 1000
     assert all(a.high < b.low for a, b in zip(files, files[1:]))
+
+
+def test_micro_batches_are_few_and_frames_small(spark):
+    rows = spark.range(1_200_000).selectExpr("id AS us", "id")
+    folder = runs.in_time_order(rows, "us", "few-test")
+    assert spark.read.parquet(folder).select(F.input_file_name()).distinct().count() == 8
+
+    class Entry:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, v: setattr(self, "value", v)
+
+    from pyspark.sql import types as T
+
+    entry = ttl.TtlEntry(10, T.LongType())
+    entry.entry = Entry()
+    n = 2 * ttl.FRAME_ROWS + 1
+    frame = pd.DataFrame({"us": range(n), "id": range(n), "client": range(n)})
+    out = list(entry.handleInputRows(("k",), iter([frame]), None))
+    assert [len(f) for f in out] == [ttl.FRAME_ROWS, ttl.FRAME_ROWS, 1]
+    whole = pd.concat(out)
+    assert list(whole["owner"]) == [i // 10 * 10 for i in range(n)] and (whole["status"] == "MISS").sum() == -(-n // 10)

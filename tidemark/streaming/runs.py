@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.session import scratch_path
 
-#: Rows of a file that ``in_time_order`` writes, about: range partitions are cut by a sample.
-FILE_ROWS = 100_000
+#: Rows of a file that ``in_time_order`` writes, about: range partitions are cut by a sample.  Every micro-batch costs seconds
+#: of planning and state commits, whatever its rows, so files are as large as the state operator's memory allows.
+FILE_ROWS = 500_000
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 16) -> DataFrame:

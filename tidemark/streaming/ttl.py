@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
+#: Rows of a frame that goes back to Spark.
+FRAME_ROWS = 50_000
+
 
 class TtlEntry(StatefulProcessor):
     """One live entry per key: when it expires and whose response it is.
@@ -53,16 +56,18 @@ class TtlEntry(StatefulProcessor):
         self.entry.update((expiry, owner.item() if isinstance(owner, np.generic) else owner, seen))
         status = np.where(missed, "MISS", "HIT").astype(object)
         status[:late] = "LATE"
-        yield pd.DataFrame(
-            {
-                "cache_key": key[0],
-                "us": us,
-                "id": ids,
-                "client": clients,
-                "status": status,
-                "owner": owners,
-            }
-        )
+        for a in range(0, len(us), FRAME_ROWS):
+            part = slice(a, a + FRAME_ROWS)
+            yield pd.DataFrame(
+                {
+                    "cache_key": key[0],
+                    "us": us[part],
+                    "id": ids[part],
+                    "client": clients[part],
+                    "status": status[part],
+                    "owner": owners[part],
+                }
+            )
 
     def close(self) -> None:
         pass
