@@ -210,3 +210,39 @@ def test_order_rules_follow_the_rows(spark, tmp_path, monkeypatch):
     found = REGISTRY["probe_list_nesting"].run(spark, str(tmp_path))
     assert ", 10), REPARTITION_BY_NUM" in plan_of(found)
     assert {r.page_id: r.ok for r in found.collect()} == {i: i % 2 == 0 for i in range(200)}
+
+
+def test_pages_are_converted_by_slices(spark):
+    import pyarrow as pa
+
+    from tidemark.operators import converters
+
+    registry = converters.Registry()
+    registry.register("same", "converter", lambda page, url: page)
+    sizes = [0, 300_000, 5_000_000, *[200_000] * 40]
+    pages = [None, *("x" * n for n in sizes)]
+    batch = pa.RecordBatch.from_pydict({"page_id": [None, *range(len(sizes))], "url": ["u"] * len(pages), "html": pa.array(pages, pa.string())})
+    out = list(converters._stage(registry.select())(iter([batch, batch.slice(0, 0)])))
+    assert [m for b in out for m in b.column("md").to_pylist()] == [p or "" for p in pages]
+    assert len(out) > 8 and all(b.num_rows == 1 or b.nbytes < 3 * converters.SLICE_BYTES or "x" * 5_000_000 in b.column("md").to_pylist() for b in out)
+
+
+def test_collapse_and_squeeze_over_all_characters(spark):
+    import re
+    import unicodedata
+
+    from tidemark.functions import text as tx
+
+    codes = [c for c in range(1, 0x10000) if not 0xD800 <= c <= 0xDFFF]
+    rows = [(f"a{chr(c)}b {chr(c)}c{chr(c)}{chr(c)}d",) for c in codes]
+    got = spark.createDataFrame(rows, "t string").select(
+        "t", tx.collapse(F.col("t")).alias("c"), tx.squeeze(F.col("t")).alias("s"), tx.nfkc(F.col("t")).alias("n")
+    ).collect()
+    for r in got:
+        plain = r.t.replace("\u00a0", " ").replace("\u200b", "")
+        assert r.s == re.sub(r"[ \t]{2,}|\t", " ", plain), ascii(r.t)
+        odd = ord(r.t[1])
+        white = chr(odd) in "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85" or unicodedata.category(chr(odd)).startswith("Z")
+        assert r.c == ("a b c d" if white else r.t), (ascii(r.t), ascii(r.c))
+        if odd < 128:
+            assert r.n == r.t
